@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contaminated
 from .line_dedup import drop_repeated_lines
+from .simhash import near_duplicates
+from .topk import top_k
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op6_topk, op8_simhash, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op1_decontamination": r"""
@@ -33,6 +43,13 @@ ds as (select distinct doc_id, k, array_to_string(a[i : i + k - 1], ' ') as s
 m as (select doc_id, item_id, count(*) as n_shared from ds join bs using (k, s) group by doc_id, item_id)
 select doc_id, item_id, n_item, n_shared, n_shared / n_item as containment
 from m join n using (item_id) where n_shared >= 0.8 * n_item - 1e-9
+""",
+    "op6_topk": r"""
+with v as (select vec_id, [floor(256 * x::double) for x in embedding] as q from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, list_dot_product(a.q, b.q)::bigint as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """,
     "op10_line_dedup": r"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos from documents),
