@@ -67,9 +67,10 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         """Adds a batch of ``(h)`` rows, one for each document and distinct line key."""
+        counts = batch.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
         if (known := self.saturated()) is not None:
-            batch = batch.join(known.hint("merge"), "h", "left_anti")
-        self._put(0, self._write(batch.groupBy("h").agg(F.count(F.lit(1)).alias("n"))))
+            counts = counts.join(known.hint("merge"), "h", "left_anti")
+        self._put(0, self._write(counts))
 
     def _put(self, level: int, run: DataFrame) -> None:
         if len(self.levels) <= level:
