@@ -1,20 +1,26 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-A text's words give shingles, their XXH64 hashes a 64-bit fingerprint. Equal fingerprints collapse into one row
-each, so copies, however many, are one node. The distinct fingerprints are dealt into *tiles* by the population
-counts of their four 16-bit quarters: two fingerprints within ``radius`` bits lie in tiles whose counts differ by
-``radius`` at most in sum, so all other tile pairs are skipped. Each fingerprint goes to its own tile as a base row,
-and to the existing later tiles within the radius as a probe; a tile's base rows are compared with its rows in
-numpy blocks (exclusive-or, bit count), again skipping what the population counts of the eight bytes exclude.
-Large tiles are cut into chunks of base rows; the number of chunks follows the number of fingerprints.
-
-Links between fingerprints are joined into components by large-star / small-star rounds over DataFrames with
+A text's words give shingles, their hashes a fingerprint of 64 or 128 bits. Equal fingerprints collapse into one
+row each, so exact copies, however many, are one node. The distinct fingerprints are dealt into *tiles*, and only
+tile pairs that can hold a link are compared, in numpy blocks, by exclusive-or and bit count. Pairs of tiles are
+skipped by population counts, and by sizes where a least similarity is asked for:
+
+* For a small radius a tile has the fingerprints whose four 16-bit quarters have the same population counts.
+  Fingerprints within the radius lie in tiles whose counts differ by the radius at most in sum.
+* With a least similarity ``s`` of the shingle sets, a tile has a range of set sizes from ``x`` to ``x / s``: sets
+  that similar lie in the same tile or in neighbours.
+
+A row goes to its own tile as a base row, and to the other tiles that it has to meet as a probe. Tiles are cut into
+chunks of base rows, each met by all probes. Inside a task, what population counts of the bytes exclude is skipped
+too, and links are reduced to a spanning forest at once, so that a group of many near copies gives no more links
+than it has rows. Links are joined into components by large-star / small-star rounds over DataFrames with
 checkpoints; neither links nor components nor fingerprints pass through the driver.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,43 +30,51 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Base rows of a tile that one task compares at once, and the size of a numpy block.
-CHUNK_ROWS, BLOCK = 50_000, 2_048
+#: Base rows that a tile's chunk aims at, and the sides of a numpy block.
+CHUNK_ROWS, STRIP, BLOCK = 16_384, 64, 2_048
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text: bit i is set if over half of the shingle hashes have it; 0 without words."""
+def _counted(hashes: np.ndarray, counts: np.ndarray) -> None:
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+    counts += bits.sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42, words64: int = 1) -> tuple[int, ...]:
+    """The SimHash of a text as 64-bit words, and the number of its shingles last.
+
+    White space is ASCII, A-Z are lower-cased. A bit is set if over half of the shingles' hashes have it: XXH64 for
+    one word, XXH3-128 for two. Fewer words than ``width`` are one shingle; without words all is zero.
+    """
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return (0,) * (words64 + 1)
     joined = b" ".join(words)
-    starts, at = [], 0
-    for w in words:
-        starts.append(at)
-        at += len(w) + 1
-    ends = [*starts[width:], at]
-    digest = xxhash.xxh64_intdigest
-    counts, total = np.zeros(64, np.int64), len(ends)
+    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    if len(words) <= width:
+        first, last = [0], [len(joined)]
+    else:
+        first, last = starts[: len(words) - width + 1].tolist(), (starts[width:] - 1).tolist()
+    digest = xxhash.xxh64_intdigest if words64 == 1 else xxhash.xxh3_128_digest
+    counts, total = np.zeros(64 * words64, np.int64), len(first)
     for lo in range(0, total, 65_536):
-        part = np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts[lo : lo + 65_536], ends[lo : lo + 65_536])], dtype="<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
+        part = [digest(joined[a:b], seed) for a, b in zip(first[lo : lo + 65_536], last[lo : lo + 65_536])]
+        _counted(np.array(part, dtype="<u8") if words64 == 1 else np.frombuffer(b"".join(part), "<u8").reshape(-1, 2), counts)
+    return (*np.packbits(counts * 2 > total, bitorder="little").view("<u8").tolist(), total)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """``(id, fp)`` for each row; fp is the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, words64: int = 1) -> DataFrame:
+    """``(id, f0[, f1], size)`` for each row; fingerprint words as signed 64-bit integers, size the number of shingles."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    names = [f"f{k}" for k in range(words64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), width, seed) for t in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            rows = np.array([fingerprint(t.as_py(), width, seed, words64) for t in b.column(1)], dtype=np.uint64).reshape(-1, words64 + 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, k]) for k in range(words64 + 1))], names=["id", *names, "size"])
 
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, fp BIGINT")
+    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, {', '.join(f'{n} BIGINT' for n in names)}, size BIGINT")
 
 
 def _quarters(fp: Column) -> list[Column]:
@@ -69,7 +83,7 @@ def _quarters(fp: Column) -> list[Column]:
 
 def _packed(counts) -> Column:
     a, b, c, d = counts
-    return a + b * 32 + c * 1024 + d * 32768
+    return (a + b * 32 + c * 1024 + d * 32768).cast("int")
 
 
 def _later_offsets(radius: int) -> list[tuple[int, ...]]:
@@ -78,97 +92,138 @@ def _later_offsets(radius: int) -> list[tuple[int, ...]]:
 
 
 def _byte_counts(fps: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps.view(np.uint8).reshape(-1, 8)).astype(np.int16)
-
-
-def _close(base: np.ndarray, probe: np.ndarray, radius: int, within: bool) -> np.ndarray:
-    """Pairs of values within ``radius`` bits; within: probe is base itself, and each pair is wanted once."""
-    out = []
-    if not len(base) or not len(probe):
-        return np.zeros((0, 2), np.uint64)
-    order = lambda x: x[np.lexsort(_byte_counts(x).T)]  # noqa: E731  like byte counts come together, so blocks are tight
-    base = order(base)
-    probe = base if within else order(probe)
-    bc, pc = _byte_counts(base), _byte_counts(probe)
-    bounds = lambda c, step: [(i, c[i : i + step].min(axis=0), c[i : i + step].max(axis=0)) for i in range(0, len(c), step)]
-    others = bounds(pc, BLOCK)
-    for i, lo, hi in bounds(bc, 64):
-        x = base[i : i + 64]
-        for j, plo, phi in others:
-            if within and j + BLOCK <= i:
-                continue
-            if np.maximum(0, np.maximum(lo - phi, plo - hi)).sum() > radius:
+    return np.bitwise_count(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1)).astype(np.int16)
+
+
+class _Forest:
+    """Union-find over rows; labels are kept flat between strips so that most known pairs are dropped in numpy."""
+
+    def __init__(self, n: int):
+        self.root, self.links = np.arange(n), []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        root = self.root
+        new = root[a] != root[b]
+        if not new.any():
+            return
+        pairs = np.unique(np.stack([root[a[new]], root[b[new]]], axis=1), axis=0, return_index=True)[1]
+        for x, y in zip(a[new][pairs].tolist(), b[new][pairs].tolist()):
+            p, q = x, y
+            while root[p] != p:
+                p = root[p]
+            while root[q] != q:
+                q = root[q]
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                self.links.append((x, y))
+        while True:
+            flat = root[root]
+            if np.array_equal(flat, root):
+                break
+            root = flat
+        self.root = root
+
+
+def tile_links(rows: np.ndarray, base: np.ndarray, radius: int) -> np.ndarray:
+    """Index pairs that link the rows of a tile: a spanning forest of all pairs within ``radius`` bits.
+
+    rows: (n, words) fingerprints; base: which of them are base rows, the others are probes.
+    Pairs of a base row with any other row are looked at, of two base rows once.
+    """
+    order = np.lexsort((*_byte_counts(rows).T[::-1], ~base))  # base rows first; like byte counts come together
+    rows, base = rows[order], base[order]
+    n_base, counts, forest = int(base.sum()), _byte_counts(rows), _Forest(len(rows))
+    blocks = [(j, counts[j : j + BLOCK].min(axis=0), counts[j : j + BLOCK].max(axis=0)) for j in range(0, len(rows), BLOCK)]
+    for i in range(0, n_base, STRIP):
+        x = rows[i : min(i + STRIP, n_base)]
+        lo, hi = counts[i : i + len(x)].min(axis=0), counts[i : i + len(x)].max(axis=0)
+        for j, b_lo, b_hi in blocks:
+            if j + BLOCK <= i or np.maximum(0, np.maximum(lo - b_hi, b_lo - hi)).sum() > radius:
                 continue
-            y = probe[j : j + BLOCK]
-            near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
-            if within:
-                near &= (np.arange(j, j + len(y))[None, :] > np.arange(i, i + len(x))[:, None])
-            a, b = np.nonzero(near)
-            if len(a):
-                out.append(np.stack([x[a], y[b]], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
-
-
-def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """``(a, b)`` for each pair of distinct fingerprints (column fp) that differ in ``radius`` bits at most."""
-    counts = _quarters(F.col("fp"))
-    n = distinct.count()
-    # The fullest tile has the share 0.2 ** 4 of evenly spread fingerprints.
-    chunks = max(1, int(np.ceil(n * 0.0016 / CHUNK_ROWS)))
-    own = distinct.select("fp", _packed(counts).alias("tile"))
-    base = own.select("tile", F.pmod(F.xxhash64("fp"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(True).alias("base"), "fp")
-    offsets = _later_offsets(radius)
-    near = F.array(*[F.when(sum((F.when((c + o).between(0, 16), 0).otherwise(1) for c, o in zip(counts, d)), F.lit(0)) == 0,
-                            _packed([c + o for c, o in zip(counts, d)])) for d in offsets])
-    probe = distinct.select(F.explode(F.filter(near, lambda t: t.isNotNull())).alias("tile"), F.lit(False).alias("base"), "fp")
-    probe = probe.join(own.select("tile").distinct(), "tile", "left_semi")
-    probe = probe.unionByName(own.select("tile", F.lit(None).cast("boolean").alias("base"), "fp")) if chunks > 1 else probe
-    probe = probe.select("tile", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "base", "fp")
-    # With chunks, a tile's own rows are probes of each of its chunks too (base is null), else of themselves.
-    rows = base.unionByName(probe).repartition("tile", "chunk").sortWithinPartitions("tile", "chunk")
-
-    def tile_pairs(base_rows, probe_rows, own_rows):
-        yield _close(base_rows, probe_rows, radius, False)
-        if chunks == 1:
-            yield _close(base_rows, base_rows, radius, True)
-        else:
-            pairs = _close(base_rows, own_rows, radius, False)
-            yield pairs[pairs[:, 0] < pairs[:, 1]]
+            y = rows[j : j + BLOCK]
+            far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+            for k in range(1, rows.shape[1]):
+                far += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+            a, b = np.nonzero(far <= radius)
+            later = b + j > a + i
+            if later.any():
+                forest.add(a[later] + i, b[later] + j)
+    return order[np.array(forest.links, np.int64).reshape(-1, 2)]
+
+
+def _tiled(rows: DataFrame, words64: int, radius: int) -> DataFrame:
+    """``(a, b)`` node pairs from ``(tile, chunk, base, node, f0..)`` rows, tile by tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple] = []
         current = None
 
-        def done():
-            kind = np.concatenate([k for k, _ in held])
-            fps = np.concatenate([f for _, f in held])
-            for pairs in tile_pairs(fps[kind == 1], fps[kind == 0], fps[kind == 2]):
-                if len(pairs):
-                    signed = np.ascontiguousarray(pairs).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed[:, 0]), pa.array(signed[:, 1])], names=["a", "b"])
+        def done() -> Iterator[pa.RecordBatch]:
+            base, node, fps = (np.concatenate(x) for x in zip(*held))
+            pairs = tile_links(fps, base, radius)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            key = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64) * 2**31 + b.column(1).to_numpy(zero_copy_only=False)
-            flag = b.column(2)
-            kind = np.where(np.asarray(flag.is_null()), 2, np.asarray(flag.fill_null(False)).astype(np.int8))
-            fps = b.column(3).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            key = b.column(0).to_numpy().astype(np.int64) * 2**31 + b.column(1).to_numpy()
+            base, node = b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy()
+            fps = np.stack([b.column(4 + k).to_numpy().view(np.uint64) for k in range(words64)], axis=1)
             cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
             for lo, hi in zip(cuts, cuts[1:]):
-                if current is not None and key[lo] != current:
+                if held and key[lo] != current:
                     yield from done()
                     held = []
                 current = key[lo]
-                held.append((kind[lo:hi], fps[lo:hi]))
+                held.append((base[lo:hi], node[lo:hi], fps[lo:hi]))
         if held:
             yield from done()
 
-    return rows.mapInArrow(run, "a BIGINT, b BIGINT")
+    dealt = rows.repartition("tile", "chunk").sortWithinPartitions("tile", "chunk")
+    return dealt.select("tile", "chunk", "base", "node", *[f"f{k}" for k in range(words64)]).mapInArrow(run, "a BIGINT, b BIGINT")
+
+
+def _in_chunks(base: DataFrame, probe: DataFrame, chunks: Column, cols: list[str]) -> DataFrame:
+    """Base rows in one chunk of their tile each, probes in every chunk; rows of the tile meet across its chunks.
+
+    chunks: number of chunks of the column tile. A base row of chunk c is a probe of the tile's later chunks.
+    """
+    own = base.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    first = own.select("tile", "chunk", F.lit(True).alias("base"), *cols)
+    later = own.where("chunk < chunks - 1").select("tile", F.explode(F.sequence(F.col("chunk") + 1, (F.col("chunks") - 1).cast("int"))).alias("chunk"), F.lit(False).alias("base"), *cols)
+    other = probe.withColumn("chunks", chunks).select("tile", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"), F.lit(False).alias("base"), *cols)
+    return first.unionByName(later).unionByName(other)
+
+
+def links_by_counts(nodes: DataFrame, radius: int) -> DataFrame:
+    """``(a, b)`` links that span all pairs of nodes ``(node, f0)`` within ``radius`` bits, tiled by quarters' population counts."""
+    counts = _quarters(F.col("f0"))
+    # The fullest tile has the share 0.2 ** 4 of evenly spread fingerprints.
+    chunks = F.lit(max(1, math.ceil(nodes.count() * 0.2**4 / CHUNK_ROWS)))
+    base = nodes.select("node", "f0", _packed(counts).alias("tile"))
+    within = lambda d: sum((F.when((c + o).between(0, 16), 0).otherwise(1) for c, o in zip(counts, d)), F.lit(0)) == 0
+    near = F.array(*[F.when(within(d), _packed([c + o for c, o in zip(counts, d)])) for d in _later_offsets(radius)])
+    probe = nodes.select("node", "f0", F.explode(F.filter(near, lambda t: t.isNotNull())).alias("tile"))
+    probe = probe.join(base.select("tile").distinct(), "tile", "left_semi")
+    return _tiled(_in_chunks(base, probe, chunks, ["node", "f0"]), 1, radius)
+
+
+def links_by_size(nodes: DataFrame, words64: int, radius: int, similarity: float) -> DataFrame:
+    """``(a, b)`` links that span all pairs of nodes ``(node, f0.., size)`` within ``radius`` bits whose sizes allow the similarity."""
+    cols = ["node", *[f"f{k}" for k in range(words64)]]
+    base = nodes.select(*cols, F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / -math.log(similarity)).cast("int").alias("tile"))
+    full = {r["tile"]: r["count"] for r in base.groupBy("tile").count().collect()}  # a few dozen tiles, by the logarithm of sizes
+    chunks = F.lit(1)
+    for tile, n in full.items():
+        if n > CHUNK_ROWS:
+            chunks = F.when(F.col("tile") == tile, F.lit(math.ceil(n / CHUNK_ROWS))).otherwise(chunks)
+    probe = base.select(*cols, (F.col("tile") + 1).alias("tile")).where(F.col("tile").isin([t for t in full]))
+    return _tiled(_in_chunks(base, probe, chunks, cols), words64, radius)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(node, root)``: each node of the edges ``(a, b)`` with the least node of its component.
+    """``(node, root)``: each node of the edges ``(a, b)`` with the least node of its component, which has no row itself.
 
     Alternates large-star and small-star until the edges are stars around their least nodes.
     """
@@ -176,11 +231,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         then = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
-        changed = then.exceptAll(current).limit(1).count() + current.exceptAll(then).limit(1).count()
+        same = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        changed = same(then) != same(current)
         current = then
         if not changed:
             break
@@ -189,21 +245,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, seed: int = 42,
+                    words64: int = 1, similarity: float | None = None) -> DataFrame:
     """``(id, fingerprint, component_id)`` for each row.
 
-    Rows link if their fingerprints differ in ``radius`` bits at most; component_id is the least id reachable.
-    Null texts and texts without words have fingerprint zero and link like any other. Repeated rows stay, each
-    with its component. A null id is never a component's id unless the component has no other. Extra columns are
-    ignored; an empty table gives no rows.
+    Rows link if their fingerprints differ in ``radius`` bits at most (and, with a similarity, if their numbers of
+    shingles allow it); component_id is the least id reachable. Null texts and texts without words have fingerprint
+    zero and link like any other. Repeated rows stay, each with its component. A null id is never a component's id
+    unless the component has no other. Extra columns are ignored; an empty table gives no rows.
     """
-    fps = checkpointed(fingerprints(docs, id_col, text_col, width, seed))
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    stars = components(links(nodes.select("fp"), radius))
-    linked = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    names = [f"f{k}" for k in range(words64)]
+    fps = checkpointed(fingerprints(docs, id_col, text_col, width, seed, words64))
+    key = ["f0"] if words64 == 1 and similarity is None else [*names, "size"]
+    node = F.col("f0") if key == ["f0"] else F.xxhash64(*key)
+    nodes = checkpointed(fps.groupBy(*key).agg(F.min("id").alias("least")).withColumn("node", node))
+    found = links_by_counts(nodes, radius) if key == ["f0"] else links_by_size(nodes, words64, radius, similarity or 0.01)
+    stars = components(found)
+    linked = nodes.select("node", "least").join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = linked.select("fp", "root").join(roots, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_node = linked.select("node", "root").join(roots, "root").select("node", "component_id")
+    shown = F.concat(*[F.lower(F.lpad(F.hex(n), 16, "0")) for n in reversed(names)])
+    return fps.withColumn("node", node).join(by_node, "node").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

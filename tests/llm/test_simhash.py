@@ -36,7 +36,7 @@ TEXTS = ["", None, "  \t", "One", "one two", "One TWO three", "a b c d e f", "A\
 
 def test_fingerprint_against_brute_force():
     for t in TEXTS:
-        assert S.fingerprint(t) == brute_fingerprint(t), t
+        assert S.fingerprint(t)[0] == brute_fingerprint(t), t
 
 
 def test_spark_xxhash64_is_the_same_hash(spark):
@@ -63,7 +63,21 @@ def test_rows_against_brute_force(spark):
     assert S.one_of_each(df).columns == df.columns
 
 
-def test_links_with_chains_and_chunks(spark, monkeypatch):
+def roots(nodes, pairs):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_links_span_chains_in_tiles_and_chunks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     fps = [int(x) for x in rng.integers(0, 2**63, 60)]
     for f in fps[:10]:
@@ -72,13 +86,35 @@ def test_links_with_chains_and_chunks(spark, monkeypatch):
             g ^= (1 << int(rng.integers(64))) | (1 << int(rng.integers(64)))
             fps.append(g)
     fps = sorted({f - 2**64 if f >= 2**63 else f for f in [*fps, 0, 1, 3, 7, 2**64 - 1]})
-    want = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) % 2**64).bit_count() <= 2}
-    df = spark.createDataFrame([(f,) for f in fps], "fp BIGINT")
-    pairs = [tuple(sorted((r.a, r.b))) for r in S.links(df).collect()]
-    assert len(pairs) == len(set(pairs)) and set(pairs) == want
-    monkeypatch.setattr(S, "CHUNK_ROWS", 0.03)
-    pairs = [tuple(sorted((r.a, r.b))) for r in S.links(df).collect()]
-    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    want = roots(fps, [(a, b) for a in fps for b in fps if a < b and ((a ^ b) % 2**64).bit_count() <= 2])
+    df = spark.createDataFrame([(f, f, 1 + i % 3) for i, f in enumerate(fps)], "node BIGINT, f0 BIGINT, size BIGINT")
+    for rows in (16_384, 0.03):
+        monkeypatch.setattr(S, "CHUNK_ROWS", rows)
+        assert roots(fps, [(r.a, r.b) for r in S.links_by_counts(df, 2).collect()]) == want
+    for rows in (16_384, 7):
+        monkeypatch.setattr(S, "CHUNK_ROWS", rows)
+        assert roots(fps, [(r.a, r.b) for r in S.links_by_size(df, 1, 2, 0.01).collect()]) == want
+    got = {r.node: r.root for r in S.components(S.links_by_counts(df, 2)).collect()}
+    assert got == {n: r for n, r in want.items() if n != r}
+
+
+def test_a_group_of_near_copies_gives_a_forest():
+    rows = (np.uint64(2**40 + 12345) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64)))[:, None]
+    assert len(S.tile_links(rows, np.ones(64, bool), 2)) == 63
+
+
+def test_wide_fingerprints_find_near_copies_by_similarity(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(8):
+        w = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts.append(" ".join(w))
+        w[100] = w[300] = "edited"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(8)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    kept = sorted(r.doc_id for r in S.one_of_each(df, width=5, radius=24, words64=2, similarity=0.8).collect())
+    assert kept == [*range(0, 16, 2), *range(16, 24)]
 
 
 def test_repeated_rows_null_ids_and_empty_table(spark):
