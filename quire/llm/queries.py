@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, pii, tokens
+from . import html_text, langid, mixing, pii, tokens
 from .common import table
 from .decontaminate import contaminated
 from .line_dedup import drop_repeated_lines
 from .simhash import near_duplicates
+from .substring_dedup import drop_repeated_substrings
 from .topk import top_k
 
 
@@ -24,12 +25,21 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.spans_text(pii.all_spans(F.col("base"), F.col("terms"))).alias("spans"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_substrings(table(spark, sf_dir, "documents"), length=400)
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
     model = langid.fit(docs.where(~F.col("held_out")))
     return langid.predict(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "prob", "kept")
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -52,7 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op4_language, op6_topk, op7_tokens, op8_simhash, op9_html, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_substring_dedup, op4_language, op5_mixing, op6_topk, op7_tokens, op8_simhash, op9_html, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op1_decontamination": r"""

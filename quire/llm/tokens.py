@@ -34,7 +34,7 @@ from .common import fresh_path
 MAGIC, BLOCK_BITS = b"QWM1", 1 << 18
 
 #: Unicode's White_Space, what \s means to the tokenizer.
-WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
+WHITE_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(rf"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
 

@@ -9,6 +9,9 @@ from quire.llm import tokens as T
 ODD = ["", " ", "  ", "a  b", "a   b\n\n c", "\n", "x  y   z", "a  b", "don't  can't\t\tgo ", "1 234  5", "\x1c a\x1d\x1e b\x1f  c", "<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>  ", "é́ ß　　字", "\x85\x85 x", "​ ​", "᠎  a", "q\r\n\r\nw", "!? ...  ,"]
 
 
+ODD += [f"a{c}  b{c}{c} c {c}" for c in "\x85\xa0\u1680\u180e\u2000\u2007\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\x1c\x1f"]
+
+
 def test_pieces_give_the_library_s_ids():
     e = T.Encoder(T.default_tokenizer(), limit=50)
     rng = random.Random(1)
