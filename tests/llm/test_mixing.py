@@ -42,7 +42,7 @@ def docs(spark):
 
 def test_expected_tokens_have_the_target_margins(spark):
     df = docs(spark)
-    goal = {"source": {"hot": 0.4, **{f"s{k}": 0.08 for k in range(7)}, "rare": 0.02, M.NONE: 0.02}, "lang": {"en": 0.55, "de": 0.4, "fr": 0.04, M.NONE: 0.01}}
+    goal = {"source": {"hot": 0.4, **{f"s{k}": 0.08 for k in range(7)}, "rare": 0.02, M.NONE: 0.02}, "lang": {"en": 0.57, "de": 0.4, "fr": 0.02, M.NONE: 0.01}}
     out = M.mixed(df, targets=goal, keep=0.3, topics=3).toPandas()
     assert len(out) == df.count() and set(out.columns) == {*df.columns, "topic", "n_tokens", "prob", "kept"}
     total = out.n_tokens.sum()
