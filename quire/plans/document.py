@@ -85,13 +85,14 @@ def labelled_part(tokens: DataFrame, label: Labeller, model: str, wanted: list[s
 def convert(tokens: DataFrame, label: Labeller = rule_labeller, includes: Iterable[str] = (), config: PlanConfig = PlanConfig()) -> DataFrame:
     """``(doc_id, tei)`` of layout tokens; includes: names of the fields wanted (title, abstract, authors, affiliations, references)."""
     plan = config.for_fields(includes)
-    segments = label(tokens, "segmentation")
+    # Read by every branch below; if an executor is lost its part is made again from the tokens.
+    segments = label(tokens, "segmentation").persist()
     part = lambda *labels: L.filtered(segments, list(labels)).drop("label")
     documents = tokens.select("doc_id").distinct()
     front = documents
     if plan.front:
         header = part("<header>")
-        nodes = front_nodes(header, label)
+        nodes = front_nodes(header, label).persist()
         one = lambda kind, name: nodes.where(F.col("type") == kind).groupBy("doc_id").agg(F.first(T.escaped("text")).alias(name))
         notes = nodes.where((F.col("type") == "Note")).groupBy("doc_id").agg(tei.in_order(tei.note(F.col("note_type"), T.escaped("text")), ["ordinal"]).alias("notes"))
         for more in (one("Title", "title"), one("Abstract", "abstract"), notes):
@@ -100,9 +101,10 @@ def convert(tokens: DataFrame, label: Labeller = rule_labeller, includes: Iterab
             affs = None
             if plan.affiliations:
                 parts = affiliations_in(labelled_part(header, label, "header", ["<affiliation>", "<address>"]), label)
+                parts = parts.persist()
                 real = parts.where(F.col("note_type").isNull() | (F.col("part_no") > 0)).withColumn("content_id", F.concat(F.lit("aff"), F.col("name_no").cast("string")))
                 affs = tei.affiliation_elements(real, ["doc_id", "name_no", "content_id"]).select("doc_id", "marker", F.col("name_no").alias("ord"), "xml")
-            names = names_in(labelled_part(header, label, "header", ["<author>"]), label)
+            names = names_in(labelled_part(header, label, "header", ["<author>"]), label).persist()
             authors = tei.author_elements(names, ["doc_id", "name_no"], affs).groupBy("doc_id").agg(tei.in_order("xml", ["name_no"]).alias("authors"))
             if affs is not None:
                 # Affiliations that no author names stand under an author of their own.
@@ -115,13 +117,12 @@ def convert(tokens: DataFrame, label: Labeller = rule_labeller, includes: Iterab
     references = None
     if plan.references:
         listed = semantic.reference_nodes(L.spans(label(part("<references>"), "reference_segmenter")))
-        raw = listed.where(F.col("content_id").isNotNull())
-        references = raw
+        references = listed.where(F.col("content_id").isNotNull()).persist()
     body = back = None
     sections = []
     for wanted, label_name, kind in ((plan.body, "<body>", "OTHER"), (plan.acknowledgements, "<acknowledgement>", "ACKNOWLEDGEMENT"), (plan.annex, "<annex>", "OTHER")):
         if wanted:
-            nodes = semantic.fulltext_nodes(L.spans(label(part(label_name), "fulltext")), kind).withColumn("part", F.lit(label_name))
+            nodes = semantic.fulltext_nodes(L.spans(label(part(label_name), "fulltext")), kind).persist()
             sections.append(nodes)
     by_part = {}
     for nodes, name in zip(sections, [n for w, n in ((plan.body, "body"), (plan.acknowledgements, "acknowledgements"), (plan.annex, "annex")) if w]):

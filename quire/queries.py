@@ -250,7 +250,7 @@ _FONT = "case when i = 0 then 'NEWFONT' else 'SAMEFONT' end, 'HIGHERFONT', '0',
 
 
 def _known_names(spark, sf_dir):
-    terms = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.lower(F.explode(T.tokens("text"))).alias("term")).distinct()
+    terms = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.explode(T.tokens("text")).alias("term")).select(F.lower("term").alias("term")).distinct()
     return terms.select(F.explode(F.array(F.lit("first_name"), F.lit("last_name"), F.lit("country"))).alias("kind"), "term")
 
 
