@@ -8,8 +8,9 @@ block for each plane; documents are found by the lengths kept beside.
 File: magic, header length (u32), JSON header, then the sections the header names. Plane b (from the highest bit)
 has the b-th bits of the ids in the order in which the planes above have stably sorted them, zeros first.
 
-Texts are cut where a run of white space begins, which no pre-token of a byte-level tokenizer spans; equal pieces
-are encoded once by the tokenizers library and kept, so the cost follows the different pieces.
+Texts are cut where a run of white space begins and where letters or digits end, which no pre-token of a byte-level
+tokenizer spans; equal pieces are encoded once by the tokenizers library and kept, so the cost follows the different
+pieces. A shard numbers the ids it has, and its planes are those of the numbers.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,31 +36,37 @@ MAGIC, BLOCK_BITS = b"QWM1", 1 << 18
 
 #: Unicode's White_Space, what \s means to the tokenizer.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECE = re.compile(rf"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
+#: White space, then letters and digits; or other characters, with the letters and digits behind them ('s is one pre-token).
+_PIECE = re.compile(rf"[{WHITE_SPACE}]*(?:[^\W_]+|(?:[^\w{WHITE_SPACE}]|_)+[^\W_]*)|[{WHITE_SPACE}]+")
 
 
 class Encoder:
     """Encodes texts with a tokenizers file; pieces' ids are kept until ``limit`` of them are held."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers, without special tokens added."""
-        pieces = [_PIECE.findall(t) for t in texts]
-        known = self.known
-        new = list(set(chain.from_iterable(pieces)).difference(known))
+    def _learn(self, new: list[str]) -> None:
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
-            known.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-        out = [b"".join(map(known.__getitem__, p)) for p in pieces]
-        if len(known) > self.limit:
-            known.clear()
+            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers, without special tokens added.
+
+        A text that spells out a token of the tokenizer's own list, which can span pieces, is one piece.
+        """
+        pieces = [[t] if any(a in t for a in self.added) else _PIECE.findall(t) for t in texts]
+        self._learn(list(set(chain.from_iterable(pieces)).difference(self.known)))
+        out = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        if len(self.known) > self.limit:  # what came first is mostly what comes often
+            self.known = dict(islice(self.known.items(), self.limit // 2))
         return out
 
 
@@ -87,8 +94,11 @@ def build_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int])
 
     zip_ = zstandard.ZstdCompressor(level=1).compress
     ids = np.asarray(ids)
-    bits = max(1, int(ids.max(initial=0)).bit_length())
-    ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    there = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    there[ids] = True
+    alphabet = np.flatnonzero(there)
+    bits = max(1, (len(alphabet) - 1).bit_length())
+    ids = (np.cumsum(there) - 1)[ids].astype(np.uint16 if bits <= 16 else np.uint32)
     body, planes, at = [], [], 0
 
     def put(data: bytes) -> int:
@@ -109,7 +119,8 @@ def build_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int])
     names = zip_(np.array([d or 0 for d in doc_ids], "<i8").tobytes())
     counts = zip_(np.array(lengths, "<i8").tobytes())
     docs = {"n": len(doc_ids), "null": null, "ids_at": at, "ids_size": put(names), "lengths_at": at, "lengths_size": put(counts)}
-    header = zip_(json.dumps({"n": len(ids), "bits": bits, "planes": planes, "docs": docs}).encode())
+    letters = {"at": at, "size": put(zip_(alphabet.astype("<u4").tobytes()))}
+    header = zip_(json.dumps({"n": len(ids), "bits": bits, "planes": planes, "docs": docs, "alphabet": letters}).encode())
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *body])
 
 
@@ -128,6 +139,7 @@ class Shard:
         self.n, self.bits, self._docs = header["n"], header["bits"], header["docs"]
         self._planes = [{**p, "offsets": np.concatenate([[0], np.cumsum(p["sizes"])]).astype(int)} for p in header["planes"]]
         self._zeros = [self.n - p["ranks"][-1] for p in header["planes"]]
+        self.alphabet = np.frombuffer(self._section(header["alphabet"]["at"], header["alphabet"]["size"]), "<u4")
         self._held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         self._blocks_held = blocks_held
 
@@ -178,7 +190,12 @@ class Shard:
             bit, ones = self._bit(b, i), self._ones(b, i)
             value = value << 1 | bit
             i = self._zeros[b] + ones if bit else i - ones
-        return value
+        return int(self.alphabet[value])
+
+    def _number(self, value: int) -> int | None:
+        """The shard's number of an id, if it has that."""
+        at = int(np.searchsorted(self.alphabet, value))
+        return at if at < len(self.alphabet) and self.alphabet[at] == value else None
 
     def _range(self, value: int, lo: int, hi: int) -> tuple[int, int]:
         for b in range(self.bits):
@@ -191,9 +208,10 @@ class Shard:
 
     def count(self, value: int, lo: int = 0, hi: int | None = None) -> int:
         """How often an id occurs at the places from lo to before hi."""
-        if value < 0 or value >> self.bits:
+        number = self._number(value)
+        if number is None:
             return 0
-        lo, hi = self._range(value, lo, self.n if hi is None else hi)
+        lo, hi = self._range(number, lo, self.n if hi is None else hi)
         return hi - lo
 
     def _select_bit(self, plane: int, bit: int, k: int) -> int:
@@ -206,14 +224,15 @@ class Shard:
 
     def select(self, value: int, k: int) -> int:
         """The place of the k-th occurrence (from 0) of an id."""
-        if value < 0 or value >> self.bits:
+        number = self._number(value)
+        if number is None:
             raise IndexError(k)
-        lo, hi = self._range(value, 0, self.n)
+        lo, hi = self._range(number, 0, self.n)
         if not 0 <= k < hi - lo:
             raise IndexError(k)
         i = lo + k
         for b in range(self.bits - 1, -1, -1):
-            bit = value >> (self.bits - 1 - b) & 1
+            bit = number >> (self.bits - 1 - b) & 1
             i = self._select_bit(b, bit, i - self._zeros[b] if bit else i)
         return i
 
@@ -233,7 +252,7 @@ class Shard:
             then[~plane] = now[:zeros]
             then[plane] = now[zeros:] | now.dtype.type(1 << (self.bits - 1 - b))
             now = then
-        return now
+        return self.alphabet[now]
 
 
 _SHARDS = "part INT, seq INT, before BIGINT, n_docs BIGINT, n_tokens BIGINT, file BINARY"
@@ -301,7 +320,7 @@ def read_documents(spark, path: str, with_ids: bool = False) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 shard = Shard(b.column(2)[i].as_py())
-                ids, lengths = shard.decode().astype("<u4"), shard.lengths()
+                ids, lengths = shard.decode(), shard.lengths()
                 ends = np.cumsum(lengths)
                 first = starts[b.column(0)[i].as_py()] + b.column(1)[i].as_py()
                 pieces = [ids[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist())]
