@@ -118,24 +118,28 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, near: DataFrame, text_col: str = "text", min_contexts: int = 3, disclosure: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``(entity, term, pmi, ic)`` of the terms above the threshold; near: ``(id, t, entity, context, start, end, term)``."""
+    total = float(docs.count())
     often = (near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
              .where(F.col("contexts") >= min_contexts).select("entity", "term"))
-    often = checkpointed(often)
-    none = often.limit(1).count() == 0
     held = near.select("entity", "term", "id", "t").distinct()
-    n_pair = held.join(often, ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"))
+    n_pair = held.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"))
     n_entity = near.select("entity", "id", "t").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    if none:
-        return n_pair.select("entity", "term", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic")).limit(0)
-    terms = often.select("term").distinct()
+    n_near = near.select("term", "id", "t").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+
+    def pmi(n_term: str) -> F.Column:
+        return F.log(F.col("n_pair") * total / (F.col("n_entity") * F.greatest(F.col(n_term), F.col("n_pair"))))
+
+    ic = F.log(total / F.col("n_entity"))
+    above = lambda n_term: (ic > 0) & (pmi(n_term) >= F.lit(disclosure) * ic)
+    # A term is in at least the documents in which it stands near an entity, so common words fall out before they are counted.
+    pairs = checkpointed(often.join(n_pair, ["entity", "term"]).join(n_entity, "entity").join(n_near, "term").where(above("n_near")))
+    if not pairs.limit(1).count():
+        return pairs.select("entity", "term", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic"))
+    terms = pairs.select("term").distinct()
     terms = F.broadcast(terms) if small_enough(terms, broadcast_rows) else terms
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))).alias("term"))
     n_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = float(docs.count())
-    pmi = F.log(F.col("n_pair") * total / (F.col("n_entity") * F.greatest(F.col("n_term"), F.col("n_pair"))))
-    ic = F.log(total / F.col("n_entity"))
-    scored = n_pair.join(n_entity, "entity").join(n_term, "term").select("entity", "term", pmi.alias("pmi"), ic.alias("ic"))
-    return scored.where((F.col("ic") > 0) & (F.col("pmi") >= F.lit(disclosure) * F.col("ic")))
+    return pairs.join(n_term, "term").where(above("n_term")).select("entity", "term", pmi("n_term").alias("pmi"), ic.alias("ic"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, min_contexts: int = 3, disclosure: float = 0.8) -> DataFrame:
