@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import checkpointed, text_key
 
 # Names of HTML elements, and words of class, id and role names that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -181,28 +181,39 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def subtree_counts(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """``(id, t, host, h)``: the distinct subtree hashes of each page."""
-    base = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), text_key(F.col(html_col)).alias("t"))
+def counted(root: Element) -> set[int]:
+    """The subtree hashes of a page that can be template: blocks that no boilerplate rule drops with what is in them."""
+    hash_subtrees(root)
+    out, todo = set(), [root]
+    while todo:
+        for e in todo.pop().parts:
+            if isinstance(e, Element) and not e.out:
+                if e.parts and e.tag not in INLINE:
+                    out.add(e.hash)
+                todo.append(e)
+    return out
+
+
+def subtrees(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """``(id, t, host, hs)``: the distinct subtree hashes of each page; host is a hash of the host's name."""
+    base = pages.select(F.col(id_col).alias("id"), F.xxhash64(host_of(F.col(url_col))).alias("host"), F.col(html_col).alias("html"), text_key(F.col(html_col)).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for page in b.column(2):
-                root = parse(page.as_py())
-                found.append(sorted({e.hash - 2**64 if e.hash >= 2**63 else e.hash for e in hash_subtrees(root) if not e.out}))
+            found = [sorted(h - 2**64 if h >= 2**63 else h for h in counted(parse(page.as_py()))) for page in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "t", "host", "hs"])
 
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, t BIGINT, host STRING, hs ARRAY<BIGINT>")
+    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, t BIGINT, host BIGINT, hs ARRAY<BIGINT>")
 
 
 def templates(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_pages: int, min_share: float) -> DataFrame:
     """``(id, t, gone)``: of each page that has some, the hashes of subtrees that are its site's template."""
-    rows = subtree_counts(pages, id_col, url_col, html_col)
-    hosts = pages.groupBy(host_of(F.col(url_col)).alias("host")).agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    rows = checkpointed(subtrees(pages, id_col, url_col, html_col))
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     seen = rows.select("id", "t", "host", F.explode("hs").alias("h"))
     often = (seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
              .join(hosts, "host").where(F.col("n") >= F.lit(min_share) * F.col("pages")).select("host", "h"))
+    often = checkpointed(often)  # so that the join below stays one of two plain sides, which Spark can split where a host is large
     return seen.join(often, ["host", "h"], "left_semi").groupBy("id", "t").agg(F.collect_set("h").alias("gone"))
 
 
