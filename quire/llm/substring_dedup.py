@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_enough, text_key
+from .common import fresh_path, text_key
 
 #: Windows hashed at once, windows of a segment at most, bytes of a block of contents.
 CHUNK, LONGEST, BLOCK_BYTES = 1 << 19, 1_024, 1 << 20
@@ -188,7 +188,7 @@ def _signed(h: int) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 32, group_bytes: int = 1 << 18, broadcast_rows: int = 200_000) -> DataFrame:
+def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 32, group_bytes: int = 1 << 18, broadcast_rows: int = 600_000) -> DataFrame:
     """``(id, n_bytes, n_removed, spans ARRAY<STRUCT<start, end>>, kept BINARY)`` for each row.
 
     Texts count as UTF-8 bytes, a null text as empty. A byte is removed if a string of ``length`` bytes that covers
@@ -235,7 +235,8 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
                     .where("kinds > 1 or twice").select("name", (F.col("size") > group_bytes).alias("large")), "groups")
     wanted = contents.join(groups, "name").select("name", "large", (F.col("times") == 1).alias("single"), "at.*")
     by_doc = stored(wanted.groupBy("id", "t").agg(F.collect_list(F.struct("name", "large", "single", "s", "n")).alias("wanted")), "wanted")
-    few = F.broadcast(by_doc) if small_enough(by_doc, broadcast_rows) else by_doc
+    segments_wanted = by_doc.agg(F.sum(F.size("wanted"))).first()[0] or 0  # each takes less than a hundred bytes
+    few = F.broadcast(by_doc) if segments_wanted <= broadcast_rows else by_doc
     holders = base.alias("d").join(few.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.t") == F.col("w.t"))).select("d.id", "d.t", "d.text", "w.wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
