@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +35,8 @@ ENDED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]),
     "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "head": frozenset(["body"]),
 }
+#: What a start tag can end.
+ENDS = {tag: [open_ for open_, by in ENDED_BY.items() if tag in by] for tag in {t for by in ENDED_BY.values() for t in by}}
 #: An end tag or an implied end does not reach beyond these.
 WALLS = frozenset("table td th ul ol dl html body article main nav aside footer section".split())
 
@@ -61,6 +64,12 @@ def parse(page: str | None) -> Element:
     root = Element("", {})
     page = page or ""
     stack, at, size = [root], 0, len(page)
+    open_: Counter = Counter()  # open elements by tag, so that nothing is looked for in vain
+
+    def close(i: int) -> None:
+        open_.subtract(e.tag for e in stack[i:])
+        del stack[i:]
+
     while at < size:
         m = _MARKUP.search(page, at)
         if m is None:
@@ -73,16 +82,16 @@ def parse(page: str | None) -> Element:
             if m[0].startswith("<![CDATA["):
                 stack[-1].parts.append(m[0][9:].removesuffix("]]>"))
         elif m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in WALLS and tag in INLINE | {"p", "li", "dt", "dd"}:
                     break
         else:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(open_[t] for t in ENDS.get(tag, ())) else ():
                 if tag in ENDED_BY.get(stack[i].tag, ()):
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in WALLS:
                     break
@@ -96,6 +105,7 @@ def parse(page: str | None) -> Element:
                 at = close.end() if close else size
             elif tag not in VOID:
                 stack.append(element)
+                open_[tag] += 1
     if at < size:
         stack[-1].parts.append(html.unescape(page[at:]))
     return root
