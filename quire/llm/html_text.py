@@ -100,9 +100,9 @@ def parse(page: str | None) -> Element:
             element = Element(tag, attrs)
             stack[-1].parts.append(element)
             if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                element.parts.append(page[at : close.start() if close else size])
-                at = close.end() if close else size
+                ending = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                element.parts.append(page[at : ending.start() if ending else size])
+                at = ending.end() if ending else size
             elif tag not in VOID:
                 stack.append(element)
                 open_[tag] += 1
