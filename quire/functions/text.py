@@ -46,6 +46,12 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def literal_map(values: dict[str, str]) -> Column:
+    """A map of literals, as one expression."""
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr(f"map({', '.join(quoted(x) for kv in values.items() for x in kv)})")
+
+
 def tokens(text: Column | str) -> Column:
     """The tokens of a text, without white space."""
     return F.regexp_extract_all(_c(text), F.lit(TOKEN), F.lit(1))
@@ -126,7 +132,7 @@ def caps_status(token: Column | str, all_caps: str = "ALLCAP") -> Column:
 
 def punctuation_type(token: Column | str) -> Column:
     t = _c(token)
-    known = F.element_at(F.create_map(*[F.lit(x) for kv in PUNCTUATION.items() for x in kv]), t)
+    known = F.element_at(literal_map(PUNCTUATION), t)
     return F.coalesce(known, F.when(t.rlike("^[,:;?.]+$"), "PUNCT").otherwise("NOPUNCT"))
 
 

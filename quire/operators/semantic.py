@@ -45,7 +45,7 @@ VALID_REFERENCE = ["Title", "Journal", "RawAuthors", "RawEditors", "ExternalIden
 
 def typed(tag: Column, types: dict[str, str]) -> Column:
     """The type of a label, Note for any other."""
-    known = F.element_at(F.create_map(*[F.lit(x) for kv in types.items() for x in kv]), tag)
+    known = F.element_at(T.literal_map(types), tag)
     return F.coalesce(known, F.lit("Note"))
 
 
@@ -140,7 +140,7 @@ def fulltext_nodes(spans: DataFrame, section_type: str = "OTHER") -> DataFrame:
     run = Window.partitionBy("doc_id", "run").orderBy("span_no").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("equation_no", F.when(F.col("equation"), F.greatest(F.lit(1), F.sum((tag == "<equation>").cast("int")).over(run)) - 1).cast("int"))
     kind = (F.when(outside, "Note").when(heading, "Heading").when(tag == "<equation>", "RawEquationContent").when(tag == "<equation_label>", "Label")
-            .otherwise(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in {**PARAGRAPH_TYPES, **SECTION_TYPES}.items() for x in kv]), tag), F.lit("Text"))))
+            .otherwise(F.coalesce(F.element_at(T.literal_map({**PARAGRAPH_TYPES, **SECTION_TYPES}), tag), F.lit("Text"))))
     parts = T.heading_parts("text")
     return df.select("doc_id", "span_no", "section_no", "paragraph_no", "run", "equation_no", F.lit(section_type).alias("section_type"), kind.alias("type"), F.when(outside, "fulltext:other").alias("note_type"),
                      F.when(heading, parts["title"]).otherwise(F.col("text")).alias("text"), F.when(heading, parts["label"]).alias("label"))

@@ -36,11 +36,18 @@ def element(tag: str, content: Column, **attributes: Column | str | None) -> Col
     return F.concat(*out, F.when(body == "", "/>").otherwise(F.concat(F.lit(">"), body, F.lit(f"</{tag}>"))))
 
 
-def expression_element(expression: str, content: Column, **more) -> Column:
-    """An element of a tag expression such as ``note[@type="x"]``."""
+def _opened(expression: str) -> tuple[str, str]:
+    """The name and the inside of the start tag of a tag expression such as ``note[@type="x"]``."""
     tag, *conditions = expression.split("[@")
-    attributes = dict(c.rstrip("]").replace('"', "").split("=", 1) for c in conditions)
-    return element(tag, content, **{f"{k}_" if k in ("type",) else k: v for k, v in attributes.items()}, **more)
+    return tag, " ".join([tag, *(c.rstrip("]") for c in conditions)])
+
+
+def simple_element(kind: Column, content: Column) -> Column:
+    """The element of a simple node's type around content; null for other types."""
+    opened = {k: _opened(e) for k, e in ELEMENTS.items()}
+    start = F.element_at(T.literal_map({k: inside for k, (_, inside) in opened.items()}), kind)
+    name = F.element_at(T.literal_map({k: tag for k, (tag, _) in opened.items()}), kind)
+    return F.concat(F.lit("<"), start, F.when(F.coalesce(content, F.lit("")) == "", "/>").otherwise(F.concat(F.lit(">"), content, F.lit("</"), name, F.lit(">"))))
 
 
 def styles(font: Column) -> Column:
@@ -92,11 +99,9 @@ def node_element(kind: Column, text: Column, value: Column, note_type: Column, e
     none = F.lit(None).cast("string")
     shown = T.escaped(F.coalesce(value, text))
     out = note(F.coalesce(note_type, F.concat(F.lit("other:"), kind)), T.escaped(text))
-    for name, expression in ELEMENTS.items():
-        out = F.when(kind == name, expression_element(expression, shown)).otherwise(out)
-    for name, reference in CITATIONS.items():
-        target = extra.get("target", none)
-        out = F.when(kind == name, element("ref", T.escaped(text), type_=reference, target=F.concat(F.lit("#"), target))).otherwise(out)
+    out = F.coalesce(simple_element(kind, shown), out)
+    target = element("ref", T.escaped(text), type_=F.element_at(T.literal_map(CITATIONS), kind), target=F.concat(F.lit("#"), extra.get("target", none)))
+    out = F.when(kind.isin(list(CITATIONS)), target).otherwise(out)
     out = F.when(kind == "ExternalIdentifier", element("idno", shown, type_=extra.get("id_type", none))).otherwise(out)
     pages = element("biblScope", T.escaped(text), unit="page", **{"from_": extra.get("from_page", none), "to": extra.get("to_page", none)})
     out = F.when(kind == "PageRange", pages).otherwise(out)
@@ -120,7 +125,7 @@ def reference_elements(nodes: DataFrame, by: list[str], order: list[str]) -> Dat
     extra = {c: F.col(c) for c in ("id_type", "from_page", "to_page", "year", "published") if c in dated.columns}
     xml = node_element(F.col("type"), F.col("text"), F.col("value"), F.col("note_type"), extra)
     xml = F.when(F.col("type") == "Label", note("label", T.escaped("text"))).otherwise(xml)
-    parent = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PARENTS.items() for x in kv]), F.col("type")), F.lit(""))
+    parent = F.coalesce(F.element_at(T.literal_map(PARENTS), F.col("type")), F.lit(""))
     placed = dated.select(*by, *order, parent.alias("_parent"), xml.alias("_xml"))
     part = lambda p: F.array_join(F.transform(F.filter(F.col("parts"), lambda x: x["_parent"] == p), lambda x: x["_xml"]), "")
     grouped = placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, "_parent", "_xml"))).alias("parts"))

