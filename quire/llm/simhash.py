@@ -10,8 +10,9 @@ skipped by population counts, and by sizes where a least similarity is asked for
 * With a least similarity ``s`` of the shingle sets, a tile has a range of set sizes from ``x`` to ``x / s``: sets
   that similar lie in the same tile or in neighbours.
 
-A row goes to its own tile as a base row, and to the other tiles that it has to meet as a probe. Tiles are cut into
-chunks of base rows, each met by all probes. Inside a task, what population counts of the bytes exclude is skipped
+A row goes to its own tile as a base row, and to the other tiles that it has to meet as a probe. Base rows and probes of
+a large tile are cut into chunks, and a task compares two of these, so it holds some ten thousand rows whatever the
+corpus. Inside a task, what population counts of the bytes exclude is skipped
 too, and links are reduced to a spanning forest at once, so that a group of many near copies gives no more links
 than it has rows. Links are joined into components by large-star / small-star rounds over DataFrames with
 checkpoints; neither links nor components nor fingerprints pass through the driver.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,8 +153,12 @@ def tile_links(rows: np.ndarray, base: np.ndarray, radius: int) -> np.ndarray:
     return order[np.array(forest.links, np.int64).reshape(-1, 2)]
 
 
+#: What names a task: a tile, whether base rows meet probes, and the two chunks compared.
+_TASK = ["tile", "side", "i", "j"]
+
+
 def _tiled(rows: DataFrame, words64: int, radius: int) -> DataFrame:
-    """``(a, b)`` node pairs from ``(tile, chunk, base, node, f0..)`` rows, tile by tile."""
+    """``(a, b)`` node pairs from ``(tile, side, i, j, base, node, f0..)`` rows, task by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -167,46 +173,58 @@ def _tiled(rows: DataFrame, words64: int, radius: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            key = b.column(0).to_numpy().astype(np.int64) * 2**31 + b.column(1).to_numpy()
-            base, node = b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy()
-            fps = np.stack([b.column(4 + k).to_numpy().view(np.uint64) for k in range(words64)], axis=1)
-            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
+            key = np.stack([b.column(k).to_numpy() for k in range(4)], axis=1)
+            base, node = b.column(4).to_numpy(zero_copy_only=False), b.column(5).to_numpy()
+            fps = np.stack([b.column(6 + k).to_numpy().view(np.uint64) for k in range(words64)], axis=1)
+            cuts = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1), len(key)]
             for lo, hi in zip(cuts, cuts[1:]):
-                if held and key[lo] != current:
+                if held and tuple(key[lo]) != current:
                     yield from done()
                     held = []
-                current = key[lo]
+                current = tuple(key[lo])
                 held.append((base[lo:hi], node[lo:hi], fps[lo:hi]))
         if held:
             yield from done()
 
-    dealt = rows.repartition("tile", "chunk").sortWithinPartitions("tile", "chunk")
-    return dealt.select("tile", "chunk", "base", "node", *[f"f{k}" for k in range(words64)]).mapInArrow(run, "a BIGINT, b BIGINT")
+    dealt = rows.repartition(*_TASK).sortWithinPartitions(*_TASK)
+    return dealt.select(*_TASK, "base", "node", *[f"f{k}" for k in range(words64)]).mapInArrow(run, "a BIGINT, b BIGINT")
 
 
-def _in_chunks(base: DataFrame, probe: DataFrame, chunks: Column, cols: list[str]) -> DataFrame:
-    """Base rows in one chunk of their tile each, probes in every chunk; rows of the tile meet across its chunks.
+def _in_chunks(base: DataFrame, probe: DataFrame, chunks: Column, probe_chunks: Column, cols: list[str]) -> DataFrame:
+    """The rows of each task. chunks, probe_chunks: how many of either the column tile has.
 
-    chunks: number of chunks of the column tile. A base row of chunk c is a probe of the tile's later chunks.
+    A tile with one of each is one task. Otherwise chunks i <= j of base rows meet (side 0), and each chunk of base rows
+    meets each chunk of probes (side 1).
     """
-    own = base.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    first = own.select("tile", "chunk", F.lit(True).alias("base"), *cols)
-    later = own.where("chunk < chunks - 1").select("tile", F.explode(F.sequence(F.col("chunk") + 1, (F.col("chunks") - 1).cast("int"))).alias("chunk"), F.lit(False).alias("base"), *cols)
-    other = probe.withColumn("chunks", chunks).select("tile", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"), F.lit(False).alias("base"), *cols)
-    return first.unionByName(later).unionByName(other)
+    sized = lambda df: df.withColumn("n", chunks).withColumn("p", probe_chunks)
+    base = sized(base).withColumn("k", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    probe = sized(probe).withColumn("k", F.pmod(F.xxhash64("node"), F.col("p")).cast("int"))
+    one = (F.col("n") == 1) & (F.col("p") == 1)
+    upto = lambda last: F.sequence(F.lit(0), last.cast("int"))
+    rows = lambda df, side, i, j, is_base: df.select("tile", F.lit(side).alias("side"), i.alias("i"), j.alias("j"), F.lit(is_base).alias("base"), *cols)
+    k = F.col("k")
+    parts = [
+        rows(base, 0, k, F.explode(F.sequence(k, (F.col("n") - 1).cast("int"))), True),
+        rows(base.where("k > 0"), 0, F.explode(upto(k - 1)), k, False),
+        rows(base.where(~one), 1, k, F.explode(upto(F.col("p") - 1)), True),
+        rows(probe.where(~one), 1, F.explode(upto(F.col("n") - 1)), k, False),
+        rows(probe.where(one), 0, k, k, False),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def links_by_counts(nodes: DataFrame, radius: int) -> DataFrame:
     """``(a, b)`` links that span all pairs of nodes ``(node, f0)`` within ``radius`` bits, tiled by quarters' population counts."""
     counts = _quarters(F.col("f0"))
     # The fullest tile has the share 0.2 ** 4 of evenly spread fingerprints.
-    chunks = F.lit(max(1, math.ceil(nodes.count() * 0.2**4 / CHUNK_ROWS)))
+    n = max(1, math.ceil(nodes.count() * 0.2**4 / CHUNK_ROWS))
+    offsets = _later_offsets(radius)
     base = nodes.select("node", "f0", _packed(counts).alias("tile"))
     within = lambda d: sum((F.when((c + o).between(0, 16), 0).otherwise(1) for c, o in zip(counts, d)), F.lit(0)) == 0
-    near = F.array(*[F.when(within(d), _packed([c + o for c, o in zip(counts, d)])) for d in _later_offsets(radius)])
+    near = F.array(*[F.when(within(d), _packed([c + o for c, o in zip(counts, d)])) for d in offsets])
     probe = nodes.select("node", "f0", F.explode(F.filter(near, lambda t: t.isNotNull())).alias("tile"))
     probe = probe.join(base.select("tile").distinct(), "tile", "left_semi")
-    return _tiled(_in_chunks(base, probe, chunks, ["node", "f0"]), 1, radius)
+    return _tiled(_in_chunks(base, probe, F.lit(n), F.lit(1 if n == 1 else n * len(offsets)), ["node", "f0"]), 1, radius)
 
 
 def links_by_size(nodes: DataFrame, words64: int, radius: int, similarity: float) -> DataFrame:
@@ -214,12 +232,13 @@ def links_by_size(nodes: DataFrame, words64: int, radius: int, similarity: float
     cols = ["node", *[f"f{k}" for k in range(words64)]]
     base = nodes.select(*cols, F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / -math.log(similarity)).cast("int").alias("tile"))
     full = {r["tile"]: r["count"] for r in base.groupBy("tile").count().collect()}  # a few dozen tiles, by the logarithm of sizes
-    chunks = F.lit(1)
+    chunks = probes = F.lit(1)
     for tile, n in full.items():
         if n > CHUNK_ROWS:
             chunks = F.when(F.col("tile") == tile, F.lit(math.ceil(n / CHUNK_ROWS))).otherwise(chunks)
-    probe = base.select(*cols, (F.col("tile") + 1).alias("tile")).where(F.col("tile").isin([t for t in full]))
-    return _tiled(_in_chunks(base, probe, chunks, cols), words64, radius)
+            probes = F.when(F.col("tile") == tile + 1, F.lit(math.ceil(n / CHUNK_ROWS))).otherwise(probes)
+    probe = base.select(*cols, (F.col("tile") + 1).alias("tile")).where(F.col("tile").isin(list(full)))
+    return _tiled(_in_chunks(base, probe, chunks, probes, cols), words64, radius)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
