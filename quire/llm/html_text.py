@@ -54,6 +54,8 @@ class Element:
         role = attrs.get("role", "").lower()
         self.names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
         words = set(_WORDS.findall(_CAMEL.sub(" ", self.names).lower())) if self.names != " " else set()
+        if tag in ("header", "h1", "h2", "h3", "h4", "h5", "h6"):
+            words = words - {"header", "masthead"}  # whether a header is the page's or the article's is told by its place
         hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I)
         self.out = tag in DROPPED or role in ROLES or bool(hidden) or (tag not in ("html", "body", "article", "main") and bool(words & NAMES))
         self.scope = tag in ("article", "main") or role in ("main", "article")

@@ -25,7 +25,7 @@ def folder(spark, tmp_path_factory):
     rows += [(200, rows[3][1], "en", "a"), (201, rows[3][1], "en", "b"), (202, " ".join(near), rows[7][2], "a"), (203, "1234 !!", None, "a"), (204, None, "en", "a"), (205, "Ωψξ λμν " * 30, None, "b"),
              (206, f"{text(rng, 'en', 80)} {items[1]} {text(rng, 'en', 40)}", "en", "a"), (207, "", "es", "b")]
     path = tmp_path_factory.mktemp("pipeline")
-    spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, t, lang, s, len(t or ""), "own", 7) for i, t, lang, s in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, score STRING, kept INT").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id BIGINT, text STRING").write.parquet(f"{path}/benchmark.parquet")
     return str(path)
 
@@ -37,7 +37,7 @@ def test_stages_against_brute_force(spark, folder):
     gone = {"language": {203, 204, 205, 207}, "near_duplicates": {200, 201, 202}, "decontamination": {206}}
     for name, stage in corpus_pipeline.STAGES[:4]:
         docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
-        assert docs.columns == columns
+        assert docs.columns == columns and {(r.score, r.kept) for r in docs.collect()} == {("own", 7)}
         now = {r.doc_id for r in docs.collect()}
         if name in gone:
             assert kept - now == gone[name], name
