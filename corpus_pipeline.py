@@ -12,10 +12,17 @@ from quire.llm.common import fresh_path, table
 LEAST_LANGUAGE_SCORE = 0.3
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``docs`` with columns of the names an operator adds set aside, and the columns that bring them back."""
+    own = {c: f"_own_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(own), [F.col(own.get(c, c)).alias(c) for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts in no known language."""
-    judged = langid.predict(docs, langid.fit(docs))
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    rows, columns = _aside(docs, ("lang_pred", "score"))
+    judged = langid.predict(rows, langid.fit(rows))
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws half of the tokens, with sources, languages and topics evened out."""
-    return mixing.mixed(docs, keep=0.5, power=0.5).where("kept").select(*docs.columns)
+    rows, columns = _aside(docs, ("topic", "n_tokens", "weight", "prob", "kept"))
+    return mixing.mixed(rows, keep=0.5, power=0.5).where("kept").select(*columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
