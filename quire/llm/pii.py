@@ -116,6 +116,14 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
     return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, t bigint, base {_BASE}, near {_NEAR}")
 
 
+def _counted(docs: DataFrame, pairs: DataFrame, text_col: str, name: str, broadcast_rows: int) -> DataFrame:
+    """``(term, name)``: the number of documents that hold each term of the pairs."""
+    terms = pairs.select("term").distinct()
+    terms = F.broadcast(terms) if small_enough(terms, broadcast_rows) else terms
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))).alias("term"))
+    return words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias(name))
+
+
 def disclosing_terms(docs: DataFrame, near: DataFrame, text_col: str = "text", min_contexts: int = 3, disclosure: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``(entity, term, pmi, ic)`` of the terms above the threshold; near: ``(id, t, entity, context, start, end, term)``."""
     total = float(docs.count())
@@ -135,11 +143,11 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, text_col: str = "text", m
     pairs = checkpointed(often.join(n_pair, ["entity", "term"]).join(n_entity, "entity").join(n_near, "term").where(above("n_near")))
     if not pairs.limit(1).count():
         return pairs.select("entity", "term", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic"))
-    terms = pairs.select("term").distinct()
-    terms = F.broadcast(terms) if small_enough(terms, broadcast_rows) else terms
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))).alias("term"))
-    n_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    return pairs.join(n_term, "term").where(above("n_term")).select("entity", "term", pmi("n_term").alias("pmi"), ic.alias("ic"))
+    # So they are in at least those of a sixteenth of all documents that hold them: what is too common there goes unread.
+    some = checkpointed(pairs.join(_counted(docs.where(F.pmod(text_key(F.col(text_col)), F.lit(16)) == 0), pairs, text_col, "n_some", broadcast_rows), "term", "left")
+                        .withColumn("n_some", F.coalesce("n_some", F.lit(0))).where(above("n_some")))
+    n_term = _counted(docs, some, text_col, "n_term", broadcast_rows)
+    return some.join(n_term, "term").where(above("n_term")).select("entity", "term", pmi("n_term").alias("pmi"), ic.alias("ic"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, min_contexts: int = 3, disclosure: float = 0.8) -> DataFrame:
