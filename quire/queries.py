@@ -242,7 +242,7 @@ def segmentation_lines(spark, sf_dir):
 
 
 _LEXICAL_SQL = "text, lower(text), left(text, 1), left(text, 2), left(text, 3), left(text, 4), right(text, 1), right(text, 2), right(text, 3), right(text, 4)"
-_KNOWN = f"kn as (select distinct lower(t) as term from (select unnest(regexp_extract_all(text, '{q(T.TOKEN)}', 1)) as t from benchmark where item_id < 20))"
+_KNOWN = f"kn as (select distinct lower(t) as term from (select unnest(regexp_extract_all(text, '{q(T.TOKEN)}', 1)) as t from benchmark))"
 _TOKEN_SQL = _INDEXED + f""", {_KNOWN}, ft as (select st.*, case when kn.term is not null then '1' else '0' end as known, row_number() over (partition by doc_id order by line_no, token_no) - 1 as i, count(*) over (partition by doc_id) as n,
 max(line_length) over (partition by doc_id) as longest, {sql_profile('line_text')} as profile, {_BLOCK_END} as block_status_end, {_BLOCK_START} as block_status_start from st left join kn on lower(st.text) = kn.term)"""
 _SINGLE = "case when len(text) = 1 then '1' else '0' end"
@@ -250,7 +250,7 @@ _FONT = "case when i = 0 then 'NEWFONT' else 'SAMEFONT' end, 'HIGHERFONT', '0',
 
 
 def _known_names(spark, sf_dir):
-    terms = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.explode(T.tokens("text")).alias("term")).select(F.lower("term").alias("term")).distinct()
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens("text")).alias("term")).select(F.lower("term").alias("term")).distinct()
     return terms.select(F.explode(F.array(F.lit("first_name"), F.lit("last_name"), F.lit("country"))).alias("kind"), "term")
 
 
@@ -428,17 +428,6 @@ def citation_chained_match(spark, sf_dir):
     return match.chained(match.match_by_key(citations, targets), match.match_by_tokens(citations, targets))
 
 
-_CORPUS_MATCH = f"t as (select lang as doc_id, doc_id as target_id, doc_id as ord, left(text, 60) as text from documents where doc_id % 10 = 3), c as (select lang as doc_id, doc_id as citation_id, left(text, 24) as text from documents where doc_id % 10 = 4)"
-
-
-@query(f"with {_CORPUS_MATCH}, {_PARTIAL_SQL} select doc_id, citation_id, target_id from mp")
-def corpus_token_match(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    targets = docs.where("doc_id % 10 = 3").select(F.col("lang").alias("doc_id"), F.col("doc_id").alias("target_id"), F.col("doc_id").alias("ord"), F.left("text", F.lit(60)).alias("text"))
-    citations = docs.where("doc_id % 10 = 4").select(F.col("lang").alias("doc_id"), F.col("doc_id").alias("citation_id"), F.left("text", F.lit(24)).alias("text"))
-    return match.match_by_tokens(citations, targets)
-
-
 _AUTHORS = "(1, 0, array('1', '2')), (1, 1, array('2')), (1, 2, array('9')), (2, 0, array()), (3, 0, array('a'))"
 _AFFILIATIONS = "(1, '1', 'aff0'), (1, '2', 'aff1'), (1, '3', 'aff2'), (1, '2', 'aff3'), (2, '', 'aff0'), (3, 'a', 'aff0')"
 _AUTHORS_SQL = f"au as (select * from (values {_AUTHORS.replace('array(', '[').replace(')),', ']),').replace('))', '])').replace('[)', '[]')}) v(doc_id, author_id, markers)), af as (select * from (values {_AFFILIATIONS}) v(doc_id, marker, affiliation_id))"
@@ -588,7 +577,7 @@ def affiliation_parts(spark, sf_dir):
 _BOXES = "(1, 0, 10.0, 10.0, 5.0, 5.0, 1), (1, 1, 20.0, 10.0, 5.0, 6.0, 1), (1, 2, 0.0, 0.0, 0.0, 5.0, 1), (1, 3, 1.0, 1.0, 2.0, 2.0, 2), (1, 4, 5.0, 5.0, 1.0, 1.0, 1), (2, 0, 0.0, 0.0, 0.0, 0.0, 3), (2, 1, 1.0, 2.0, 3.0, 4.0, 3)"
 
 
-@query("select * from (values (1, 0, 1, 0.0, 0.0, 25.0, 16.0), (1, 1, 2, 1.0, 1.0, 2.0, 2.0), (1, 2, 1, 5.0, 5.0, 1.0, 1.0), (2, 0, 3, 1.0, 2.0, 3.0, 4.0)) v(doc_id, box_no, page, x, y, w, h)")
+@query("select doc_id, box_no, page, x::double as x, y::double as y, w::double as w, h::double as h from (values (1, 0, 1, 0.0, 0.0, 25.0, 16.0), (1, 1, 2, 1.0, 1.0, 2.0, 2.0), (1, 2, 1, 5.0, 5.0, 1.0, 1.0), (2, 0, 3, 1.0, 2.0, 3.0, 4.0)) v(doc_id, box_no, page, x, y, w, h)")
 def box_union(spark, sf_dir):
     df = values(spark, f"{_BOXES} as b(doc_id, ord, x, y, w, h, page)").select("doc_id", "ord", graphics.box(*[F.col(c).cast("double") for c in "xywh"], F.col("page")).alias("coord"))
     return graphics.merged_boxes(df, ["doc_id"], ["ord"])
