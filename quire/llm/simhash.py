@@ -1,6 +1,6 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-A text's words give shingles, their hashes a fingerprint of 64 or 128 bits. Equal fingerprints collapse into one
+A text's words give shingles, their hashes a fingerprint of 64 to 256 bits. Equal fingerprints collapse into one
 row each, so exact copies, however many, are one node. The distinct fingerprints are dealt into *tiles*, and only
 tile pairs that can hold a link are compared, in numpy blocks, by exclusive-or and bit count. Pairs of tiles are
 skipped by population counts, and by sizes where a least similarity is asked for:
@@ -16,6 +16,10 @@ corpus. Inside a task, what population counts of the bytes exclude is skipped
 too, and links are reduced to a spanning forest at once, so that a group of many near copies gives no more links
 than it has rows. Links are joined into components by large-star / small-star rounds over DataFrames with
 checkpoints; neither links nor components nor fingerprints pass through the driver.
+
+With a least similarity the fingerprints only tell what may be similar. Their components are *clusters*; inside each
+the sets of distinct shingles are compared themselves, and only pairs with that Jaccard similarity link. A cluster's
+rows meet its first row; those that are not similar to it meet the whole cluster, chunk by chunk.
 """
 
 from __future__ import annotations
@@ -30,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, text_key
 
 #: Base rows that a tile's chunk aims at, and the sides of a numpy block.
 CHUNK_ROWS, STRIP, BLOCK = 16_384, 64, 2_048
+#: Rows and shingles that a chunk of a cluster aims at.
+CLUSTER_ROWS, CLUSTER_SHINGLES = 1_024, 262_144
 
 
 def _counted(hashes: np.ndarray, counts: np.ndarray) -> None:
@@ -41,6 +47,47 @@ def _counted(hashes: np.ndarray, counts: np.ndarray) -> None:
     counts += bits.sum(axis=0, dtype=np.int64)
 
 
+def _cut(text: str | None, width: int) -> tuple[bytes, list[int], list[int]]:
+    """A text's words joined by single spaces, and where each shingle starts and ends in them."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return joined, [0] * bool(words), [len(joined)] * bool(words)
+    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    return joined, starts[: len(words) - width + 1].tolist(), (starts[width:] - 1).tolist()
+
+
+def distinct_shingles(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """(n, 2) XXH3-128 hashes of a text's different shingles, by the first word, which names a shingle."""
+    import xxhash
+
+    joined, first, last = _cut(text, width)
+    digest = xxhash.xxh3_128_digest
+    parts = [np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(first[lo : lo + 65_536], last[lo : lo + 65_536])]), "<u8") for lo in range(0, len(first), 65_536)]
+    hashes = np.concatenate(parts).reshape(-1, 2) if parts else np.zeros((0, 2), np.uint64)
+    return hashes[np.unique(hashes[:, 0], return_index=True)[1]]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 further bits of each hash (the finisher of SplitMix64)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def set_fingerprint(text: str | None, width: int, seed: int = 42, words64: int = 4) -> tuple[int, ...]:
+    """The SimHash of a text's different shingles in up to four 64-bit words, their number, and a hash of the set."""
+    import xxhash
+
+    hashes = distinct_shingles(text, width, seed)
+    counts, total = np.zeros(64 * words64, np.int64), len(hashes)
+    for lo in range(0, total, 65_536):
+        part = hashes[lo : lo + 65_536]
+        _counted(np.ascontiguousarray(np.hstack([part, _mixed(part)])[:, :words64]), counts)
+    return (*np.packbits(counts * 2 > total, bitorder="little").view("<u8").tolist(), total, xxhash.xxh3_64_intdigest(np.ascontiguousarray(hashes[:, 0]).tobytes()))
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = 42, words64: int = 1) -> tuple[int, ...]:
     """The SimHash of a text as 64-bit words, and the number of its shingles last.
 
@@ -49,15 +96,9 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42, words64: int =
     """
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    joined, first, last = _cut(text, width)
+    if not first:
         return (0,) * (words64 + 1)
-    joined = b" ".join(words)
-    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
-    if len(words) <= width:
-        first, last = [0], [len(joined)]
-    else:
-        first, last = starts[: len(words) - width + 1].tolist(), (starts[width:] - 1).tolist()
     digest = xxhash.xxh64_intdigest if words64 == 1 else xxhash.xxh3_128_digest
     counts, total = np.zeros(64 * words64, np.int64), len(first)
     for lo in range(0, total, 65_536):
@@ -79,6 +120,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, {', '.join(f'{n} BIGINT' for n in names)}, size BIGINT")
 
 
+def _row_key(id_: Column, text: Column) -> Column:
+    return F.xxhash64(id_, text_key(text))
+
+
+def set_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, words64: int) -> DataFrame:
+    """``(id, r, f0.., size, node)`` for each row: r names the row, node the set of its different shingles."""
+    base = docs.select(F.col(id_col).alias("id"), _row_key(F.col(id_col), F.col(text_col)).alias("r"), F.col(text_col).alias("text"))
+    names = [*[f"f{k}" for k in range(words64)], "size", "node"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.array([set_fingerprint(t.as_py(), width, seed, words64) for t in b.column(2)], dtype=np.uint64).reshape(-1, words64 + 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(rows[:, k]) for k in range(words64 + 2))], names=["id", "r", *names])
+
+    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, r BIGINT, {', '.join(f'{n} BIGINT' for n in names)}")
+
+
 def _quarters(fp: Column) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int") for k in range(4)]
 
@@ -144,6 +202,7 @@ def tile_links(rows: np.ndarray, base: np.ndarray, radius: int) -> np.ndarray:
                 continue
             y = rows[j : j + BLOCK]
             far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+            far = far.astype(np.uint16) if rows.shape[1] > 3 else far
             for k in range(1, rows.shape[1]):
                 far += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
             a, b = np.nonzero(far <= radius)
@@ -157,16 +216,30 @@ def tile_links(rows: np.ndarray, base: np.ndarray, radius: int) -> np.ndarray:
 _TASK = ["tile", "side", "i", "j"]
 
 
-def _tiled(rows: DataFrame, words64: int, radius: int) -> DataFrame:
-    """``(a, b)`` node pairs from ``(tile, side, i, j, base, node, f0..)`` rows, task by task."""
+def _by_task(rows: DataFrame, cols: list[str], link) -> DataFrame:
+    """``(a, b)`` node pairs from ``(tile, side, i, j, base, node, ..)`` rows, task by task; cols begin with node.
+
+    link: gives index pairs from a task's base marks and its columns; columns of arrays are lists of arrays.
+    """
+
+    def column(values: pa.Array):
+        if not pa.types.is_list(values.type):
+            return values.to_numpy(zero_copy_only=False)
+        out = np.empty(len(values), object)
+        flat, ends = values.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(values).to_numpy())
+        for k, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+            out[k] = flat[a:b]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
         held: list[tuple] = []
         current = None
 
         def done() -> Iterator[pa.RecordBatch]:
-            base, node, fps = (np.concatenate(x) for x in zip(*held))
-            pairs = tile_links(fps, base, radius)
+            base, node, *more = (np.concatenate(x) for x in zip(*held))
+            pairs = link(base, node, *more)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
 
@@ -174,20 +247,24 @@ def _tiled(rows: DataFrame, words64: int, radius: int) -> DataFrame:
             if not b.num_rows:
                 continue
             key = np.stack([b.column(k).to_numpy() for k in range(4)], axis=1)
-            base, node = b.column(4).to_numpy(zero_copy_only=False), b.column(5).to_numpy()
-            fps = np.stack([b.column(6 + k).to_numpy().view(np.uint64) for k in range(words64)], axis=1)
+            values = [column(b.column(k)) for k in range(4, b.num_columns)]
             cuts = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1), len(key)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if held and tuple(key[lo]) != current:
                     yield from done()
                     held = []
                 current = tuple(key[lo])
-                held.append((base[lo:hi], node[lo:hi], fps[lo:hi]))
+                held.append(tuple(v[lo:hi] for v in values))
         if held:
             yield from done()
 
     dealt = rows.repartition(*_TASK).sortWithinPartitions(*_TASK)
-    return dealt.select(*_TASK, "base", "node", *[f"f{k}" for k in range(words64)]).mapInArrow(run, "a BIGINT, b BIGINT")
+    return dealt.select(*_TASK, "base", *cols).mapInArrow(run, "a BIGINT, b BIGINT")
+
+
+def _tiled(rows: DataFrame, words64: int, radius: int) -> DataFrame:
+    """``(a, b)`` node pairs from ``(tile, side, i, j, base, node, f0..)`` rows, task by task."""
+    return _by_task(rows, ["node", *[f"f{k}" for k in range(words64)]], lambda base, node, *fps: tile_links(np.stack(fps, axis=1).view(np.uint64), base, radius))
 
 
 def _in_chunks(base: DataFrame, probe: DataFrame, chunks: Column, probe_chunks: Column, cols: list[str]) -> DataFrame:
@@ -241,6 +318,58 @@ def links_by_size(nodes: DataFrame, words64: int, radius: int, similarity: float
     return _tiled(_in_chunks(base, probe, chunks, probes, cols), words64, radius)
 
 
+def similar_pairs(sets: list[np.ndarray], base: np.ndarray, similarity: float) -> np.ndarray:
+    """Index pairs that link the rows of a cluster's task: a spanning forest of all pairs with the Jaccard similarity.
+
+    sets: each row's different shingles; base: which rows are base rows. Base rows meet all rows, probes not each other.
+    """
+    order = np.argsort(~base, kind="stable")
+    sizes = np.array([len(sets[k]) for k in order])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    names, ids = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    mark, forest = np.zeros(len(names), bool), _Forest(len(sets))
+    for i in range(min(int(base.sum()), len(sets) - 1)):
+        mark[ids[starts[i] : starts[i + 1]]] = True
+        shared = np.add.reduceat(mark[ids[starts[i + 1] :]], starts[i + 1 : -1] - starts[i + 1], dtype=np.int64)
+        mark[ids[starts[i] : starts[i + 1]]] = False
+        found = np.flatnonzero(_similar(shared, sizes[i], sizes[i + 1 :], similarity)) + i + 1
+        if len(found):
+            forest.add(np.full(len(found), i), found)
+    return order[np.array(forest.links, np.int64).reshape(-1, 2)]
+
+
+def _similar(shared, a, b, similarity: float):
+    return shared * (1 + similarity) + 1e-9 >= (a + b) * similarity
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, similarity: float, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
+    """``(a, b)`` links that span all pairs of nodes of one cluster whose sets of shingles have the Jaccard similarity.
+
+    nodes: ``(node, r)``, the name of one row that has the node's shingles; clusters: ``(node, root)`` without the roots.
+    """
+    in_cluster = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
+    wanted = nodes.select("node", "r").join(in_cluster, "node").select("node", "r", "root")
+    rows = docs.select(_row_key(F.col(id_col), F.col(text_col)).alias("r"), F.col(text_col).alias("text")).join(wanted, "r").select("node", "root", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [distinct_shingles(t.as_py(), width, seed)[:, 0].view(np.int64) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "root", "hs"])
+
+    # Repeated rows have a name in common; one of them is enough.
+    sets = checkpointed(rows.mapInArrow(run, "node BIGINT, root BIGINT, hs ARRAY<BIGINT>").dropDuplicates(["node"]))
+    first = sets.where("node = root").select("root", F.col("hs").alias("first"))
+    shared = F.size(F.array_intersect("hs", "first"))
+    near = checkpointed(sets.join(first, "root").select("node", "root", "hs", _similar(shared, F.size("hs"), F.size("first"), similarity).alias("near")))
+    # What is not like the first row meets the whole cluster.
+    held = near.groupBy("root").agg(*[F.greatest(F.ceil(F.count_if(c) / CLUSTER_ROWS), F.ceil(F.sum(F.when(c, F.size("hs")).otherwise(0)) / CLUSTER_SHINGLES), F.lit(1)).alias(n)
+                                      for n, c in (("n", ~F.col("near")), ("p", F.col("near")))], F.count_if(~F.col("near")).alias("left")).where("left > 0").drop("left")
+    open_ = near.join(held, "root").withColumnRenamed("root", "tile")
+    tasks = _in_chunks(open_.where("NOT near"), open_.where("near"), F.col("n"), F.col("p"), ["node", "hs"])
+    more = _by_task(tasks, ["node", "hs"], lambda base, node, hs: similar_pairs(hs, base, similarity))
+    return near.where("near AND node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, root)``: each node of the edges ``(a, b)`` with the least node of its component, which has no row itself.
 
@@ -268,23 +397,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     words64: int = 1, similarity: float | None = None) -> DataFrame:
     """``(id, fingerprint, component_id)`` for each row.
 
-    Rows link if their fingerprints differ in ``radius`` bits at most (and, with a similarity, if their numbers of
-    shingles allow it); component_id is the least id reachable. Null texts and texts without words have fingerprint
-    zero and link like any other. Repeated rows stay, each with its component. A null id is never a component's id
-    unless the component has no other. Extra columns are ignored; an empty table gives no rows.
+    Rows link if their fingerprints differ in ``radius`` bits at most. With a similarity, fingerprints are those of the
+    different shingles, and rows within the radius link if the Jaccard similarity of these is at least as high; the
+    radius should be wide enough for it. component_id is the least id reachable. Null texts and texts without words
+    have fingerprint zero and link like any other. Repeated rows stay, each with its component. A null id is never a
+    component's id unless the component has no other. Extra columns are ignored; an empty table gives no rows.
     """
     names = [f"f{k}" for k in range(words64)]
-    fps = checkpointed(fingerprints(docs, id_col, text_col, width, seed, words64))
-    key = ["f0"] if words64 == 1 and similarity is None else [*names, "size"]
-    node = F.col("f0") if key == ["f0"] else F.xxhash64(*key)
-    nodes = checkpointed(fps.groupBy(*key).agg(F.min("id").alias("least")).withColumn("node", node))
-    found = links_by_counts(nodes, radius) if key == ["f0"] else links_by_size(nodes, words64, radius, similarity or 0.01)
+    if similarity is not None:
+        fps = checkpointed(set_fingerprints(docs, id_col, text_col, width, seed, words64))
+        nodes = checkpointed(fps.groupBy("node", *names, "size").agg(F.min("id").alias("least"), F.min("r").alias("r")))
+        # The similarity of fewer shingles than these to another set is lower, or one.
+        clusters = components(links_by_size(nodes.where(F.col("size") >= math.ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else F.lit(False)), words64, radius, similarity))
+        found = similar_links(docs, nodes, clusters, similarity, id_col, text_col, width, seed)
+    else:
+        fps = checkpointed(fingerprints(docs, id_col, text_col, width, seed, words64))
+        key = ["f0"] if words64 == 1 else [*names, "size"]
+        node = F.col("f0") if key == ["f0"] else F.xxhash64(*key)
+        fps = fps.withColumn("node", node)
+        nodes = checkpointed(fps.groupBy(*key).agg(F.min("id").alias("least")).withColumn("node", node))
+        found = links_by_counts(nodes, radius) if key == ["f0"] else links_by_size(nodes, words64, radius, 0.01)
     stars = components(found)
     linked = nodes.select("node", "least").join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = linked.select("node", "root").join(roots, "root").select("node", "component_id")
     shown = F.concat(*[F.lower(F.lpad(F.hex(n), 16, "0")) for n in reversed(names)])
-    return fps.withColumn("node", node).join(by_node, "node").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
+    return fps.join(by_node, "node").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

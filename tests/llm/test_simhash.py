@@ -122,3 +122,42 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted((str(r.doc_id), r.component_id) for r in S.near_duplicates(df).collect())
     assert got == [("1", 1), ("1", 1), ("2", 2), ("None", 1)]
     assert S.near_duplicates(df.where("doc_id > 9")).count() == 0
+
+
+def jaccard_texts(shared, own, name):
+    """Two texts whose shingles of five words share ``shared`` and have ``own`` more each."""
+    head = [f"{name}h{k}" for k in range(shared + 4)]
+    return [" ".join([*head, *[f"{name}{side}{k}" for k in range(own)]]) for side in "ab"]
+
+
+def test_the_similarity_decides_not_the_radius(spark):
+    texts = []
+    for k in range(40):  # 0.8 each, then 0.79 each, with repeated passages that change no set
+        texts += jaccard_texts(80 + 8 * k, 10 + k, f"x{k}")
+        a, b = jaccard_texts(79 + 8 * k, 11 + k, f"y{k}")
+        texts += [a, f"{b} {b}"] if k % 2 else [a, b]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    similar = [len(a & b) >= 0.8 * len(a | b) - 1e-9 for a, b in zip(sets[::2], sets[1::2])]
+    assert all(similar[::2]) and not any(similar[1::2])
+    kept = {r.doc_id for r in S.one_of_each(df, width=5, radius=76, words64=4, similarity=0.8).collect()}
+    assert kept == set(range(len(texts))) - {2 * k + 1 for k, s in enumerate(similar) if s}
+
+
+def test_chains_of_similar_sets_in_chunks(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = []
+    for c in range(6):
+        w = [f"c{c}w{k}" for k in range(150)]
+        for _ in range(12):
+            w = w[6 + rng.randrange(8) :] + [f"c{c}n{rng.randrange(10**9)}" for _ in range(9)]
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    n = range(len(texts))
+    want = roots(n, [(i, j) for i in n for j in n if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9])
+    assert len(set(want.values())) < len(texts)
+    for rows in (1_024, 2):
+        monkeypatch.setattr(S, "CLUSTER_ROWS", rows)
+        got = {r.doc_id: r.component_id for r in S.near_duplicates(df, width=5, radius=76, words64=4, similarity=0.8).collect()}
+        assert got == want
