@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_key
+from .common import checkpointed, small_enough, text_key
 
 # Names of HTML elements, and words of class, id and role names that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -194,13 +194,13 @@ def host_of(url: Column) -> Column:
 
 
 def counted(root: Element) -> set[int]:
-    """The subtree hashes of a page that can be template: blocks that no boilerplate rule drops with what is in them."""
+    """The subtree hashes of a page that can be template: those that no boilerplate rule drops with what is in them."""
     hash_subtrees(root)
     out, todo = set(), [root]
     while todo:
         for e in todo.pop().parts:
             if isinstance(e, Element) and not e.out:
-                if e.parts and e.tag not in INLINE:
+                if e.parts:
                     out.add(e.hash)
                 todo.append(e)
     return out
@@ -218,27 +218,30 @@ def subtrees(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, t BIGINT, host BIGINT, hs ARRAY<BIGINT>")
 
 
-def templates(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_pages: int, min_share: float) -> DataFrame:
-    """``(id, t, gone)``: of each page that has some, the hashes of subtrees that are its site's template."""
-    rows = checkpointed(subtrees(pages, id_col, url_col, html_col))
+def templates(rows: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """``(host, h)``: the hashes of subtrees that are a site's template; rows as of subtrees()."""
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    seen = rows.select("id", "t", "host", F.explode("hs").alias("h"))
-    often = (seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-             .join(hosts, "host").where(F.col("n") >= F.lit(min_share) * F.col("pages")).select("host", "h"))
-    often = checkpointed(often)  # so that the join below stays one of two plain sides, which Spark can split where a host is large
-    return seen.join(often, ["host", "h"], "left_semi").groupBy("id", "t").agg(F.collect_set("h").alias("gone"))
+    seen = rows.select("host", F.explode("hs").alias("h"))
+    return (seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+            .join(hosts, "host").where(F.col("n") >= F.lit(min_share) * F.col("pages")).select("host", "h"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.5, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``(id, url, text)`` for each page.
 
     A subtree found on ``min_pages`` pages of a host and on the share ``min_share`` of them is template; what the
     boilerplate rules drop anyway is not counted. A null or empty page has an empty text; a null url is a host of
     its own. Repeated rows count as pages; ids may be null; extra columns are ignored; an empty table gives no rows.
     """
-    gone = templates(pages, id_col, url_col, html_col, min_pages, min_share)
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), text_key(F.col(html_col)).alias("t"))
-    joined = base.alias("p").join(gone.alias("g"), F.col("p.id").eqNullSafe(F.col("g.id")) & (F.col("p.t") == F.col("g.t")), "left").select("p.id", "p.url", "p.html", "g.gone")
+    rows = checkpointed(subtrees(pages, id_col, url_col, html_col))
+    often = checkpointed(templates(rows, min_pages, min_share))
+    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(host_of(F.col(url_col))).alias("host"))
+    if small_enough(often, broadcast_rows):  # pages need not move
+        joined = base.join(F.broadcast(often.groupBy("host").agg(F.collect_list("h").alias("gone"))), "host", "left").select("id", "url", "html", "gone")
+    else:
+        gone = rows.select("id", "t", "host", F.explode("hs").alias("h")).join(often, ["host", "h"], "left_semi").groupBy("id", "t").agg(F.collect_set("h").alias("gone"))
+        keyed = base.withColumn("t", text_key(F.col("html")))
+        joined = keyed.alias("p").join(gone.alias("g"), F.col("p.id").eqNullSafe(F.col("g.id")) & (F.col("p.t") == F.col("g.t")), "left").select("p.id", "p.url", "p.html", "g.gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

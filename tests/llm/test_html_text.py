@@ -38,3 +38,10 @@ def test_templates_are_deleted_by_host(spark):
     assert [by_id[i] for i in range(12)] == [f"text {i}" for i in range(12)]
     assert by_id[20] == "Welcome to our site text 0" and by_id[30] == by_id[31] == "" and by_id[None] == "null id" and len(by_id[32]) == 119_999
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_inline_templates_in_blocks_that_vary(spark):
+    rows = [(i, f"https://a.example/{i}", f"<body><div>{i} May <a>Share this story</a></div><p>text {i} <span>Read also our guide</span></p></body>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    for limit in (1_000_000, 0):
+        assert {r.page_id: r.text for r in H.extract(df, broadcast_rows=limit).collect()} == {i: f"{i} May text {i}" for i in range(8)}
