@@ -1,8 +1,8 @@
 """Main text of HTML pages, with site templates removed.
 
 A page is parsed into elements. Each element's subtree has a hash of its tag, class, text and children; Spark counts
-on how many pages of its host a hash occurs, and subtrees found on a large share of a host's pages are that site's
-template and are deleted. What remains is the article: boilerplate elements (menus, forms, scripts, notices, ...) are
+on how many different pages of its host a hash occurs, and subtrees found on a large share of a host's pages, or on
+many of them, are that site's template and are deleted. What remains is the article: boilerplate elements (menus, forms, scripts, notices, ...) are
 left out by their tag, role and names, and if the page has article or main elements, only these count.
 """
 
@@ -182,11 +182,22 @@ def blocks(root: Element, templates: frozenset[int] | set[int] = frozenset()) ->
     return out
 
 
-def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
+def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset(), partial: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article's text. partial: hashes of templates of a part of the site.
+
+    These go only where they are blocks, as words in bold or links recur in articles, and only if at least half of the
+    page's words stay, as what recurs all together is a copied article.
+    """
     root = parse(page)
-    if templates:
-        hash_subtrees(root)
-    return " ".join(blocks(root, templates))
+    if templates or partial:
+        found = hash_subtrees(root)
+        partial = {e.hash for e in found if e.hash in partial and e.tag not in INLINE}
+    text = " ".join(blocks(root, templates))
+    if partial:
+        less = " ".join(blocks(root, partial | set(templates)))
+        if 2 * len(less.split()) >= len(text.split()):
+            return less
+    return text
 
 
 def host_of(url: Column) -> Column:
@@ -219,33 +230,48 @@ def subtrees(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
 
 
 def templates(rows: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """``(host, h)``: the hashes of subtrees that are a site's template; rows as of subtrees()."""
+    """``(host, h, whole)``: the hashes of subtrees that are a site's template, and whether of the whole site.
+
+    rows: as of subtrees(), each different page of a host once. A template of the whole site is on the share
+    ``min_share`` of its pages; one of a part is on ``min_pages`` pages times the binary logarithm of their number.
+    """
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     seen = rows.select("host", F.explode("hs").alias("h"))
-    return (seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-            .join(hosts, "host").where(F.col("n") >= F.lit(min_share) * F.col("pages")).select("host", "h"))
+    whole = F.col("n") >= F.lit(min_share) * F.col("pages")
+    return (seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).join(hosts, "host")
+            .where(whole | (F.col("n") >= F.lit(min_pages) * F.log2("pages"))).select("host", "h", whole.alias("whole")))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.5, broadcast_rows: int = 1_000_000) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.5, broadcast_rows: int = 200_000) -> DataFrame:
     """``(id, url, text)`` for each page.
 
-    A subtree found on ``min_pages`` pages of a host and on the share ``min_share`` of them is template; what the
-    boilerplate rules drop anyway is not counted. A null or empty page has an empty text; a null url is a host of
-    its own. Repeated rows count as pages; ids may be null; extra columns are ignored; an empty table gives no rows.
+    A subtree found on ``min_pages`` different pages of a host and on the share ``min_share`` of them is template, and
+    so, on large hosts, is one on a number of pages that grows with the logarithm of the host's (see templates() and
+    main_text()); what the boilerplate rules drop anyway is not counted. A null or empty page has an empty text; a null
+    url is a host of its own. Copies of a page count as one; ids may be null; extra columns are ignored; an empty table
+    gives no rows.
     """
-    rows = checkpointed(subtrees(pages, id_col, url_col, html_col))
+    rows = checkpointed(subtrees(pages, id_col, url_col, html_col).dropDuplicates(["host", "t"]))
     often = checkpointed(templates(rows, min_pages, min_share))
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(host_of(F.col(url_col))).alias("host"))
+    by_host = None
     if small_enough(often, broadcast_rows):  # pages need not move
-        joined = base.join(F.broadcast(often.groupBy("host").agg(F.collect_list("h").alias("gone"))), "host", "left").select("id", "url", "html", "gone")
+        sets: dict[int, tuple[set, set]] = {}
+        for r in often.collect():
+            sets.setdefault(r["host"], (set(), set()))[not r["whole"]].add(r["h"] % 2**64)
+        by_host = pages.sparkSession.sparkContext.broadcast(sets)
+        joined = base.select("id", "url", "html", "host", F.lit(None).cast("array<bigint>").alias("whole"), F.lit(None).cast("array<bigint>").alias("part"))
     else:
-        gone = rows.select("id", "t", "host", F.explode("hs").alias("h")).join(often, ["host", "h"], "left_semi").groupBy("id", "t").agg(F.collect_set("h").alias("gone"))
-        keyed = base.withColumn("t", text_key(F.col("html")))
-        joined = keyed.alias("p").join(gone.alias("g"), F.col("p.id").eqNullSafe(F.col("g.id")) & (F.col("p.t") == F.col("g.t")), "left").select("p.id", "p.url", "p.html", "g.gone")
+        hit = rows.select("t", "host", F.explode("hs").alias("h")).join(often, ["host", "h"])
+        gone = checkpointed(hit.groupBy("host", "t").agg(*[F.collect_list(F.when(c, F.col("h"))).alias(n) for n, c in (("whole", F.col("whole")), ("part", ~F.col("whole")))]))
+        joined = base.withColumn("t", text_key(F.col("html"))).join(gone, ["host", "t"], "left").select("id", "url", "html", "host", "whole", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(page, {h % 2**64 for h in g or ()}) for page, g in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = []
+            for page, host, whole, part in zip(*[b.column(k).to_pylist() for k in range(2, 6)]):
+                found = by_host.value.get(host, (set(), set())) if by_host else [{h % 2**64 for h in hs or ()} for hs in (whole, part)]
+                texts.append(main_text(page, *found))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
     return joined.mapInArrow(run, f"{id_col} {base.schema['id'].dataType.simpleString()}, {url_col} string, text string")

@@ -45,3 +45,20 @@ def test_inline_templates_in_blocks_that_vary(spark):
     df = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
     for limit in (1_000_000, 0):
         assert {r.page_id: r.text for r in H.extract(df, broadcast_rows=limit).collect()} == {i: f"{i} May text {i}" for i in range(8)}
+
+
+def test_templates_of_a_part_of_a_host(spark):
+    rows = []
+    for i in range(200):
+        head = "<div>Written by our travel desk</div>" if i % 5 < 2 else ""
+        rows.append((i, f"https://a.example/{i}", f"<body>{head}<p>own text {i} with <b>bold</b> words{' of it' * (i % 5)}</p></body>" if i % 2 else f"<body>{head}<p>own text {i} and more of it</p></body>"))
+    copied = "<p>An article that was copied</p><p>all of it to many pages</p>"
+    rows += [(1000 + i, f"https://a.example/c{i}", f"<body>{copied}<p>{i}</p></body>") for i in range(60)]
+    rows += [(2000 + i, f"https://a.example/d{i}", "<body><p>One page under many names</p></body>") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    for limit in (1_000_000, 0):
+        got = {r.page_id: r.text for r in H.extract(df, broadcast_rows=limit).collect()}
+        for i in range(200):
+            assert got[i] == (f"own text {i} with bold words{' of it' * (i % 5)}" if i % 2 else f"own text {i} and more of it"), i
+        assert all(got[1000 + i] == f"An article that was copied all of it to many pages {i}" for i in range(60))
+        assert all(got[2000 + i] == "One page under many names" for i in range(300))
