@@ -5,8 +5,8 @@ each margin in turn, until all three hold. A cell's weight is its raked tokens o
 by probabilities ``min(1, l * weight)``, with ``l`` calibrated so that the expected tokens meet the budget.
 
 Topics come from spherical k-means over hashed words, fitted on a bounded sample of ``topic_sample`` rows; every row is
-assigned. Margins keep their ``max_classes`` largest classes, further ones share the class "(other)", so the cells
-that the driver rakes are bounded whatever the corpus; no row is left out for it.
+assigned. All classes of all margins are raked: by the driver where there are few cells, else as DataFrames, with the
+same results. Only a caller that gives ``max_classes`` has the classes after the largest share the class "(other)".
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_key
+from .common import checkpointed, small_enough, text_key
 
 OTHER, NONE = "(other)", "(none)"
 
@@ -145,20 +145,18 @@ def _class(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(NONE))
 
 
-def plan(rows: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | None, keep: float, power: float, max_classes: int) -> tuple[list[dict], dict[str, list[str]]]:
-    """Each cell's weight and probability, and the classes kept of each margin; rows have the margins' columns and n_tokens."""
-    classes = {}
-    for m in margins:
-        classes[m] = [r["c"] for r in rows.groupBy(_class(m).alias("c")).agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), "c").limit(max_classes).collect()]
-    cells = rows.groupBy(*[F.when(_class(m).isin(classes[m]), _class(m)).otherwise(OTHER).alias(m) for m in margins]).agg(F.sum("n_tokens").alias("tokens")).collect()
+def plan(rows: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | None, keep: float, power: float) -> list[dict]:
+    """Each cell's weight and probability; rows have the margins' columns and n_tokens."""
+    cells = sorted(rows.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")).collect())
     if not cells:
-        return [], classes
+        return []
     tokens = np.array([r["tokens"] for r in cells], np.float64)
     known = np.maximum(tokens, 1e-9)
     at, goals = [], []
     for m in margins:
         names = sorted({r[m] for r in cells})
-        where = np.array([names.index(r[m]) for r in cells])
+        place = {n: k for k, n in enumerate(names)}
+        where = np.array([place[r[m]] for r in cells])
         share = dict(zip(names, np.bincount(where, weights=known) / known.sum()))
         goal = (targets or {}).get(m) or tempered(share, power)
         at.append(where)
@@ -166,11 +164,52 @@ def plan(rows: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | N
     raked = rake(known, at, goals)
     weights = raked * known.sum() / known
     probs = calibrated(known, weights, keep * known.sum())
-    return [{**{m: r[m] for m in margins}, "weight": float(w), "prob": float(p)} for r, w, p in zip(cells, weights, probs)], classes
+    return [{**{m: r[m] for m in margins}, "weight": float(w), "prob": float(p)} for r, w, p in zip(cells, weights, probs)]
+
+
+def plan_frame(rows: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | None, keep: float, power: float, tolerance: float = 1e-9, rounds: int = 1_000) -> DataFrame:
+    """What plan() gives as a DataFrame of the margins, weight and prob, for any number of cells and classes.
+
+    A margin's sums are joined to the cells, and the cells are checkpointed after each round.
+    """
+    spark, share = rows.sparkSession, F.col("share")
+    cells = checkpointed(rows.groupBy(*margins).agg(F.greatest(F.sum("n_tokens").cast("double"), F.lit(1e-9)).alias("tokens")))
+    total = cells.agg(F.sum("tokens")).first()[0]
+    goals = {}
+    for m in margins:
+        goal = cells.groupBy(m).agg((F.sum("tokens") / total).alias("own"))
+        if (targets or {}).get(m):
+            given = spark.createDataFrame([(k, float(v)) for k, v in targets[m].items()], f"{m} string, goal double")
+            goal = goal.join(given, m, "left").select(m, F.coalesce("goal", F.lit(0.0)).alias("goal"))
+        else:
+            goal = goal.select(m, F.pow("own", F.lit(power)).alias("goal"))
+        goal = checkpointed(goal)
+        goals[m] = goal.select(m, (F.col("goal") / goal.agg(F.sum("goal")).first()[0]).alias("goal"))
+    now = cells.withColumn("share", F.col("tokens") / total)
+    for _ in range(rounds):
+        now = now.withColumn("gap", F.lit(0.0))
+        for m in margins:
+            sums = now.groupBy(m).agg(F.sum("share").alias("sum")).join(goals[m], m)
+            now = now.join(sums, m).select(*margins, "tokens", F.when(F.col("sum") > 0, share * F.col("goal") / F.col("sum")).otherwise(0.0).alias("share"),
+                                           F.greatest("gap", F.abs(F.col("sum") - F.col("goal"))).alias("gap"))
+            now = checkpointed(now)
+        if now.agg(F.max("gap")).first()[0] < tolerance:
+            break
+    weighted = checkpointed(now.select(*margins, "tokens", (share * total / F.col("tokens")).alias("weight")))
+    scale, full = 0.0, -1
+    while True:  # as calibrated(): the cells kept whole only become more
+        whole = F.col("weight") * F.lit(scale) >= 1
+        r = weighted.agg(F.count_if(whole).alias("n"), F.sum(F.when(whole, F.col("tokens")).otherwise(0.0)).alias("held"),
+                         F.sum(F.when(~whole, F.col("tokens") * F.col("weight")).otherwise(0.0)).alias("free")).first()
+        if r["n"] == full or r["free"] <= 0:
+            break
+        full, scale = r["n"], (keep * total - r["held"]) / r["free"]
+    return weighted.select(*margins, "weight", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)).alias("prob"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict] | None = None,
-          keep: float = 0.5, power: float = 0.5, topics: int = 8, topic_sample: int = 2_000, max_classes: int = 200, seed: int = 1) -> DataFrame:
+          keep: float = 0.5, power: float = 0.5, topics: int = 8, topic_sample: int = 2_000, max_classes: int | None = None, seed: int = 1,
+          driver_cells: int = 100_000) -> DataFrame:
     """``docs`` with ``topic``, ``n_tokens``, ``weight``, ``prob`` and ``kept``; columns of these names are replaced.
 
     targets: shares by class for the margins source, lang and topic; a margin without has its own shares raised to
@@ -181,17 +220,25 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     names = {"source": source_col, "lang": lang_col, "topic": "topic"}
     model = fit_topics(docs, id_col, text_col, topics, topic_sample)
     base = docs.drop("topic", "n_tokens", "weight", "prob", "kept").withColumn("_t", topic_column(docs, model, text_col))
-    rows = checkpointed(base.select(_as(source_col, "source"), _as(lang_col, "lang"), F.col("_t.topic").cast("string").alias("topic"), F.col("_t.n_tokens").alias("n_tokens"))
+    rows = checkpointed(base.select(_as(source_col, "source"), _as(lang_col, "lang"), _class("_t.topic").alias("topic"), F.col("_t.n_tokens").alias("n_tokens"))
                         .groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n_tokens")))
-    cells, classes = plan(rows, tuple(names), targets, keep, power, max_classes)
-    spark = docs.sparkSession
-    table = spark.createDataFrame(cells or [{"source": NONE, "lang": NONE, "topic": NONE, "weight": 0.0, "prob": 0.0}], "source string, lang string, topic string, weight double, prob double")
+    classes: dict[str, list[str]] = {}
+    for m in names if max_classes is not None else ():
+        classes[m] = [r["c"] for r in rows.groupBy(F.col(m).alias("c")).agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), "c").limit(max_classes).collect()]
+    merged = lambda c, m: F.when(c.isin(classes[m]), c).otherwise(OTHER) if m in classes else c
+    rows = rows.select(*[merged(F.col(m), m).alias(m) for m in names], "n_tokens")
+    if small_enough(rows, driver_cells):
+        cells = plan(rows, tuple(names), targets, keep, power)
+        cells = cells or [{"source": NONE, "lang": NONE, "topic": NONE, "weight": 0.0, "prob": 0.0}]
+        table = F.broadcast(docs.sparkSession.createDataFrame(cells, "source string, lang string, topic string, weight double, prob double"))
+    else:
+        table = plan_frame(rows, tuple(names), targets, keep, power)
     table = table.select(*[F.col(m).alias(f"_{m}") for m in names], "weight", "prob")
     labelled = base.select("*", F.col("_t.topic").alias("topic"), F.col("_t.n_tokens").alias("n_tokens")).drop("_t")
     for m, column in names.items():
-        labelled = labelled.withColumn(f"_{m}", F.when(_class(column).isin(classes[m]), _class(column)).otherwise(OTHER))
+        labelled = labelled.withColumn(f"_{m}", merged(_class(column), m))
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text_key(F.col(text_col))), F.lit(1 << 53)) / float(1 << 53)
-    joined = labelled.join(F.broadcast(table), [f"_{m}" for m in names], "left").drop(*[f"_{m}" for m in names])
+    joined = labelled.join(table, [f"_{m}" for m in names], "left").drop(*[f"_{m}" for m in names])
     return joined.withColumn("kept", drawn < F.coalesce("prob", F.lit(0.0)))
 
 

@@ -70,3 +70,19 @@ def test_many_classes_share_one_and_empty_table(spark):
     out = M.mixed(df, max_classes=2, topics=2)
     assert out.count() == df.count() and out.where("prob is null").count() == 0
     assert M.mixed(df.limit(0)).count() == 0
+
+
+def test_every_class_has_its_target_on_the_driver_and_as_frames(spark):
+    rows = [(i, f"w{i % 3} x y", "en" if i < 300 else "de", f"s{min(i, 600 - i)}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    goal = {"source": {f"s{k}": 1.0 + k % 2 for k in range(301)}}
+    got = []
+    for cells in (100_000, 0):
+        out = M.mixed(df, targets=goal, keep=0.3, topics=1, driver_cells=cells).toPandas().sort_values("doc_id").reset_index(drop=True)
+        weighted = (out.weight * out.n_tokens).groupby(out.source).sum() / (out.weight * out.n_tokens).sum()
+        total = sum(goal["source"].values())
+        assert all(abs(weighted[k] - v / total) < 1e-3 for k, v in goal["source"].items())
+        assert abs((out.prob * out.n_tokens).sum() / out.n_tokens.sum() - 0.3) < 1e-6
+        got.append(out)
+    assert np.allclose(got[0].weight, got[1].weight, rtol=1e-5) and np.allclose(got[0].prob, got[1].prob, rtol=1e-5)
+    assert (got[0].kept == got[1].kept).all()
