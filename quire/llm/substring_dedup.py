@@ -11,10 +11,14 @@ A byte goes if a string of ``length`` bytes that covers it also starts elsewhere
    transform the intervals of all strings are expanded backwards, breadth first: strings of length 0, 1, 2, ... set
    the common prefixes of that value at their intervals' ends. The expansion stops at ``length``: places not set
    by then are where neighbours share ``length`` bytes, and their suffixes start repeated windows.
-4. Names with more bytes of different contents than ``group_bytes`` don't go to one task: their windows are hashed
-   one by one (128 bits) and counted, which deals out any group.
-
-The windows found join back to the documents by id and text hash, and give the removed runs.
+4. Names with more bytes of different contents than ``group_bytes`` are split before: their windows are named again,
+   by *cores*. The least gram's place in a window, in steps of 64, 16, 4 and 1 bytes, and the bytes that all windows
+   of that step share name a run of windows; equal windows have equal cores. A core met once ends there, a group of a
+   core that fits a block is compared as in 3, the others are split by the next step. In steps of one byte a core is
+   the window, so nothing is left to compare. Ranges and their bytes travel, never single positions.
+
+The windows found join back to the documents by id and text hash, and give the removed runs. What is written on the
+way goes to the shared folder and is deleted once the removed runs are known.
 """
 
 from __future__ import annotations
@@ -27,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_key
+from .common import discard, fresh_path, text_key
 
 #: Windows hashed at once, windows of a segment at most, bytes of a block of contents.
 CHUNK, LONGEST, BLOCK_BYTES = 1 << 19, 1_024, 1 << 20
+#: Windows that share a core at most, split by split.
+STEPS = (64, 16, 4, 1)
 
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 _ODD = np.random.default_rng(21).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TABLE2 = np.random.default_rng(22).integers(0, 2**64, 256, dtype=np.uint64)
+_ODD2 = np.random.default_rng(23).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _joined(left: np.ndarray, right: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
@@ -86,6 +94,23 @@ def segments(data: bytes, length: int, gram: int) -> list[tuple[int, int, int, b
     return out
 
 
+def cores(content: bytes, length: int, gram: int, step: int) -> list[tuple[int, int, int, int, bool]]:
+    """(start, windows, core hash, second core hash, whether the core occurs twice) of a content's runs of windows.
+
+    All windows of the content have the same least gram. It first stands in a window at some place; the windows for
+    which that place divided by ``step`` is the same number have a core of ``length - step + 1`` bytes in common.
+    """
+    data = np.frombuffer(content, np.uint8)
+    h = gram_hashes(data, gram)
+    places = np.flatnonzero(h == h.min())
+    starts = np.arange(len(data) - length + 1)
+    place = places[np.searchsorted(places, starts)]
+    back = (place - starts) // step * step
+    one, two = (gram_hashes(data, length - step + 1, *tables)[place - back] + back.astype(np.uint64) for tables in ((_TABLE, _ODD), (_TABLE2, _ODD2)))
+    cuts = np.concatenate([[0], np.flatnonzero((one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1, [len(starts)]]).tolist()
+    return [(a, b - a, _signed(int(one[a])), _signed(int(two[a])), bool(place[a] != place[b - 1])) for a, b in zip(cuts, cuts[1:])]
+
+
 def repeated_windows(contents: list[bytes], length: int) -> list[np.ndarray]:
     """For each content, which of its windows of ``length`` bytes start in two places of the contents."""
     sizes = np.array([len(c) for c in contents])
@@ -199,12 +224,13 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
     if not 1 <= gram <= length:
         raise ValueError("gram must be between 1 and length")
     spark = docs.sparkSession
-    root = fresh_path(spark, "substrings")
+    root, written = fresh_path(spark, "substrings"), []
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("t"))
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{root}/{name}")
+        written.append(name)
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +278,48 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
                     names=["name", "large", "single", "id", "t", "s", "content"])
 
     fetched = stored(holders.mapInArrow(fetch, f"name BIGINT, large BOOLEAN, single BOOLEAN, id {kind}, t BIGINT, s BIGINT, content BINARY"), "fetched")
+
+    def split(step: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import xxhash
+
+            names = ["name", "second", "ca", "cb", "n", "twice", "s", "content", "single", "id", "t"]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+            for b in batches:
+                rows: list[tuple] = []
+                at = []
+                for i, (start, content) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist())):
+                    for s, n, one, two, twice in cores(content, length, gram, step):
+                        part = content[s : s + n - 1 + length]
+                        h = xxhash.xxh3_128_intdigest(part)
+                        rows.append((one, two, _signed(h >> 64), _signed(h & (2**64 - 1)), n, twice, start + s, part))
+                        at.append(i)
+                columns = list(zip(*rows)) or [()] * len(kinds)
+                took = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), *(b.column(k).take(took) for k in range(3))], names=names)
+
+        return run
+
+    small = [fetched.where("not large").select("name", "single", "id", "t", "s", "content")]
+    large, window = fetched.where("large").select("single", "id", "t", "s", "content"), [F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b")]
+    for step in [s for s in STEPS if s == 1 or 4 * s <= length]:
+        if not large.limit(1).count():
+            break
+        parts = stored(large.mapInArrow(split(step), f"name BIGINT, second BIGINT, ca BIGINT, cb BIGINT, n BIGINT, twice BOOLEAN, s BIGINT, content BINARY, single BOOLEAN, id {kind}, t BIGINT"), f"cores-{step}")
+        seen = stored(parts.groupBy("name", "second", "ca", "cb").agg(F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice"), F.first("n").alias("n")), f"seen-{step}")
+        if step == 1:  # a core is the window
+            met = seen.groupBy("name", "second").agg(F.sum("times").alias("times"), F.max("twice").alias("twice")).where("times > 1 or twice")
+            ranges.append(parts.where("single").join(met, ["name", "second"], "left_semi").select("id", "t", *window))
+            break
+        ranges.append(parts.where("single").join(seen.where("times > 1"), ["name", "second", "ca", "cb"], "left_semi").select("id", "t", *window))
+        met = (seen.groupBy("name", "second").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + (length - 1)).alias("size"), F.max("twice").alias("twice"))
+               .where("kinds > 1 or twice").select("name", "second", (F.col("size") > group_bytes).alias("large")))
+        one_each = (parts.join(met, ["name", "second"]).groupBy("name", "second", "ca", "cb", "large")
+                    .agg(((F.count(F.lit(1)) == 1) & F.min("single")).alias("single"), F.first(F.struct("id", "t", "s", "content")).alias("at")))
+        left = stored(one_each.select("name", "large", "single", "at.*"), f"left-{step}")
+        small.append(left.where("not large").select("name", "single", "id", "t", "s", "content"))
+        large = left.where("large").select("single", "id", "t", "s", "content")
+
     window_schema = f"id {kind}, t BIGINT, a BIGINT, b BIGINT"
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,26 +346,11 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
         if held:
             yield from done()
 
-    small = fetched.where("not large").select("name", "single", "id", "t", "s", "content")
-    ranges.append(small.repartition("name").sortWithinPartitions("name", "id", "t", "s").mapInArrow(expand, window_schema))
-
-    if groups.where("large").limit(1).count():
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i, content in enumerate(b.column(4)):
-                    data = np.frombuffer(content.as_py(), np.uint8)
-                    one, two = gram_hashes(data, length), gram_hashes(data, length, _TABLE[::-1] * np.uint64(3), _ODD[::-1])
-                    m = len(one)
-                    same = pa.array([i] * m, pa.int64())
-                    start = b.column(3)[i].as_py()
-                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), b.column(0).take(same), b.column(1).take(same), b.column(2).take(same), pa.array(np.arange(start, start + m))],
-                                                     names=["wa", "wb", "single", "id", "t", "a"])
-
-        each = fetched.where("large").select("single", "id", "t", "s", "content").mapInArrow(windows, f"wa BIGINT, wb BIGINT, single BOOLEAN, id {kind}, t BIGINT, a BIGINT")
-        twice = stored(each.groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("wa", "wb"), "windows")
-        ranges.append(each.where("single").join(twice, ["wa", "wb"], "left_semi").select("id", "t", "a", (F.col("a") + 1).alias("b")))
-
+    blocks = reduce(DataFrame.unionByName, small).repartition("name").sortWithinPartitions("name", "id", "t", "s")
+    ranges.append(blocks.mapInArrow(expand, window_schema))
     covered = stored(reduce(DataFrame.unionByName, ranges).groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
+    for name in written[:-1]:
+        discard(spark, f"{root}/{name}")
     rows = base.alias("d").join(covered.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.t") == F.col("c.t")), "left").select("d.id", "d.text", "c.ranges")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

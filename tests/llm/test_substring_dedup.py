@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -73,3 +74,34 @@ def test_long_texts_are_cut_into_chunks(monkeypatch):
     whole = covered()
     monkeypatch.setattr(S, "CHUNK", 100)
     assert covered() == whole and len(whole) == 3000 - 64 + 1
+
+
+def test_equal_windows_have_equal_cores():
+    rng = random.Random(4)
+    text = ("".join(rng.choice("abcdefgh ") for _ in range(60)) + "ab" * 30 + "".join(rng.choice("ab") for _ in range(200))) * 2
+    data = text.encode()
+    for step in (1, 2, 4):
+        key = {}
+        for start, n, _, _ in S.segments(data, 24, 8):
+            found = S.cores(data[start : start + n + 23], 24, 8, step)
+            assert [s for s, *_ in found] == np.cumsum([0, *[m for _, m, *_ in found]])[:-1].tolist() and sum(m for _, m, *_ in found) == n
+            for s, m, one, two, _ in found:
+                for k in range(start + s, start + s + m):
+                    assert key.setdefault(data[k : k + 24], (one, two)) == (one, two)
+        assert len(set(key.values())) == len(key) if step == 1 else len(set(key.values())) < len(key)
+
+
+def test_the_query_against_brute_force(spark, tables):
+    from quire.llm.queries import op3_substring_dedup
+
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    hot, planted = words(90), words(75)
+    rows = [f"{words(rng.randrange(20, 60))} {hot} {words(rng.randrange(20, 60))}" for _ in range(420)]  # over 256 KB of different contents
+    rows += [f"{words(30)} {planted} {words(30)}" for _ in range(3)] + [words(80) for _ in range(20)] + ["", None, "z" * 2_000, "yx" * 700, planted[:399]]
+    rows += [rows[0], rows[0]]
+    want = brute(rows, 400)
+    path = tables(documents=([(i, t, 7) for i, t in enumerate(rows)], "doc_id BIGINT, text STRING, n_bytes INT"))
+    got = sorted(op3_substring_dedup(spark, path).collect())
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == [(a, b, c, hashlib.sha256(k).hexdigest()) for a, b, c, k in want]
+    assert all(r.n_removed >= len(planted) for r in got[420:423]) and not any(r.n_removed for r in got[423:443])
