@@ -6,16 +6,16 @@ A byte goes if a string of ``length`` bytes that covers it also starts elsewhere
    windows of one name are a segment; equal windows have equal names, so they meet in segments of one name. There
    is about one segment for ``length / 2`` bytes, and only (name, content hash) travels for it.
 2. *Names met once* end here: their windows are unique. Segments with equal contents are wholly repeated.
-3. *What is left* (segments of one name with different contents: edges of repeated passages, edits) is compared by
-   name. The distinct contents of some names make a block; its suffixes are sorted, and on the Burrows-Wheeler
-   transform the intervals of all strings are expanded backwards, breadth first: strings of length 0, 1, 2, ... set
-   the common prefixes of that value at their intervals' ends. The expansion stops at ``length``: places not set
-   by then are where neighbours share ``length`` bytes, and their suffixes start repeated windows.
-4. Names with more bytes of different contents than ``group_bytes`` are split before: their windows are named again,
-   by *cores*. The least gram's place in a window, in steps of 64, 16, 4 and 1 bytes, and the bytes that all windows
-   of that step share name a run of windows; equal windows have equal cores. A core met once ends there, a group of a
-   core that fits a block is compared as in 3, the others are split by the next step. In steps of one byte a core is
-   the window, so nothing is left to compare. Ranges and their bytes travel, never single positions.
+3. *What is left* (segments of one name with different contents: edges of repeated passages, edits) is named again,
+   by *cores*. The least gram's place in a window, in steps of 64 bytes, and the ``length - 63`` bytes that all windows
+   of that step share name up to 64 consecutive windows; equal windows have equal cores. Cores met once end here.
+4. Windows of one core differ in what is around it only, 63 bytes at most. So a core counts as a code of three symbols,
+   and the strings around it are compared by core: the different ones of some cores make a block; its suffixes are sorted,
+   and on the Burrows-Wheeler transform the intervals of all strings are expanded backwards, breadth first: strings of
+   length 0, 1, 2, ... set the common prefixes of that value at their intervals' ends. The expansion stops at the
+   length of a window: places not set by then are where neighbours share it, and their suffixes start repeated windows.
+5. Cores with more than ``group_bytes`` of different strings are named by steps of 16, 4 and 1 bytes before, with what
+   then is common added to the core; in steps of one byte nothing is left to compare. So no group lands in one task.
 
 The windows found join back to the documents by id and text hash, and give the removed runs. What is written on the
 way goes to the shared folder and is deleted once the removed runs are known.
@@ -23,6 +23,7 @@ way goes to the shared folder and is deleted once the removed runs are known.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,8 +36,8 @@ from .common import discard, fresh_path, text_key
 
 #: Windows hashed at once, windows of a segment at most, bytes of a block of contents.
 CHUNK, LONGEST, BLOCK_BYTES = 1 << 19, 1_024, 1 << 20
-#: Windows that share a core at most, split by split.
-STEPS = (64, 16, 4, 1)
+#: Windows that share a core at most, split by split; symbols that stand for a core, and their number system.
+STEPS, CODE, BASE = (64, 16, 4, 1), 3, 128
 
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 _ODD = np.random.default_rng(21).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,33 +95,75 @@ def segments(data: bytes, length: int, gram: int) -> list[tuple[int, int, int, b
     return out
 
 
-def cores(content: bytes, length: int, gram: int, step: int) -> list[tuple[int, int, int, int, bool]]:
-    """(start, windows, core hash, second core hash, whether the core occurs twice) of a content's runs of windows.
+def cores(contents: list[bytes], names: list[int], length: int, gram: int, step: int) -> list[list]:
+    """[content, start, windows, core hash, second core hash, bytes before the core, bytes around it, repeated] of runs of windows.
 
-    All windows of the content have the same least gram. It first stands in a window at some place; the windows for
-    which that place divided by ``step`` is the same number have a core of ``length - step + 1`` bytes in common.
+    All windows of a content have its name as their least gram. It first stands in a window at some place; consecutive
+    windows for which that place divided by ``step`` is the same number have a core of ``length - step + 1`` bytes in
+    common. Runs that follow each other and are equal are one, repeated.
     """
-    data = np.frombuffer(content, np.uint8)
+    size, blob = length - step + 1, b"".join(contents)
+    data, sizes = np.frombuffer(blob, np.uint8), np.array([len(c) for c in contents])
+    bases = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    windows = sizes - length + 1
+    which = np.repeat(np.arange(len(contents)), windows)
+    starts = np.arange(len(which)) + (bases - np.concatenate([[0], np.cumsum(windows)])[:-1])[which]
     h = gram_hashes(data, gram)
-    places = np.flatnonzero(h == h.min())
-    starts = np.arange(len(data) - length + 1)
+    places = np.flatnonzero(h == np.repeat(np.array(names, np.int64).view(np.uint64), sizes)[: len(h)])
     place = places[np.searchsorted(places, starts)]
     back = (place - starts) // step * step
-    one, two = (gram_hashes(data, length - step + 1, *tables)[place - back] + back.astype(np.uint64) for tables in ((_TABLE, _ODD), (_TABLE2, _ODD2)))
-    cuts = np.concatenate([[0], np.flatnonzero((one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1, [len(starts)]]).tolist()
-    return [(a, b - a, _signed(int(one[a])), _signed(int(two[a])), bool(place[a] != place[b - 1])) for a, b in zip(cuts, cuts[1:])]
+    core = place - back
+    first = np.concatenate([[0], np.flatnonzero((which[1:] != which[:-1]) | (core[1:] != core[:-1]) | (back[1:] != back[:-1])) + 1])
+    counts = np.diff(first, append=len(starts))
+    one, two = ((gram_hashes(data, size, *t)[core[first]] ^ (back[first].astype(np.uint64) * t[1][50])).view(np.int64).tolist() for t in ((_TABLE, _ODD), (_TABLE2, _ODD2)))
+    out: list[list] = []
+    for i, a, n, c, x, y in zip(which[first].tolist(), starts[first].tolist(), counts.tolist(), core[first].tolist(), one, two):
+        around = blob[a:c] + blob[c + size : a + n - 1 + length]
+        if out and out[-1][0] == i and out[-1][3:7] == [x, y, c - a, around]:
+            out[-1][2] += n
+            out[-1][7] = True
+        else:
+            out.append([i, a - int(bases[i]), n, x, y, c - a, around, False])
+    return out
+
 
+def finer_cores(one: int, two: int, before: int, around: bytes, step: int, then: int) -> list[list]:
+    """As of cores(), for the windows of a core of ``step`` when cut by ``then``: [start, windows, .., bytes around it]."""
+    import xxhash
+
+    out = []
+    at = 0
+    windows = len(around) - step + 2
+    while at < windows:
+        n = min(windows, before - (before - at) // then * then + 1) - at  # windows that begin as many steps before the core
+        left = (before - at) // then * then
+        right = step - then - left
+        rest = around[at : before - left] + around[before + right : at + n + step - 2]
+        h = xxhash.xxh3_128_intdigest(struct.pack("<qqq", one, two, left) + around[before - left : before + right])
+        out.append([at, n, _signed(h >> 64), _signed(h & (2**64 - 1)), before - left - at, rest])
+        at += n
+    return out
 
-def repeated_windows(contents: list[bytes], length: int) -> list[np.ndarray]:
-    """For each content, which of its windows of ``length`` bytes start in two places of the contents."""
+
+def repeated_windows(contents: list[bytes], length: int, marks: list[tuple[int, int]] | None = None) -> list[np.ndarray]:
+    """For each content, which of its windows of ``length`` symbols start in two places of the contents.
+
+    marks: for each content a place and a number; the number's code counts as ``CODE`` symbols before that place.
+    """
+    if marks is not None:
+        contents = [c[:m] + bytes(CODE) + c[m:] for c, (m, _) in zip(contents, marks)]
     sizes = np.array([len(c) for c in contents])
     bases = np.concatenate([[0], np.cumsum(sizes + 1)])
     n = int(bases[-1])
     text = np.zeros(n, np.int64)  # 0 ends each content
-    text[np.concatenate([np.arange(b, b + s) for b, s in zip(bases[:-1], sizes)])] = np.frombuffer(b"".join(contents), np.uint8)
     inside = np.ones(n, bool)
     inside[bases[1:] - 1] = False
+    text[inside] = np.frombuffer(b"".join(contents), np.uint8)
     text[inside] += 1
+    if marks is not None:
+        at, number = np.array([m for m, _ in marks]), np.array([k for _, k in marks])
+        for k in range(CODE):
+            text[bases[:-1] + at + k] = 257 + number // BASE**k % BASE
     order = _suffix_order(text, length + 1)
     tied = _long_prefixes(text, order, length)
     starts = np.zeros(n, bool)
@@ -257,97 +300,107 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
     equal = stored(contents.where("times > 1").select("name", "ca", "cb"), "equal")
     ranges = [open_.join(equal, ["name", "ca", "cb"], "left_semi").select("id", "t", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))]
 
-    groups = stored(contents.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("at.n") + (length - 1)).alias("size"), F.max("twice").alias("twice"))
-                    .where("kinds > 1 or twice").select("name", (F.col("size") > group_bytes).alias("large")), "groups")
-    wanted = contents.join(groups, "name").select("name", "large", (F.col("times") == 1).alias("single"), "at.*")
-    by_doc = stored(wanted.groupBy("id", "t").agg(F.collect_list(F.struct("name", "large", "single", "s", "n")).alias("wanted")), "wanted")
+    groups = contents.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("twice")).where("kinds > 1 or twice").select("name")
+    wanted = contents.join(groups, "name").select("name", (F.col("times") == 1).alias("single"), "at.*")
+    by_doc = stored(wanted.groupBy("id", "t").agg(F.collect_list(F.struct("name", "single", "s", "n")).alias("wanted")), "wanted")
     segments_wanted = by_doc.agg(F.sum(F.size("wanted"))).first()[0] or 0  # each takes less than a hundred bytes
     few = F.broadcast(by_doc) if segments_wanted <= broadcast_rows else by_doc
     holders = base.alias("d").join(few.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.t") == F.col("w.t"))).select("d.id", "d.t", "d.text", "w.wanted")
 
+    fields = [("name", pa.int64()), ("second", pa.int64()), ("before", pa.int64()), ("around", pa.binary()), ("s", pa.int64()), ("n", pa.int64()), ("single", pa.bool_()), ("whole", pa.bool_())]
+    part_schema = f"name BIGINT, second BIGINT, before BIGINT, around BINARY, s BIGINT, n BIGINT, single BOOLEAN, whole BOOLEAN, id {kind}, t BIGINT"
+
+    def made(rows: list[tuple], at: list[int], b: pa.RecordBatch) -> pa.RecordBatch:
+        columns, took = list(zip(*rows)) or [()] * len(fields), pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, (_, k) in zip(columns, fields)), b.column(0).take(took), b.column(1).take(took)], names=[*(f for f, _ in fields), "id", "t"])
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            held: list[tuple] = []
+            size = 0
+
+            def done() -> pa.RecordBatch:
+                rows, at = [], []
+                for i, s, n, one, two, before, around, twice in cores([h[3] for h in held], [h[1]["name"] for h in held], length, gram, steps[0]):
+                    k, r, first, _ = held[i]
+                    rows.append((one, two, before, around, first + s, n, r["single"] and not twice, r["single"] and twice))
+                    at.append(k)
+                return made(rows, at, b)
+
             for i in range(b.num_rows):
                 data = _bytes(b.column(2)[i].as_py())
-                rows = b.column(3)[i].as_py()
-                m = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["name"] for r in rows], pa.int64()), pa.array([r["large"] for r in rows], pa.bool_()), pa.array([r["single"] for r in rows], pa.bool_()),
-                     b.column(0).take(pa.array([i] * m, pa.int64())), b.column(1).take(pa.array([i] * m, pa.int64())),
-                     pa.array([r["s"] for r in rows], pa.int64()), pa.array([data[r["s"] : r["s"] + r["n"] - 1 + length] for r in rows], pa.binary())],
-                    names=["name", "large", "single", "id", "t", "s", "content"])
+                for r in b.column(3)[i].as_py():
+                    held.append((i, r, r["s"], data[r["s"] : r["s"] + r["n"] - 1 + length]))
+                    size += len(held[-1][3])
+                    if size >= BLOCK_BYTES:
+                        yield done()
+                        held, size = [], 0
+            if held:
+                yield done()
+
+    def finer(step: int, then: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows, at = [], []
+                for i, (one, two, before, around, start, single) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 8)))):
+                    for s, n, x, y, left, rest in finer_cores(one, two, before, around, step, then):
+                        rows.append((x, y, left, rest, start + s, n, single, False))
+                        at.append(i)
+                yield made(rows, at, b)
 
-    fetched = stored(holders.mapInArrow(fetch, f"name BIGINT, large BOOLEAN, single BOOLEAN, id {kind}, t BIGINT, s BIGINT, content BINARY"), "fetched")
+        return run
 
-    def split(step: int):
+    def expand(step: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import xxhash
+            held: list[tuple] = []
+            size, last, number = 0, None, 0
+
+            def done() -> Iterator[pa.RecordBatch]:
+                rows = []
+                for (*_, s, single, id_, t, _), flags in zip(held, repeated_windows([h[1] for h in held], step - 1 + CODE, [(h[0], h[-1]) for h in held])):
+                    if single:
+                        rows += [(id_, t, s + a, s + b) for a, b in _runs(flags)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [id_type, pa.int64(), pa.int64(), pa.int64()])], names=["id", "t", "a", "b"])
 
-            names = ["name", "second", "ca", "cb", "n", "twice", "s", "content", "single", "id", "t"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
             for b in batches:
-                rows: list[tuple] = []
-                at = []
-                for i, (start, content) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist())):
-                    for s, n, one, two, twice in cores(content, length, gram, step):
-                        part = content[s : s + n - 1 + length]
-                        h = xxhash.xxh3_128_intdigest(part)
-                        rows.append((one, two, _signed(h >> 64), _signed(h & (2**64 - 1)), n, twice, start + s, part))
-                        at.append(i)
-                columns = list(zip(*rows)) or [()] * len(kinds)
-                took = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), *(b.column(k).take(took) for k in range(3))], names=names)
+                id_type = b.schema.field("id").type
+                for one, two, *row in zip(*(c.to_pylist() for c in b.columns)):
+                    if (one, two) != last:
+                        number += 1
+                        if size >= BLOCK_BYTES or number == BASE**CODE:
+                            yield from done()
+                            held, size, number = [], 0, 0
+                    last = one, two
+                    held.append((*row, number))
+                    size += len(row[1]) + CODE + 1
+            if held:
+                yield from done()
 
         return run
 
-    small = [fetched.where("not large").select("name", "single", "id", "t", "s", "content")]
-    large, window = fetched.where("large").select("single", "id", "t", "s", "content"), [F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b")]
-    for step in [s for s in STEPS if s == 1 or 4 * s <= length]:
+    core, group = ["name", "second"], ["name", "second", "before", "around"]
+    steps = [s for s in STEPS if s == 1 or 2 * s + gram <= length]
+    cut_parts = holders.mapInArrow(fetch, part_schema)
+    for step, then in zip(steps, [*steps[1:], None]):
+        parts = stored(cut_parts, f"cores-{step}")
+        ranges.append(parts.where("whole").select("id", "t", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b")))
+        met = parts.groupBy(*core).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(*core)
+        parts = stored(parts.join(met, core, "left_semi"), f"met-{step}")
+        seen = stored(parts.groupBy(*group).agg(F.count(F.lit(1)).alias("times"), (F.min("single") & (F.count(F.lit(1)) == 1)).alias("single"), F.first(F.struct("id", "t", "s")).alias("at")), f"seen-{step}")
+        ranges.append(parts.where("single").join(seen.where("times > 1"), group, "left_semi").select("id", "t", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b")))
+        if then is None:
+            break  # a core of this step is the window
+        kinds = (seen.groupBy(*core).agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.octet_length("around") + (CODE + 1)).alias("size"))
+                 .where("kinds > 1").select(*core, (F.col("size") > group_bytes).alias("large")))
+        left = stored(seen.join(kinds, core).select(*core, "before", "around", "large", "single", "at.*"), f"left-{step}")
+        blocks = left.where("not large").repartition(*core).sortWithinPartitions(*core, "id", "t", "s").select(*core, "before", "around", "s", "single", "id", "t")
+        ranges.append(blocks.mapInArrow(expand(step), f"id {kind}, t BIGINT, a BIGINT, b BIGINT"))
+        large = left.where("large").select("id", "t", *core, "before", "around", "s", "single")
         if not large.limit(1).count():
             break
-        parts = stored(large.mapInArrow(split(step), f"name BIGINT, second BIGINT, ca BIGINT, cb BIGINT, n BIGINT, twice BOOLEAN, s BIGINT, content BINARY, single BOOLEAN, id {kind}, t BIGINT"), f"cores-{step}")
-        seen = stored(parts.groupBy("name", "second", "ca", "cb").agg(F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice"), F.first("n").alias("n")), f"seen-{step}")
-        if step == 1:  # a core is the window
-            met = seen.groupBy("name", "second").agg(F.sum("times").alias("times"), F.max("twice").alias("twice")).where("times > 1 or twice")
-            ranges.append(parts.where("single").join(met, ["name", "second"], "left_semi").select("id", "t", *window))
-            break
-        ranges.append(parts.where("single").join(seen.where("times > 1"), ["name", "second", "ca", "cb"], "left_semi").select("id", "t", *window))
-        met = (seen.groupBy("name", "second").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + (length - 1)).alias("size"), F.max("twice").alias("twice"))
-               .where("kinds > 1 or twice").select("name", "second", (F.col("size") > group_bytes).alias("large")))
-        one_each = (parts.join(met, ["name", "second"]).groupBy("name", "second", "ca", "cb", "large")
-                    .agg(((F.count(F.lit(1)) == 1) & F.min("single")).alias("single"), F.first(F.struct("id", "t", "s", "content")).alias("at")))
-        left = stored(one_each.select("name", "large", "single", "at.*"), f"left-{step}")
-        small.append(left.where("not large").select("name", "single", "id", "t", "s", "content"))
-        large = left.where("large").select("single", "id", "t", "s", "content")
-
-    window_schema = f"id {kind}, t BIGINT, a BIGINT, b BIGINT"
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for (_, single, id_, t, s, _), flags in zip(held, repeated_windows([h[5] for h in held], length)):
-                if single:
-                    rows += [(id_, t, s + a, s + b) for a, b in _runs(flags)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [id_type, pa.int64(), pa.int64(), pa.int64()])], names=["id", "t", "a", "b"])
+        cut_parts = large.mapInArrow(finer(step, then), part_schema)
 
-        for b in batches:
-            id_type = b.schema.field("id").type
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and size >= BLOCK_BYTES and row[0] != last:
-                    yield from done()
-                    held, size = [], 0
-                last = row[0]
-                held.append(row)
-                size += len(row[5])
-        if held:
-            yield from done()
-
-    blocks = reduce(DataFrame.unionByName, small).repartition("name").sortWithinPartitions("name", "id", "t", "s")
-    ranges.append(blocks.mapInArrow(expand, window_schema))
     covered = stored(reduce(DataFrame.unionByName, ranges).groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
     for name in written[:-1]:
         discard(spark, f"{root}/{name}")

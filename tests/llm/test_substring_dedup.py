@@ -79,16 +79,37 @@ def test_long_texts_are_cut_into_chunks(monkeypatch):
 def test_equal_windows_have_equal_cores():
     rng = random.Random(4)
     text = ("".join(rng.choice("abcdefgh ") for _ in range(60)) + "ab" * 30 + "".join(rng.choice("ab") for _ in range(200))) * 2
-    data = text.encode()
-    for step in (1, 2, 4):
-        key = {}
-        for start, n, _, _ in S.segments(data, 24, 8):
-            found = S.cores(data[start : start + n + 23], 24, 8, step)
-            assert [s for s, *_ in found] == np.cumsum([0, *[m for _, m, *_ in found]])[:-1].tolist() and sum(m for _, m, *_ in found) == n
-            for s, m, one, two, _ in found:
-                for k in range(start + s, start + s + m):
-                    assert key.setdefault(data[k : k + 24], (one, two)) == (one, two)
-        assert len(set(key.values())) == len(key) if step == 1 else len(set(key.values())) < len(key)
+    data, length = text.encode(), 40
+    segments = S.segments(data, length, 8)
+    contents = [data[s : s + n + length - 1] for s, n, _, _ in segments]
+    for step in (16, 4, 1):
+        key, around = {}, {}
+        found = S.cores(contents, [S._signed(name) for *_, name, _ in segments], length, 8, step)
+        assert sum(n for _, _, n, *_ in found) == len(data) - length + 1
+
+        def check(window, core, around, at, step):
+            assert key.setdefault(window, core) == core
+            reduced = around[at : at + step - 1]
+            assert texts.setdefault((core, reduced, before - at), window) == window
+
+        texts = {}
+        for i, s, n, one, two, before, around_, twice in found:
+            if twice:
+                continue
+            for k in range(n):
+                check(contents[i][s + k : s + k + length], (one, two), around_, k, step)
+        if step == 16:
+            fine, whole = {}, {}
+            for i, s, n, one, two, before, around_, twice in found:
+                if not twice:
+                    finer = S.finer_cores(one, two, before, around_, 16, 4)
+                    assert [a for a, *_ in finer] == np.cumsum([0, *[m for _, m, *_ in finer]])[:-1].tolist() and sum(m for _, m, *_ in finer) == n
+                    for at, m, x, y, left, rest in finer:
+                        assert len(rest) == m + 2 and 0 <= left < 4
+                        for k in range(m):
+                            window = contents[i][s + at + k : s + at + k + length]
+                            assert fine.setdefault(window, (x, y)) == (x, y)
+                            assert whole.setdefault((x, y, left - k, rest[k : k + 3]), window) == window
 
 
 def test_the_query_against_brute_force(spark, tables):
