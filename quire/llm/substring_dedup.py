@@ -256,7 +256,7 @@ def _signed(h: int) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 32, group_bytes: int = 1 << 18, broadcast_rows: int = 600_000) -> DataFrame:
+def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 32, group_bytes: int = 1 << 18, broadcast_rows: int = 100_000) -> DataFrame:
     """``(id, n_bytes, n_removed, spans ARRAY<STRUCT<start, end>>, kept BINARY)`` for each row.
 
     Texts count as UTF-8 bytes, a null text as empty. A byte is removed if a string of ``length`` bytes that covers
@@ -303,7 +303,7 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
     groups = contents.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("twice")).where("kinds > 1 or twice").select("name")
     wanted = contents.join(groups, "name").select("name", (F.col("times") == 1).alias("single"), "at.*")
     by_doc = stored(wanted.groupBy("id", "t").agg(F.collect_list(F.struct("name", "single", "s", "n")).alias("wanted")), "wanted")
-    segments_wanted = by_doc.agg(F.sum(F.size("wanted"))).first()[0] or 0  # each takes less than a hundred bytes
+    segments_wanted = by_doc.agg(F.sum(F.size("wanted"))).first()[0] or 0  # each takes less than a hundred bytes, so 10 MB are broadcast at most
     few = F.broadcast(by_doc) if segments_wanted <= broadcast_rows else by_doc
     holders = base.alias("d").join(few.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.t") == F.col("w.t"))).select("d.id", "d.t", "d.text", "w.wanted")
 
@@ -380,6 +380,7 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
         return run
 
     core, group = ["name", "second"], ["name", "second", "before", "around"]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes are much work here, so they are not put together
     steps = [s for s in STEPS if s == 1 or 2 * s + gram <= length]
     cut_parts = holders.mapInArrow(fetch, part_schema)
     for step, then in zip(steps, [*steps[1:], None]):
@@ -394,7 +395,7 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
         kinds = (seen.groupBy(*core).agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.octet_length("around") + (CODE + 1)).alias("size"))
                  .where("kinds > 1").select(*core, (F.col("size") > group_bytes).alias("large")))
         left = stored(seen.join(kinds, core).select(*core, "before", "around", "large", "single", "at.*"), f"left-{step}")
-        blocks = left.where("not large").repartition(*core).sortWithinPartitions(*core, "id", "t", "s").select(*core, "before", "around", "s", "single", "id", "t")
+        blocks = left.where("not large").repartition(tasks, *core).sortWithinPartitions(*core, "id", "t", "s").select(*core, "before", "around", "s", "single", "id", "t")
         ranges.append(blocks.mapInArrow(expand(step), f"id {kind}, t BIGINT, a BIGINT, b BIGINT"))
         large = left.where("large").select("id", "t", *core, "before", "around", "s", "single")
         if not large.limit(1).count():
