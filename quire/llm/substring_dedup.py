@@ -256,7 +256,7 @@ def _signed(h: int) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 32, group_bytes: int = 1 << 18, broadcast_rows: int = 100_000) -> DataFrame:
+def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 32, group_bytes: int = 1 << 18) -> DataFrame:
     """``(id, n_bytes, n_removed, spans ARRAY<STRUCT<start, end>>, kept BINARY)`` for each row.
 
     Texts count as UTF-8 bytes, a null text as empty. A byte is removed if a string of ``length`` bytes that covers
@@ -303,9 +303,7 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
     groups = contents.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("twice")).where("kinds > 1 or twice").select("name")
     wanted = contents.join(groups, "name").select("name", (F.col("times") == 1).alias("single"), "at.*")
     by_doc = stored(wanted.groupBy("id", "t").agg(F.collect_list(F.struct("name", "single", "s", "n")).alias("wanted")), "wanted")
-    segments_wanted = by_doc.agg(F.sum(F.size("wanted"))).first()[0] or 0  # each takes less than a hundred bytes, so 10 MB are broadcast at most
-    few = F.broadcast(by_doc) if segments_wanted <= broadcast_rows else by_doc
-    holders = base.alias("d").join(few.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.t") == F.col("w.t"))).select("d.id", "d.t", "d.text", "w.wanted")
+    holders = base.alias("d").join(by_doc.hint("merge").alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.t") == F.col("w.t"))).select("d.id", "d.t", "d.text", "w.wanted")
 
     fields = [("name", pa.int64()), ("second", pa.int64()), ("before", pa.int64()), ("around", pa.binary()), ("s", pa.int64()), ("n", pa.int64()), ("single", pa.bool_()), ("whole", pa.bool_())]
     part_schema = f"name BIGINT, second BIGINT, before BIGINT, around BINARY, s BIGINT, n BIGINT, single BOOLEAN, whole BOOLEAN, id {kind}, t BIGINT"
