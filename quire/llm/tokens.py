@@ -16,13 +16,12 @@ pieces. A shard numbers the ids it has, and its planes are those of the numbers.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +34,48 @@ from .common import fresh_path
 MAGIC, BLOCK_BITS = b"QWM1", 1 << 18
 
 #: Unicode's White_Space, what \s means to the tokenizer.
-WHITE_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: White space, then letters and digits; or other characters, with the letters and digits behind them ('s is one pre-token).
-_PIECE = re.compile(rf"[{WHITE_SPACE}]*(?:[^\W_]+|(?:[^\w{WHITE_SPACE}]|_)+[^\W_]*)|[{WHITE_SPACE}]+")
+WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_OTHER, _WORD, _SPACE = range(3)
+#: Bytes of texts that are cut into pieces at once.
+BYTES = 1 << 22
+
+_kinds, _told = np.full(0x110000, _OTHER, np.uint8), np.zeros(0x1100, bool)
+
+
+def kinds(codes: np.ndarray) -> np.ndarray:
+    """Of each code point whether it is white space, a letter or digit, or something else; told block by block of 256 when first met."""
+    for block in np.flatnonzero((np.bincount(codes >> 8, minlength=len(_told)) > 0) & ~_told).tolist():
+        _kinds[256 * block : 256 * block + 256] = [_SPACE if c in WHITE_SPACE else _WORD if chr(c).isalnum() else _OTHER for c in range(256 * block, 256 * block + 256)]
+        _told[block] = True
+    return _kinds[codes]
+
+
+#: The kinds of single bytes; those of longer characters are told by their code points.
+_OF_BYTE = bytes(_SPACE if c in WHITE_SPACE else _WORD if c < 0x80 and chr(c).isalnum() else _OTHER for c in range(256))
+
+
+def piece_starts(data: bytes) -> np.ndarray:
+    """For each byte of a UTF-8 text whether a piece begins at it: white space that follows other characters, others that follow letters or digits.
+
+    All bytes of a character have its kind.
+    """
+    kind = np.frombuffer(bytearray(data.translate(_OF_BYTE)), np.uint8)
+    if not data.isascii():
+        raw = np.frombuffer(data, np.uint8)
+        wide = np.flatnonzero(raw >= 0xC0)
+        lead = raw[wide].astype(np.int64)
+        size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+        code = lead & (0x7F >> size)
+        for k in range(1, 4):
+            more = size > k
+            code[more] = code[more] << 6 | raw[wide[more] + k] & 0x3F
+        own = kinds(code)
+        for k in range(4):
+            more = size > k
+            kind[wide[more] + k] = own[more]
+    starts = np.ones(len(kind), bool)
+    starts[1:] = ((kind[1:] == _SPACE) & (kind[:-1] != _SPACE)) | ((kind[1:] == _OTHER) & (kind[:-1] == _WORD))
+    return starts
 
 
 class Encoder:
@@ -51,23 +89,69 @@ class Encoder:
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _learn(self, new: list[str]) -> None:
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # in bytes, as a byte-level token has a character for each
+        self.sizes[list(vocabulary.values())] = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Some hundred pieces make one call's words; their ids are told apart by the pieces' bytes."""
+        groups = [new[lo : lo + 256] for lo in range(0, len(new), 256)]
+        for lo in range(0, len(groups), 80):
+            part = groups[lo : lo + 80]
+            words = [[p.decode() for p in pieces] for pieces in part]
+            for pieces, e in zip(part, self.tokenizer.encode_batch_fast(words, is_pretokenized=True, add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+                reached = np.cumsum(self.sizes[np.minimum(ids, len(self.sizes) - 1)])
+                cuts = np.searchsorted(reached, ends)
+                if len(reached) and cuts[-1] == len(ids) - 1 and np.array_equal(reached[cuts], ends):
+                    data, cuts = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
+                    self.known.update(zip(pieces, (data[a:b] for a, b in zip(cuts, cuts[1:]))))
+                else:  # not a byte-level tokenizer
+                    self.known.update(zip(pieces, self._plain([p.decode() for p in pieces])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, without special tokens added.
 
-        A text that spells out a token of the tokenizer's own list, which can span pieces, is one piece.
+        A text that spells out a token of the tokenizer's own list, which can span pieces, is encoded as it is.
         """
-        pieces = [[t] if any(a in t for a in self.added) else _PIECE.findall(t) for t in texts]
-        self._learn(list(set(chain.from_iterable(pieces)).difference(self.known)))
-        out = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        odd = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        out = [b""] * len(texts)
+        for i, ids in zip(odd, self._plain([texts[i] for i in odd])):
+            out[i] = ids
+        plain = [(i, t.encode()) for i, t in enumerate(texts) if t]
+        if odd:
+            plain = [(i, t) for i, t in plain if i not in set(odd)]
+        while plain:
+            ends = list(accumulate(len(t) for _, t in plain))
+            n = max(1, bisect_right(ends, BYTES))
+            for (i, _), ids in zip(plain[:n], self._encoded(b"".join(t for _, t in plain[:n]), np.array(ends[:n]))):
+                out[i] = ids
+            plain = plain[n:]
+        return out
+
+    def _encoded(self, data: bytes, ends: np.ndarray) -> list[bytes]:
+        """As encode(), for texts that are not empty, joined as UTF-8; ends: where each ends."""
+        begins = piece_starts(data)
+        begins[ends[:-1]] = True
+        starts = np.flatnonzero(begins)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        different, which = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        found = list(map(self.known.get, different))
+        if missing := [p for p, ids in zip(different, found) if ids is None]:
+            self._learn(missing)
+            found = [self.known[p] if ids is None else ids for p, ids in zip(different, found)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        firsts, taken = np.cumsum(sizes) - sizes, sizes[which]
+        upto = np.cumsum(taken)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(firsts[which] - upto + taken, taken) + np.arange(int(upto[-1]))].tobytes()
+        cuts = [0, *(4 * upto[np.searchsorted(starts, ends) - 1]).tolist()]
         if len(self.known) > self.limit:  # what came first is mostly what comes often
             self.known = dict(islice(self.known.items(), self.limit // 2))
-        return out
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -80,12 +164,14 @@ def encoder(path: str) -> Encoder:
 
 
 def _planes(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    now = ids
+    now, then = ids, np.empty_like(ids)
     for b in range(bits - 1, -1, -1):
-        plane = (now >> now.dtype.type(b)) & now.dtype.type(1)
-        plane = plane.astype(bool)
+        plane = (now & now.dtype.type(1 << b)) != 0
         yield plane
-        now = np.concatenate([now[~plane], now[plane]])
+        zeros = len(now) - int(np.count_nonzero(plane))
+        np.compress(~plane, now, out=then[:zeros])
+        np.compress(plane, now, out=then[zeros:])
+        now, then = then, now if now is not ids else np.empty_like(ids)
 
 
 def build_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -249,8 +335,8 @@ class Shard:
             plane = np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n).view(bool)
             then = np.empty_like(now)
             zeros = self._zeros[b]
-            then[~plane] = now[:zeros]
-            then[plane] = now[zeros:] | now.dtype.type(1 << (self.bits - 1 - b))
+            then[np.flatnonzero(~plane)] = now[:zeros]
+            then[np.flatnonzero(plane)] = now[zeros:] | now.dtype.type(1 << (self.bits - 1 - b))
             now = then
         return self.alphabet[now]
 
@@ -284,8 +370,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["part", "seq", "before", "n_docs", "n_tokens", "file"])
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part_ = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, 2_048):
+                part_ = b.slice(lo, 2_048)
                 for name, ids in zip(part_.column(0).to_pylist(), encode(part_.column(1).to_pylist())):
                     names.append(name)
                     held.append(ids + end)
