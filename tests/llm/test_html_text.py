@@ -1,3 +1,8 @@
+import collections
+import math
+import random
+import time
+
 from quire.llm import html_text as H
 
 
@@ -25,6 +30,70 @@ def test_odd_pages():
     assert len(H.main_text("<p>" + "word " * 200_000)) == 999_999
 
 
+def test_structure_tells_the_article():
+    text = H.main_text
+    assert text("<body><header><div>Site Name</div></header><div><p>Text</p></div>") == "Text"
+    assert text('<body><div class="entry-header"><h1>Title</h1></div><section id="related-work"><p>Others did it.</p></section><p>Body</p>') == "Title Others did it. Body"
+    assert text('<p class="ad-hoc">one</p><p class="notice">two</p><div class="search-results"><p>three</p></div>') == "one two three"
+    assert text("<body><article><p>teaser</p></article><div><p>The real text has many more words than that</p></div>") == "The real text has many more words than that"
+    assert text("<div class=post><header><h1>Head</h1></header><p>Body</p></div>") == "Head Body"
+    long = "word " * 200
+    assert text(f"<article><h1>H</h1><p>{long}</p></article><article><p>short teaser</p></article>") == f"H {long.strip()}"
+    assert text(f'<main><div class="sidebar"><p>{long}</p></div></main>') == long.strip()  # a name alone removes no text
+    assert text(f'<p>{long}</p><div class="sidebar"><a href=a>one two</a> <a href=b>three</a></div><div class="cookie-banner">We use cookies</div>') == long.strip()
+    assert text(f'<article><p>short post</p><section class="comments"><p>{long}</p><p>{long}</p></section></article>') == "short post"
+    assert text("<p>Some text here, more of it, and more</p><ul><li><a>Home</a><li><a>News</a><li><a>About</a></ul>") == "Some text here, more of it, and more"
+
+
+def test_unclosed_markup_takes_linear_time():
+    began = time.process_time()
+    n = 5_000_000
+    assert H.main_text("x" + "<a " * (n // 3)).startswith("x<a <a")
+    for piece in ('<a b="', "<a b='\"", "<!--x", "</script ", "<title>x</title ", "<![CDATA["):
+        H.main_text("<p>x" + piece * (200_000 // len(piece)))
+    H.main_text("<p><table><td>" + "<div>" * 20_000 + "</p>" * 20_000)
+    assert time.process_time() - began < 15
+
+
+def test_templates_by_brute_force(spark):
+    rng = random.Random(3)
+    parts = [f"<div><p>Part {k} of the site</p><span>label {k}</span></div>" for k in range(6)]
+    rows = []
+    for i in range(120):
+        body = "".join(p for k, p in enumerate(parts) if rng.random() < (0.9, 0.6, 0.4, 0.2, 0.05, 0.02)[k])
+        rows.append((i, f"http://h{i % 3}.example/{i}" if i % 10 else None, f"<body>{body}<p>own text number {i % 100}</p><script>track({i})</script></body>"))
+    seen, pages = collections.Counter(), collections.defaultdict(set)
+    for _, url, page in rows:
+        root = H.weigh(H.parse(page))
+        shown = "|".join(H.blocks(root))
+        if url and shown not in pages[host := url.split("/")[2]]:
+            pages[host].add(shown)
+            seen.update((host, h) for h in H.counted(root))
+    want = {}
+    for i, url, page in rows:
+        n = len(pages[url.split("/")[2]]) if url else 0
+        held = {h: c for (host, h), c in seen.items() if url and host == url.split("/")[2] and c >= 5}
+        want[i] = H.main_text(page, {h for h, c in held.items() if 2 * c >= n}, {h for h, c in held.items() if 2 * c < n and c >= 5 * math.log2(n)})
+    df = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    for limit in (1_000_000, 0):
+        assert {r.page_id: r.text for r in H.extract(df, broadcast_rows=limit).collect()} == want
+    assert sum("Part 0" in t for t in want.values()) < 20 < sum("Part 3" in t for t in want.values())
+
+
+def test_copies_and_pages_without_a_host_keep_their_text(spark):
+    rows = [(i, "http://a.example/x", f"<body><p>One page, many times</p><script>{i}</script></body>") for i in range(8)]
+    rows += [(10 + i, [None, "/relative", "x.html"][i % 3], f"<body><p>common line</p><p>{i}</p></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")).collect()}
+    assert all(got[i] == "One page, many times" for i in range(8)) and all(got[10 + i] == f"common line {i}" for i in range(12))
+
+
+def test_the_query(spark, tables):
+    from quire.llm.queries import op9_html
+
+    path = tables(pages=([(1, "http://a.example/1", "<p>é &amp; x", 5), (2, None, None, 5), (None, "u", "", 5)], "page_id BIGINT, url STRING, html STRING, text INT"))
+    assert [tuple(r) for r in op9_html(spark, path).orderBy("page_id").collect()] == [(None, "u", "", 0), (1, "http://a.example/1", "é & x", 5), (2, None, "", 0)]
+
+
 def test_templates_are_deleted_by_host(spark):
     rows = []
     for i in range(12):
