@@ -7,7 +7,7 @@ many of them, are that site's template and are deleted. What remains is the arti
 * Elements whose tag, role or style says so (menus, footers, asides, forms, scripts, hidden parts, ...) are out, and so are
   headers that belong to the page rather than to an article.
 * A class or id that consists of words such as "sidebar" or "cookie" is a hint only. It takes a second sign to leave an
-  element out: it is short or mostly links, and the smaller part of the page; reader comments have to stand behind the text.
+  element out: it is short or mostly links, and the smaller part of the page or outside its article; reader comments have to stand behind the text.
   Paragraphs, headings, lists' items and what holds a main heading are never left out by name.
 * Among article and main elements those that hold the text count; where they hold next to none of it, the rest of the page does.
 * On pages without them, lists and tables that are links only are menus.
@@ -237,7 +237,7 @@ def weigh(root: Element) -> Element:
             if hints & COMMENTS:
                 e.out = 0 < before and total - before - e.words <= before
             elif hints:
-                e.out = not (e.titled and few_links) and (e.words <= SHORT or not few_links) and 2 * e.words <= total
+                e.out = not (e.titled and few_links) and (e.words <= SHORT or not few_links) and (2 * e.words <= total or scoped and not inside)
             elif not scoped and e.tag in ("ul", "ol", "dl", "table"):
                 e.out = e.links >= 3 and e.linked == e.words and 2 * e.words <= total
         if e.out:
