@@ -4,9 +4,11 @@ Documents fall into cells of source, language and topic. The cells' tokens are r
 each margin in turn, until all three hold. A cell's weight is its raked tokens over its own; documents are then drawn
 by probabilities ``min(1, l * weight)``, with ``l`` calibrated so that the expected tokens meet the budget.
 
-Topics come from spherical k-means over hashed words, fitted on a bounded sample of ``topic_sample`` rows; every row is
-assigned. All classes of all margins are raked: by the driver where there are few cells, else as DataFrames, with the
-same results. Only a caller that gives ``max_classes`` has the classes after the largest share the class "(other)".
+Topics come from spherical k-means over hashed words, fitted on all rows: a text's words become a vector of bytes once;
+document frequencies, the first centres (drawn in proportion to the distance from those before, by an exponential race
+over all rows) and each round's sums are distributed aggregates, of which the driver gets topics by dims numbers. Sums are
+of integers, so the same rows give the same topics however they are dealt. All classes of all margins are raked: by the
+driver where there are few cells, else as DataFrames, with the same results.
 """
 
 from __future__ import annotations
@@ -21,19 +23,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_enough, text_key
+from .common import checkpointed, fresh_path, small_enough, text_key
 
-OTHER, NONE = "(other)", "(none)"
+#: The class of null sources and languages in targets.
+NONE = None
+#: Steps of a vector's byte for one of log1p(count); of a component in the sums of a centre.
+STEPS, UNITS = 24, 1 << 24
+#: Rows drawn for a first centre, of which the one that leaves the least distance becomes it.
+CANDIDATES = 4
 
 
-def hashed_words(text: str | None, dims: int) -> tuple[np.ndarray | None, int]:
-    """Dampened counts of a text's words by hash (None without words), and the number of its words."""
+def hashed_words(text: str | None, dims: int) -> tuple[bytes | None, int]:
+    """Dampened counts of a text's words by hash, a byte each (None without words), and the number of its words."""
     words = (text or "").lower().split()
     if not words:
         return None, 0
     seen = Counter(words)
     at = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % dims for w in seen), np.int64, len(seen))
-    return np.log1p(np.bincount(at, weights=np.fromiter(seen.values(), np.float64, len(seen)), minlength=dims)), len(words)
+    counts = np.bincount(at, weights=np.fromiter(seen.values(), np.float64, len(seen)), minlength=dims)
+    return np.minimum(255, np.rint(STEPS * np.log1p(counts))).astype(np.uint8).tobytes(), len(words)
 
 
 @dataclass
@@ -41,57 +49,128 @@ class TopicModel:
     weights: np.ndarray
     centres: np.ndarray
 
-    def topic(self, text: str | None) -> tuple[int, int]:
-        """The nearest centre's number (of equals the least; -1 without words), and the number of words."""
-        x, n = hashed_words(text, len(self.weights))
-        return (-1 if x is None else int((self.centres @ (x * self.weights)).argmax())), n
-
-
-def fit_topics(docs: DataFrame, id_col: str, text_col: str, topics: int = 8, topic_sample: int = 2_000, dims: int = 512, rounds: int = 15) -> TopicModel:
-    """Topics learned from ``topic_sample`` rows at most, drawn by a hash of their id and text."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    total = base.count()
-    place = F.pmod(F.xxhash64(F.lit(5), "id", text_key(F.col("text"))), F.lit(1 << 30))
-    drawn = base.withColumn("place", place).where(F.col("place") < min(1.0, 1.1 * topic_sample / max(1, total)) * float(1 << 30))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(p, x) for p, x in ((p, hashed_words(t, dims)[0]) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())) if x is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([x.astype(np.float32) for _, x in rows], pa.list_(pa.float32()))], names=["place", "x"])
-
-    found = drawn.select("place", "text").mapInArrow(vectors, "place BIGINT, x ARRAY<FLOAT>").orderBy("place", "x").limit(topic_sample).toArrow()
-    x = np.array(found.column("x").to_pylist(), np.float64).reshape(-1, dims)
-    weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0)))
-    x = x * weights
-    x = x[np.linalg.norm(x, axis=1) > 0]
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    if not len(x):
+    def units(self, vectors: list[bytes]) -> np.ndarray:
+        """Weighted vectors of length one, as float64 so that the same vector gives the same numbers in every batch."""
+        x = np.frombuffer(b"".join(vectors), np.uint8).reshape(len(vectors), -1) * self.weights
+        size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return x / np.where(size > 0, size, 1)
+
+    def nearness(self, x: np.ndarray) -> np.ndarray:
+        """Products with all centres, one by one: those of a matrix product can depend on the other rows."""
+        return np.stack([(x * c).sum(axis=1) for c in self.centres], axis=1)
+
+    def topics(self, vectors: list[bytes]) -> np.ndarray:
+        """The nearest centres' numbers (of equals the least)."""
+        return self.nearness(self.units(vectors)).argmax(axis=1)
+
+
+#: Vectors looked at together.
+ROWS = 2_048
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            part = b.slice(lo, ROWS)
+            if part.num_rows:
+                yield part, part.column(0).to_pylist()
+
+
+def fit_topics(rows: DataFrame, topics: int, dims: int, rounds: int) -> TopicModel:
+    """Topics of ``(v, place)`` rows: vectors of hashed_words(), and a hash of the row."""
+    rows = rows.where("v IS NOT NULL")
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(dims, np.int64), 0
+        for _, vs in _vectors(batches):
+            seen += (np.frombuffer(b"".join(vs), np.uint8).reshape(len(vs), -1) > 0).sum(axis=0)
+            n += len(vs)
+        yield pa.RecordBatch.from_arrays([pa.array([*range(dims), -1], pa.int32()), pa.array([*seen.tolist(), n], pa.int64())], names=["dim", "n"])
+
+    held = dict(rows.select("v").mapInArrow(frequencies, "dim INT, n BIGINT").groupBy("dim").agg(F.sum("n")).collect())
+    total = held.pop(-1, 0)
+    weights = np.log((1 + total) / (1 + np.array([held.get(d, 0) for d in range(dims)])))
+    model = TopicModel(weights, np.zeros((0, dims)))
+
+    def gaps(x: np.ndarray, centres: TopicModel) -> np.ndarray:
+        gap = np.clip(1 - centres.nearness(x).max(axis=1), 0, None) if len(centres.centres) else np.ones(len(x))
+        return np.where((gap > 1e-9) & x.any(axis=1), gap, 0.0)
+
+    def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple] = []
+        for b, vs in _vectors(batches):
+            gap = gaps(model.units(vs), model)
+            place = b.column(1).to_numpy().view(np.uint64)
+            score = np.where(gap > 0, -np.log((place.astype(np.float64) + 1) / 2**64) / np.where(gap > 0, gap, 1), np.inf)
+            bar = np.partition(score, min(len(score), CANDIDATES) - 1)[min(len(score), CANDIDATES) - 1]
+            best = sorted({*best, *((score[i], vs[i]) for i in np.flatnonzero((score <= bar) & np.isfinite(score)).tolist())})[:CANDIDATES]
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in best], pa.float64()), pa.array([v for _, v in best], pa.binary())], names=["score", "v"])
+
+    while len(model.centres) < topics:
+        drawn = [bytes(r["v"]) for r in rows.select("v", "place").mapInArrow(race, "score DOUBLE, v BINARY").distinct().orderBy("score", "v").limit(CANDIDATES).collect()]
+        if not drawn:  # all rows lie on a centre
+            break
+
+        def left(batches: Iterator[pa.RecordBatch], drawn=drawn) -> Iterator[pa.RecordBatch]:
+            sums, more = np.zeros(len(drawn), np.int64), TopicModel(weights, model.units(drawn))
+            for _, vs in _vectors(batches):
+                x = model.units(vs)
+                gap = gaps(x, model)
+                sums += np.rint(np.minimum(gap[:, None], np.clip(1 - more.nearness(x), 0, None)) * UNITS).astype(np.int64).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(drawn)), pa.int32()), pa.array(sums)], names=["k", "n"])
+
+        sums = dict(rows.select("v").mapInArrow(left, "k INT, n BIGINT").groupBy("k").agg(F.sum("n")).collect())
+        model.centres = np.concatenate([model.centres, model.units([drawn[min(sums, key=lambda k: (sums[k], k))]])])
+    if not len(model.centres):
         return TopicModel(weights, np.zeros((1, dims)))
-    rng = np.random.default_rng(0)
-    centres = [x[0]]
-    while len(centres) < min(topics, len(x)):
-        gap = np.clip(1 - np.max(x @ np.array(centres).T, axis=1), 0, None)
-        centres.append(x[rng.choice(len(x), p=gap / gap.sum())] if gap.sum() > 0 else x[len(centres)])
-    centres = np.array(centres)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = np.zeros(model.centres.shape, np.int64)
+        for _, vs in _vectors(batches):
+            x = model.units(vs)
+            near, scaled = model.nearness(x).argmax(axis=1), np.rint(x * UNITS).astype(np.int64)
+            for k in range(len(made)):
+                made[k] += scaled[near == k].sum(axis=0)
+        k, d = np.nonzero(made)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(d, pa.int32()), pa.array(made[k, d])], names=["topic", "dim", "n"])
+
     for _ in range(rounds):
-        near = (x @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centres)
-    return TopicModel(weights, centres)
+        moved = np.zeros(model.centres.shape)
+        for r in rows.select("v").mapInArrow(sums, "topic INT, dim INT, n BIGINT").groupBy("topic", "dim").agg(F.sum("n").alias("n")).collect():  # topics by dims at most
+            moved[r["topic"], r["dim"]] = r["n"]
+        size = np.sqrt((moved * moved).sum(axis=1, keepdims=True))
+        moved = np.where(size > 0, moved / np.where(size > 0, size, 1), model.centres)
+        if np.array_equal(moved, model.centres):
+            break
+        model.centres = moved
+    return model
 
 
-def topic_column(docs: DataFrame, model: TopicModel, text_col: str) -> Column:
+def word_column(text: Column, dims: int) -> Column:
+    """hashed_words() of a text as a struct ``v, n_tokens``."""
     from pyspark.sql.functions import arrow_udf
 
-    held = docs.sparkSession.sparkContext.broadcast(model)  # topics by dims numbers
-    kind = pa.struct([("topic", pa.int32()), ("n_tokens", pa.int64())])
+    kind = pa.struct([("v", pa.binary()), ("n_tokens", pa.int64())])
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([dict(zip(("topic", "n_tokens"), held.value.topic(t.as_py()))) for t in texts], kind)
+        return pa.array([dict(zip(("v", "n_tokens"), hashed_words(t.as_py(), dims))) for t in texts], kind)
+
+    return arrow_udf(run, "struct<v:binary,n_tokens:bigint>")(text)
+
+
+def topic_column(model: TopicModel, v: Column) -> Column:
+    """The topic of a vector of hashed_words(), -1 for null."""
+    from pyspark.sql.functions import arrow_udf
 
-    return arrow_udf(run, "struct<topic:int,n_tokens:bigint>")(F.col(text_col))
+    def run(vectors: pa.Array) -> pa.Array:
+        held = vectors.to_pylist()
+        out = np.full(len(held), -1, np.int32)
+        at = [i for i, x in enumerate(held) if x is not None]
+        for lo in range(0, len(at), ROWS):
+            out[at[lo : lo + ROWS]] = model.topics([held[i] for i in at[lo : lo + ROWS]])
+        return pa.array(out)
+
+    return arrow_udf(run, "int")(v)
 
 
 def tempered(shares: dict, power: float) -> dict:
@@ -105,15 +184,16 @@ def rake(tokens: np.ndarray, margins: list[np.ndarray], targets: list[np.ndarray
     """Cells' shares scaled until each margin has its targets.
 
     margins: for each margin the class of each cell; targets: for each margin the share of each class. Classes that
-    no cell has are left out of a margin, with the rest of its targets scaled up. If the targets contradict each
+    no cell has are left out of a margin, with the rest of its targets scaled up; a margin of which nothing is left keeps
+    its own shares. If the targets contradict each
     other (some cells are empty), the last round's shares are given, which meet the last margin.
     """
     cells = tokens / tokens.sum()
     goals = []
     for at, goal in zip(margins, targets):
-        there = np.bincount(at, weights=tokens, minlength=len(goal)) > 0
-        goal = np.where(there, goal, 0.0)
-        goals.append(goal / goal.sum())
+        own = np.bincount(at, weights=cells, minlength=len(goal))
+        goal = np.where(own > 0, goal, 0.0)
+        goals.append(goal / goal.sum() if goal.sum() > 0 else own)
     for _ in range(rounds):
         worst = 0.0
         for at, goal in zip(margins, goals):
@@ -141,8 +221,17 @@ def calibrated(tokens: np.ndarray, weights: np.ndarray, budget: float) -> np.nda
     return probs
 
 
+def _name(value) -> str:
+    """How a class of a margin is written in cells, so that null is no value's name."""
+    return "" if value is None else f"={value}"
+
+
 def _class(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(NONE))
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def _goals(targets: dict[str, dict] | None, margin: str) -> dict[str, float] | None:
+    return {_name(k): float(v) for k, v in targets[margin].items()} if (targets or {}).get(margin) else None
 
 
 def plan(rows: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | None, keep: float, power: float) -> list[dict]:
@@ -158,7 +247,7 @@ def plan(rows: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | N
         place = {n: k for k, n in enumerate(names)}
         where = np.array([place[r[m]] for r in cells])
         share = dict(zip(names, np.bincount(where, weights=known) / known.sum()))
-        goal = (targets or {}).get(m) or tempered(share, power)
+        goal = _goals(targets, m) or tempered(share, power)
         at.append(where)
         goals.append(np.array([float(goal.get(n, 0.0)) for n in names]))
     raked = rake(known, at, goals)
@@ -178,13 +267,13 @@ def plan_frame(rows: DataFrame, margins: tuple[str, ...], targets: dict[str, dic
     goals = {}
     for m in margins:
         goal = cells.groupBy(m).agg((F.sum("tokens") / total).alias("own"))
-        if (targets or {}).get(m):
-            given = spark.createDataFrame([(k, float(v)) for k, v in targets[m].items()], f"{m} string, goal double")
-            goal = goal.join(given, m, "left").select(m, F.coalesce("goal", F.lit(0.0)).alias("goal"))
+        if given := _goals(targets, m):
+            goal = goal.join(spark.createDataFrame(list(given.items()), f"{m} string, goal double"), m, "left").select(m, "own", F.coalesce("goal", F.lit(0.0)).alias("goal"))
         else:
-            goal = goal.select(m, F.pow("own", F.lit(power)).alias("goal"))
+            goal = goal.select(m, "own", F.pow("own", F.lit(power)).alias("goal"))
         goal = checkpointed(goal)
-        goals[m] = goal.select(m, (F.col("goal") / goal.agg(F.sum("goal")).first()[0]).alias("goal"))
+        scale = goal.agg(F.sum("goal")).first()[0]
+        goals[m] = goal.select(m, (F.col("goal") / scale if scale else F.col("own")).alias("goal"))
     now = cells.withColumn("share", F.col("tokens") / total)
     for _ in range(rounds):
         now = now.withColumn("gap", F.lit(0.0))
@@ -208,39 +297,32 @@ def plan_frame(rows: DataFrame, margins: tuple[str, ...], targets: dict[str, dic
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict] | None = None,
-          keep: float = 0.5, power: float = 0.5, topics: int = 8, topic_sample: int = 2_000, max_classes: int | None = None, seed: int = 1,
-          driver_cells: int = 100_000) -> DataFrame:
+          keep: float = 0.5, power: float = 0.5, topics: int = 8, dims: int = 512, rounds: int = 15, seed: int = 1, driver_cells: int = 100_000) -> DataFrame:
     """``docs`` with ``topic``, ``n_tokens``, ``weight``, ``prob`` and ``kept``; columns of these names are replaced.
 
-    targets: shares by class for the margins source, lang and topic; a margin without has its own shares raised to
-    ``power``. keep: the budget, as a share of all tokens (words). Null sources and languages are the class "(none)",
-    texts without words the topic -1 with no tokens. A row is kept by a hash of its id and text, so repeated rows
-    share their fate and a repeated run gives the same rows. An empty table gives no rows.
+    targets: shares by class for the margins source, lang and topic, with the key None for null; a class that given
+    targets leave out has the share 0, so its rows are not drawn; a margin without targets has its own shares raised to
+    ``power``. keep: the budget, as a share of all tokens (words). Texts without words have the topic -1 and no tokens.
+    A row is kept by a hash of its id and text, so repeated rows share their fate and a repeated run gives the same
+    rows. An empty table gives no rows. The rows and their vectors are written to the shared folder once.
     """
-    names = {"source": source_col, "lang": lang_col, "topic": "topic"}
-    model = fit_topics(docs, id_col, text_col, topics, topic_sample)
-    base = docs.drop("topic", "n_tokens", "weight", "prob", "kept").withColumn("_t", topic_column(docs, model, text_col))
-    rows = checkpointed(base.select(_as(source_col, "source"), _as(lang_col, "lang"), _class("_t.topic").alias("topic"), F.col("_t.n_tokens").alias("n_tokens"))
-                        .groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n_tokens")))
-    classes: dict[str, list[str]] = {}
-    for m in names if max_classes is not None else ():
-        classes[m] = [r["c"] for r in rows.groupBy(F.col(m).alias("c")).agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), "c").limit(max_classes).collect()]
-    merged = lambda c, m: F.when(c.isin(classes[m]), c).otherwise(OTHER) if m in classes else c
-    rows = rows.select(*[merged(F.col(m), m).alias(m) for m in names], "n_tokens")
+    spark, names, own = docs.sparkSession, {"source": source_col, "lang": lang_col, "topic": "_topic"}, ("topic", "n_tokens", "weight", "prob", "kept")
+    place = F.xxhash64(F.lit(5), F.col(id_col), text_key(F.col(text_col)))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text_key(F.col(text_col))), F.lit(1 << 53)) / float(1 << 53)
+    path = fresh_path(spark, "mixing")
+    word_rows = docs.drop(*own).select("*", place.alias("_place"), drawn.alias("_drawn"), word_column(F.col(text_col), dims).alias("_w"))
+    word_rows.write.parquet(path)
+    base = spark.read.schema(word_rows.schema).parquet(path)
+    model = fit_topics(base.select(F.col("_w.v").alias("v"), F.col("_place").alias("place")), topics, dims, rounds)
+    base = base.withColumn("_topic", topic_column(model, F.col("_w.v")))
+    rows = checkpointed(base.select(*[_class(c).alias(m) for m, c in names.items()], F.col("_w.n_tokens").alias("n_tokens")).groupBy(*names).agg(F.sum("n_tokens").alias("n_tokens")))
     if small_enough(rows, driver_cells):
         cells = plan(rows, tuple(names), targets, keep, power)
-        cells = cells or [{"source": NONE, "lang": NONE, "topic": NONE, "weight": 0.0, "prob": 0.0}]
-        table = F.broadcast(docs.sparkSession.createDataFrame(cells, "source string, lang string, topic string, weight double, prob double"))
+        cells = cells or [{"source": "", "lang": "", "topic": "", "weight": 0.0, "prob": 0.0}]
+        table = F.broadcast(spark.createDataFrame(cells, "source string, lang string, topic string, weight double, prob double"))
     else:
         table = plan_frame(rows, tuple(names), targets, keep, power)
-    table = table.select(*[F.col(m).alias(f"_{m}") for m in names], "weight", "prob")
-    labelled = base.select("*", F.col("_t.topic").alias("topic"), F.col("_t.n_tokens").alias("n_tokens")).drop("_t")
-    for m, column in names.items():
-        labelled = labelled.withColumn(f"_{m}", merged(_class(column), m))
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text_key(F.col(text_col))), F.lit(1 << 53)) / float(1 << 53)
-    joined = labelled.join(table, [f"_{m}" for m in names], "left").drop(*[f"_{m}" for m in names])
-    return joined.withColumn("kept", drawn < F.coalesce("prob", F.lit(0.0)))
-
-
-def _as(column: str, name: str) -> Column:
-    return _class(column).alias(name)
+    table = table.select(*[F.col(m).alias(f"_m_{m}") for m in names], "weight", "prob")
+    labelled = base.select("*", F.col("_topic").alias("topic"), F.col("_w.n_tokens").alias("n_tokens"), *[_class(c).alias(f"_m_{m}") for m, c in names.items()])
+    joined = labelled.join(table, [f"_m_{m}" for m in names], "left").withColumn("kept", F.col("_drawn") < F.coalesce("prob", F.lit(0.0)))
+    return joined.select(*[c for c in docs.columns if c not in own], *own)
