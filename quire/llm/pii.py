@@ -7,20 +7,22 @@ The entity's information is ``IC(e) = -ln p(e)``, which PMI cannot exceed; a ter
 ``disclosure`` of it exceeds the threshold, and its occurrences near the entity are generalised to a class name.
 Terms must be seen near the entity in ``min_contexts`` different contexts, so copies of one passage prove nothing.
 Co-occurrence is counted near entities only (``reach`` words on either side), so pairs grow with the entities
-found; document frequencies of the terms in question are counted over all documents.
+found; document frequencies of the terms in question are counted over all documents. Both take a word to be a run of what
+Spark holds to be letters, in Spark's lower case, so no term gets lost between them.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_enough, text_key
+from .common import checkpointed, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -30,7 +32,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
-_WORD = re.compile(r"[^\W\d_]{3,}")
+#: Letters of a term at least.
+LETTERS = 3
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -78,19 +81,28 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
-def contexts(text: str, spans: list[tuple[int, int, str]], reach: int) -> list[dict]:
-    """The words near each span: entity, a hash of the context, and each word with its place (words inside spans left out)."""
-    out = []
+def word_pattern(spark: SparkSession) -> str:
+    """A pattern of the words of ``LETTERS`` letters and more, with the letters of Spark's ``\\p{L}`` listed by ranges."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    runs = spark.createDataFrame([(every,)], "s STRING").select(F.regexp_extract_all("s", F.lit(r"(\p{L}+)"), F.lit(1))).first()[0]
+    return "(?:[" + "".join(f"{r[0]}-{r[-1]}" for r in runs) + f"]){{{LETTERS},}}"
+
+
+def contexts(text: str, spans: list[tuple[int, int, str]], reach: int, word: re.Pattern) -> list[dict]:
+    """The words near each span: entity, a hash of the context, and each word with its place (words that touch spans left out)."""
+    words: list[tuple[int, int]] = []
+    k, covered = 0, 0
+    for m in word.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():  # spans that begin before the word ends
+            covered = max(covered, spans[k][1])
+            k += 1
+        if m.start() >= covered:
+            words.append(m.span())
+    starts, out = [a for a, _ in words], []
     for a, b, kind in spans:
-        window = 40 * reach
-        left = max(0, a - window)
-        before = list(_WORD.finditer(text, left, a))
-        if left and before and before[0].start() == left:
-            before = before[1:]  # may begin inside a word
-        near = [*before[-reach:], *list(_WORD.finditer(text, b, b + window))[:reach]]
-        words = [(m.start(), m.end(), m[0].lower()) for m in near if not any(m.start() < y and x < m.end() for x, y, _ in spans)]
-        mark = zlib.crc32(" ".join(w for _, _, w in words).encode("utf-8", "surrogatepass"))
-        out += [{"entity": _entity(kind, text[a:b]), "context": mark, "start": x, "end": y, "term": w} for x, y, w in words]
+        near = words[max(0, (i := bisect_left(starts, a)) - reach) : i] + words[(j := bisect_left(starts, b)) : j + reach]
+        mark = zlib.crc32(" ".join(text[x:y].lower() for x, y in near).encode("utf-8", "surrogatepass"))
+        out += [{"entity": _entity(kind, text[a:b]), "context": mark, "start": x, "end": y, "term": text[x:y]} for x, y in near]
     return out
 
 
@@ -101,30 +113,31 @@ _NEAR = "array<struct<entity:string,context:bigint,start:int,end:int,term:string
 def _scan(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("t"))
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+    pattern = word_pattern(docs.sparkSession)
     nears = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("term", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(pattern)
         for b in batches:
             spans, near = [], []
             for value in b.column(1):
                 text = value.as_py() or ""
                 found = base_spans(text)
                 spans.append([{"start": x, "end": y, "kind": k} for x, y, k in found])
-                near.append(contexts(text, found, reach) if found else [])
+                near.append(contexts(text, found, reach, word) if found else [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(spans, kinds), pa.array(near, nears)], names=["id", "t", "base", "near"])
 
     return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, t bigint, base {_BASE}, near {_NEAR}")
 
 
-def _counted(docs: DataFrame, pairs: DataFrame, text_col: str, name: str, broadcast_rows: int) -> DataFrame:
-    """``(term, name)``: the number of documents that hold each term of the pairs."""
-    terms = pairs.select("term").distinct()
-    terms = F.broadcast(terms) if small_enough(terms, broadcast_rows) else terms
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))).alias("term"))
-    return words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias(name))
+def _counted(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """``(term, name)``: the number of documents that hold each term of the pairs. Spark joins by the terms' size."""
+    words = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("t"), F.explode(F.array_distinct(F.split(F.col(text_col), r"[^\p{L}]+"))).alias("w"))
+    found = words.where(F.char_length("w") >= LETTERS).select("id", "t", F.lower("w").alias("term")).join(pairs.select("term").distinct(), "term", "left_semi")
+    return found.distinct().groupBy("term").agg(F.count(F.lit(1)).alias(name))
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, text_col: str = "text", min_contexts: int = 3, disclosure: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def disclosing_terms(docs: DataFrame, near: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = 2, disclosure: float = 0.8) -> DataFrame:
     """``(entity, term, pmi, ic)`` of the terms above the threshold; near: ``(id, t, entity, context, start, end, term)``."""
     total = float(docs.count())
     often = (near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
@@ -144,21 +157,22 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, text_col: str = "text", m
     if not pairs.limit(1).count():
         return pairs.select("entity", "term", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic"))
     # So they are in at least those of a sixteenth of all documents that hold them: what is too common there goes unread.
-    some = checkpointed(pairs.join(_counted(docs.where(F.pmod(text_key(F.col(text_col)), F.lit(16)) == 0), pairs, text_col, "n_some", broadcast_rows), "term", "left")
+    some = checkpointed(pairs.join(_counted(docs.where(F.pmod(text_key(F.col(text_col)), F.lit(16)) == 0), pairs, id_col, text_col, "n_some"), "term", "left")
                         .withColumn("n_some", F.coalesce("n_some", F.lit(0))).where(above("n_some")))
-    n_term = _counted(docs, some, text_col, "n_term", broadcast_rows)
+    n_term = _counted(docs, some, id_col, text_col, "n_term")
     return some.join(n_term, "term").where(above("n_term")).select("entity", "term", pmi("n_term").alias("pmi"), ic.alias("ic"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, min_contexts: int = 3, disclosure: float = 0.8) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 16, min_contexts: int = 2, disclosure: float = 0.8) -> DataFrame:
     """``(id, t, base, terms)`` for each row: the pattern spans, and the spans of disclosing terms (kind term).
 
     Offsets are code points, ends exclusive. A null text is empty and has no spans. Rows that share id and text
-    share their result; ids may be null; extra columns are ignored; an empty table gives no rows.
+    share their result; ids may be null; extra columns are ignored; an empty table gives no rows. Words may be of any
+    length and are taken whole; all terms above the threshold count, whatever their order.
     """
     scanned = checkpointed(_scan(docs, id_col, text_col, reach))
-    near = scanned.select("id", "t", F.explode("near").alias("n")).select("id", "t", "n.*")
-    flagged = disclosing_terms(docs, near, text_col, min_contexts, disclosure)
+    near = scanned.select("id", "t", F.explode("near").alias("n")).select("id", "t", "n.entity", "n.context", "n.start", "n.end", F.lower("n.term").alias("term"))
+    flagged = disclosing_terms(docs, near, id_col, text_col, min_contexts, disclosure)
     hits = (near.join(flagged.select("entity", "term"), ["entity", "term"], "left_semi")
             .groupBy("id", "t").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.lit("term").alias("kind")))).alias("terms")))
     rows = scanned.alias("s").join(hits.alias("h"), F.col("s.id").eqNullSafe(F.col("h.id")) & (F.col("s.t") == F.col("h.t")), "left")

@@ -1,5 +1,8 @@
+import hashlib
+import random
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from quire.llm import pii as P
@@ -84,6 +87,68 @@ def test_terms_that_disclose(spark):
     assert clean[None] == "call [PHONE] now" and clean[3000] is None and clean[3002] == texts[3002]
 
 
+def brute_terms(texts, reach=16, contexts=2, disclosure=0.8):
+    """The (entity, term) pairs above the threshold, and each text's spans of them, from all words of all texts."""
+    import math
+    from collections import defaultdict
+
+    holds, near, places = defaultdict(set), defaultdict(set), defaultdict(list)
+    entities, pairs = defaultdict(set), defaultdict(set)
+    for i, text in enumerate(texts):
+        spans = brute(text)
+        words = [m.span() for m in regex.finditer(r"\p{L}{3,}", text)]
+        for a, b in words:
+            holds[text[a:b].lower()].add(i)
+        free = [(a, b) for a, b in words if not any(x < b and a < y for x, y, _ in spans)]
+        for x, y, kind in spans:
+            entity = P._entity(kind, text[x:y])
+            by = [w for w in free if w[1] <= x][-reach:] + [w for w in free if w[0] >= y][:reach]
+            mark = " ".join(text[a:b].lower() for a, b in by)
+            for a, b in by:
+                entities[entity].add(i)
+                pairs[entity, text[a:b].lower()].add(i)
+                near[entity, text[a:b].lower()].add(mark)
+                places[entity, text[a:b].lower()].append((i, a, b))
+    out = [set() for _ in texts]
+    for (entity, term), docs in pairs.items():
+        ic = math.log(len(texts) / len(entities[entity]))
+        pmi = math.log(len(docs) * len(texts) / (len(entities[entity]) * len(holds[term])))
+        if len(near[entity, term]) >= contexts and ic > 0 and pmi >= disclosure * ic - 1e-12:
+            for i, a, b in places[entity, term]:
+                out[i].add((a, b))
+    return out
+
+
+def test_the_query_against_brute_force(spark, tables):
+    from quire.llm.queries import op2_pii
+
+    rng = random.Random(8)
+    fill = ["".join(rng.choice("abcdeéüß") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    words = lambda n: " ".join(rng.choice(fill) for _ in range(n))
+    texts = [words(rng.randrange(50)) for _ in range(250)]
+    for k in range(12):
+        who, at = ["Zorb²lax", "İzmirli", "ΟΔΟΣ", "abcdefghijklmnopqrstuvwxyz" * 3, "Ⅷxenon", "x_tra"][k % 6], f"z{k % 6}@ex.com" if k % 2 else f"10.0.0.{k % 6}"
+        texts += [f"{words(rng.randrange(20))} {who} {words(3)} {at} {words(rng.randrange(30))} {who.lower()}" for _ in range(3)]
+    texts += ["", "10.0.0.7 " * 400, f"{'-' * 2_000} solitary {'7' * 500} z@ex.com", texts[260], "plain Zorb²lax " + words(5)]
+    path = tables(documents=([(i, t or None, 1) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING, spans INT"))
+    want = brute_terms(texts)
+    for r in op2_pii(spark, path).collect():
+        base = brute(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in base) for k in P.KINDS]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+        every = sorted([*base, *((a, b, "term") for a, b in want[r.doc_id])], key=lambda s: (s[0], [*P.KINDS, "term"].index(s[2]), s[1]))
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, b, k in every), r.doc_id
+    assert sum(map(len, want)) > 30 and any(texts[250 + k][a:b] == "İzmirli" for k in range(36) for a, b in want[250 + k])
+
+
+def test_many_spans_stay_linear():
+    import time
+
+    word, began = re.compile(r"[a-z]{3,}"), time.time()
+    text = "1.2.3.4 " * 30_000 + "word " * 30_000 + "a@b.co " * 30_000
+    assert len(P.contexts(text, P.base_spans(text), 16, word)) < 2_000_000 and time.time() - began < 20
+
+
 def test_spans_as_text(spark):
     df = spark.createDataFrame([(1, "a@b.co 10.0.0.1")], "doc_id BIGINT, text STRING")
     row = P.find(df).select(P.spans_text(P.all_spans(F.col("base"), F.col("terms"))).alias("s")).first()
