@@ -6,7 +6,9 @@ language; the count is corrected for false positives (a language whose slices ar
 ``r ** k`` of foreign n-grams) and the highest corrected share decides.
 
 The filter is fitted on a bounded sample of labelled rows: ``sample_per_language`` rows for each language, chosen by
-a hash of the id, and of each language the ``grams_per_language`` n-grams found in most of its sampled rows.
+a hash of the id. All languages are learned, and of each all n-grams found in two of its sampled rows, or in one where
+a language has fewer than ``FEW`` of them. The masks have as many bits as there are languages, the filter slots in
+proportion to the n-grams of the language with most.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LANGUAGES, CHUNK = 64, 1 << 20
+CHUNK = 1 << 20
+#: Sampled rows of a language below which an n-gram of one row counts; slots for each n-gram at least.
+FEW, SLOTS = 20, 6
 UNKNOWN = "und"
 
 _letters = None
@@ -46,28 +50,36 @@ def ngram_hashes(text: str | None, sizes: tuple[int, ...]) -> Iterator[np.ndarra
     """
     if not text:
         return
-    table, longest = _letter_table(), max(sizes)
+    table, text, longest = _letter_table(), text.lower(), max(sizes)
+    held = np.array([32], np.uint64)  # what n-grams of the next piece can begin with
+    last = False
     for lo in range(0, len(text), CHUNK):
-        part = text[max(0, lo - longest - 1) : lo + CHUNK].lower()
-        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer(text[lo : lo + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
         word = table[np.minimum(codes, 0x10FFFF)]
         keep = word.copy()
         keep[1:] |= word[:-1]  # of a run of others, the first
-        codes = np.where(word, codes, np.uint32(32))[keep].astype(np.uint64)
-        codes = np.concatenate([[np.uint64(32)], codes, [np.uint64(32)]]) if lo == 0 or lo + CHUNK >= len(text) else codes
+        keep[0] |= last
+        last = bool(word[-1])
+        new = np.where(word, codes, np.uint32(32))[keep].astype(np.uint64)
+        if lo + CHUNK >= len(text):
+            new = np.append(new, np.uint64(32))
+        codes = np.concatenate([held, new])
         space = codes == 32
         for n in sizes:
-            m = len(codes) - n + 1
-            if m <= 0:
+            from_ = max(0, len(held) - n + 1)  # those before were complete in the last piece
+            m = len(codes) - n + 1 - from_
+            if m <= 0 or not len(new):
                 continue
             h = np.full(m, n, np.uint64)
             inner = np.zeros(m, bool)
             for k in range(n):
-                h = h * np.uint64(0x100000001B3) + codes[k : k + m]
+                h = h * np.uint64(0x100000001B3) + codes[from_ + k : from_ + k + m]
                 if 0 < k < n - 1:
-                    inner |= space[k : k + m]
-            good = ~inner & ~(space[:m] & space[n - 1 : n - 1 + m]) if n > 1 else ~space[:m]
+                    inner |= space[from_ + k : from_ + k + m]
+            ends = space[from_ : from_ + m], space[from_ + n - 1 : from_ + n - 1 + m]
+            good = ~inner & ~(ends[0] & ends[1]) if n > 1 else ~ends[0]
             yield _mixed(h[good])
+        held = codes[-(longest - 1) :] if longest > 1 else codes[:0]
 
 
 @dataclass
@@ -84,25 +96,29 @@ class BitmaskFilter:
     def __post_init__(self):
         n = len(self.languages)
         kind = np.uint8 if n <= 8 else np.uint16 if n <= 16 else np.uint32 if n <= 32 else np.uint64
-        if self.masks is None:
-            self.masks = np.zeros(self.slots, kind)
+        if self.masks is None:  # a word for every 64 languages
+            self.masks = np.zeros((max(1, -(-n // 64)), self.slots), kind)
 
     def _at(self, hashes: np.ndarray, k: int) -> np.ndarray:
         return ((hashes + np.uint64(k) * ((hashes >> np.uint64(40)) | np.uint64(1))) & np.uint64(self.slots - 1)).astype(np.int64)
 
     def add(self, hashes: np.ndarray, language: int) -> None:
         for k in range(self.probes):
-            np.bitwise_or.at(self.masks, self._at(hashes, k), self.masks.dtype.type(1 << language))
+            self.masks[language // 64][self._at(hashes, k)] |= self.masks.dtype.type(1 << language % 64)
+
+    def has(self, masks: np.ndarray, language: int) -> np.ndarray:
+        """Whether masks, as of languages_of(), have a language's bit."""
+        return (masks[language // 64] >> masks.dtype.type(language % 64)) & masks.dtype.type(1)
 
     def settle(self) -> BitmaskFilter:
-        fill = np.array([float(((self.masks >> self.masks.dtype.type(i)) & self.masks.dtype.type(1)).mean()) for i in range(len(self.languages))])
-        self.false_rate = fill**self.probes
+        self.false_rate = np.array([float(self.has(self.masks, i).mean()) for i in range(len(self.languages))]) ** self.probes
         return self
 
     def languages_of(self, hashes: np.ndarray) -> np.ndarray:
-        found = self.masks[self._at(hashes, 0)]
+        """(words, n) masks of the languages of each n-gram."""
+        found = self.masks[:, self._at(hashes, 0)]
         for k in range(1, self.probes):
-            found &= self.masks[self._at(hashes, k)]
+            found &= self.masks[:, self._at(hashes, k)]
         return found
 
     def decide(self, text: str | None) -> tuple[str, float]:
@@ -112,13 +128,13 @@ class BitmaskFilter:
             found = self.languages_of(hashes)
             total += len(hashes)
             if len(self.languages) <= 8:
-                by_mask = np.bincount(found, minlength=256)
+                by_mask = np.bincount(found[0], minlength=256)
                 counts += by_mask @ _BITS[:, : len(self.languages)]
             else:
-                counts += np.array([int(((found >> found.dtype.type(i)) & found.dtype.type(1)).sum()) for i in range(len(self.languages))])
+                counts += np.array([int(self.has(found, i).sum()) for i in range(len(self.languages))])
         if not total or not self.languages:
             return UNKNOWN, 0.0
-        shares = np.clip((counts / total - self.false_rate) / (1 - self.false_rate), 0, 1)
+        shares = np.clip((counts / total - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
         best = int(shares.argmax())  # of equal shares, the language with more rows
         return self.languages[best], float(shares[best])
 
@@ -127,21 +143,22 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 400,
-        grams_per_language: int = 20_000, sizes: tuple[int, ...] = (2, 3, 4), slots: int = 1 << 20, probes: int = 3) -> BitmaskFilter:
+        sizes: tuple[int, ...] = (2, 3, 4), slots: int = 1 << 20, probes: int = 3) -> BitmaskFilter:
     """A filter learned from the labelled rows of ``docs`` (text and language not null).
 
-    Languages are numbered by rows, most first; beyond 64 the rarest are not learned.
+    Languages are numbered by rows, most first (ties by name), which decides between equal shares. slots is the least
+    number of slots; it is doubled until there are ``SLOTS`` for each n-gram of a language.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    spark = docs.sparkSession
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # one for each language
     languages = [r["lang"] for r in rows]
     if not languages:
         return BitmaskFilter([], sizes, slots, probes).settle()
-    share = F.lit(0.0)
-    for r in rows:  # about a quarter more than wanted, cut to the bound below
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.25 * sample_per_language / r["count"]))).otherwise(share)
+    # About a quarter more than wanted is drawn, and cut to the bound.
+    shares = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, 1.25 * sample_per_language / r["count"])) for r in rows], "lang string, share double"))
     place = F.xxhash64(F.lit(11), "id")
-    drawn = known.withColumn("place", place).where(F.pmod("place", F.lit(1 << 30)) < share * float(1 << 30))
+    drawn = known.withColumn("place", place).join(shares, "lang").where(F.pmod("place", F.lit(1 << 30)) < F.col("share") * float(1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", F.xxhash64("text")))
     drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= sample_per_language).select("lang", "text")
 
@@ -153,14 +170,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     found = np.unique(np.concatenate(parts)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found)], names=["lang", "gram"])
 
-    counted = drawn.repartition(F.xxhash64("text")).mapInArrow(grams, "lang string, gram bigint").groupBy("lang", "gram").count().where("count > 1")
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram"))
-    chosen = counted.withColumn("top", top).where(F.col("top") <= grams_per_language).select("lang", "gram").toArrow()
-    made = BitmaskFilter(languages, sizes, slots, probes)
-    lang = np.array(chosen.column("lang").to_pylist(), dtype=object)
+    counted = drawn.repartition(F.xxhash64("text")).mapInArrow(grams, "lang string, gram bigint").groupBy("lang", "gram").count()
+    few = [r["lang"] for r in rows if r["count"] < FEW]
+    chosen = counted.where((F.col("count") > 1) | F.col("lang").isin(few) if few else F.col("count") > 1).select("lang", "gram").toArrow()  # of the sampled rows
+    number = {name: i for i, name in enumerate(languages)}
+    lang = np.fromiter((number[x] for x in chosen.column("lang").to_pylist()), np.int64, chosen.num_rows)
     gram = chosen.column("gram").to_numpy().astype(np.int64).view(np.uint64)
-    for i, name in enumerate(languages):
-        made.add(gram[lang == name], i)
+    most = int(np.bincount(lang, minlength=1).max())
+    while slots < SLOTS * most:
+        slots *= 2
+    made = BitmaskFilter(languages, sizes, slots, probes)
+    for i in range(len(languages)):
+        made.add(gram[lang == i], i)
     return made.settle()
 
 
