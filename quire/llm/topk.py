@@ -6,22 +6,22 @@ the queries that have it scatter their weight times the postings into a dense ar
 block). A partition selection keeps each query's k best of the block, and the blocks' selections merge in Spark by
 a ranked window. Nothing is skipped or estimated.
 
-The queries go to the tasks in blocks of ``query_block`` rows, one pass over the candidates each, so what the driver
-holds and what is broadcast is bounded by that parameter whatever the size of the table.
+Queries and candidates are dealt into blocks of about ``block`` rows by a hash of their ids, and a task compares one block
+of either: a grid of rows, none of which passes through the driver. The plan is the same whatever the tables' sizes; work
+and shuffled rows grow with queries times candidates, as an exhaustive search has to look at all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidate rows whose scores are accumulated at once.
-ROWS = 2_048
+#: Candidate rows and queries whose scores are accumulated at once.
+ROWS, STRIP = 1_024, 256
 
 
 def quantised(vector: Column, scale: float) -> Column:
@@ -44,80 +44,130 @@ def _matrix(values: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
+def _kind(queries: np.ndarray, rows: np.ndarray) -> np.dtype:
+    """The narrowest type that holds all inner products; Python's integers where 64 bits could not."""
+    most = max(1, min(queries.shape[1], rows.shape[1])) * int(abs(int(queries.max(initial=0))) | abs(int(queries.min(initial=0)))) * int(abs(int(rows.max(initial=0))) | abs(int(rows.min(initial=0))))
+    return np.dtype(np.int32 if most < 2**30 else np.int64 if most < 2**62 else object)
+
+
 def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Integer inner products, accumulated term at a time over postings."""
-    acc = np.zeros((len(queries), len(rows)), np.int64)
-    for term in range(min(queries.shape[1], rows.shape[1])):
-        having, posting = np.flatnonzero(queries[:, term]), np.flatnonzero(rows[:, term])
+    """Integer inner products, accumulated term at a time over postings; those beyond 64 bits are set to the largest or least."""
+    kind = _kind(queries, rows)
+    by_term, postings = (np.ascontiguousarray(x.T.astype(kind)) for x in (queries, rows))
+    acc = np.zeros((len(queries), len(rows)), kind)
+    part = np.empty_like(acc)
+    for weight, values in zip(by_term, postings):
+        having, posting = np.flatnonzero(weight), np.flatnonzero(values)
         if not len(having) or not len(posting):
             continue
-        part = queries[having, term][:, None] * rows[posting, term][None, :]
-        if len(having) == len(acc) and len(posting) == acc.shape[1]:
-            acc += part
+        if 2 * len(posting) > len(values):  # a long list of postings: the rows left out add nothing
+            if 2 * len(having) > len(weight):
+                acc += np.multiply(weight[:, None], values[None, :], out=part)
+            else:
+                acc[having] += weight[having, None] * values[None, :]
         else:
-            acc[np.ix_(having, posting)] += part
+            acc[np.ix_(having, posting)] += weight[having, None] * values[None, posting]
+    if kind == object:
+        acc = np.clip(acc, LEAST + 1, -(LEAST + 1)).astype(np.int64)
     return acc
 
 
-def select_top(score: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, column) of each query's k best allowed columns: highest scores, ties to the smaller id."""
-    least = np.iinfo(np.int64).min
-    score = np.where(allowed, score, least)
-    n = score.shape[1]
-    bar = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(score), least)
-    q, c = np.nonzero((score >= bar[:, None]) & allowed)
-    order = np.lexsort((ids[c], -score[q, c], q))
-    q, c = q[order], c[order]
-    first = np.searchsorted(q, np.arange(len(score)))
-    good = np.arange(len(q)) - first[q] < k
-    return q[good], c[good]
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, query_block: int = 8_192) -> DataFrame:
+#: Below every score.
+LEAST = -(2**63)
+
+
+class Best:
+    """The k best candidates of each query so far: highest scores, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.order = np.argsort(ids, kind="stable")
+        self.bar = np.full(len(ids), LEAST)
+        self.held = (np.zeros(0, np.int64),) * 3
+
+    def add(self, at: int, score: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of the queries from ``at`` on with candidates of these ids, by partition selection; own ids take no part."""
+        score = score.astype(np.int64)
+        place = np.searchsorted(self.ids, ids, sorter=self.order)  # of each candidate, the query it is itself
+        place = self.order[np.minimum(place, len(self.order) - 1)]
+        own = (self.ids[place] == ids) & (place >= at) & (place < at + len(score))
+        score[place[own] - at, np.flatnonzero(own)] = LEAST
+        bar = self.bar[at : at + len(score)]
+        hit = (score >= bar[:, None]) & (score > LEAST)
+        if np.count_nonzero(hit) > 4 * self.k * len(score) and score.shape[1] > self.k:
+            bar = np.maximum(bar, np.partition(score, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k])
+            hit &= score >= bar[:, None]
+        q, c = np.nonzero(hit)
+        if not len(q):
+            return
+        query, id_, points = (np.concatenate(x) for x in zip(self.held, (q + at, ids[c], score[q, c])))
+        order = np.lexsort((id_, -points, query))
+        query, id_, points = query[order], id_[order], points[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        last = rank == self.k - 1
+        self.bar[query[last]] = points[last]
+        self.held = tuple(x[rank < self.k] for x in (query, id_, points))
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block: int = 8_192) -> DataFrame:
     """``(query_id, rank, id, score)``: each query's k highest integer inner products with the rows of other ids.
 
     Fewer than k rows if there are fewer candidates; ties go to the smaller id. Vectors that are null or hold null
     or non-finite components take no part; of vectors of unequal length the missing components count as zero. Rows
     with a null id are left out. A repeated id that is a query is asked once (its first vector in Spark's order of
-    arrays); repeated candidate rows count each. Extra columns are ignored; an empty table gives no rows.
+    arrays); repeated candidate rows count each. Components and scores beyond 64 bits count as the largest or least
+    number of 64 bits. Extra columns are ignored; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
     base = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("raw"), is_query.alias("q"))
     rows = base.select("id", quantised(F.col("raw"), scale).alias("v"))
     asked = base.where("q").groupBy("id").agg(F.min("raw").alias("raw")).select("id", quantised(F.col("raw"), scale).alias("v"))
-    blocks = max(1, -(-asked.count() // query_block))
-    schema = "query_id BIGINT, id BIGINT, score BIGINT"
-    parts = []
-    for block in range(blocks):
-        own = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)).toArrow().combine_chunks()
-        if not own.num_rows:
-            continue
-        q_ids = own.column("id").to_numpy().astype(np.int64)
-        held = spark.sparkContext.broadcast((q_ids, _matrix(own.column("v").combine_chunks() if isinstance(own.column("v"), pa.ChunkedArray) else own.column("v"), 0)))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            q_ids, q = held.value
-            best: tuple[np.ndarray, ...] | None = None
-            for b in batches:
-                all_ids = b.column(0).to_numpy().astype(np.int64)
-                matrix = _matrix(b.column(1), q.shape[1])
-                for lo in range(0, len(all_ids), ROWS):
-                    ids, m = all_ids[lo : lo + ROWS], matrix[lo : lo + ROWS]
-                    score = scores(q, m)
-                    at, col = select_top(score, ids, ids[None, :] != q_ids[:, None], k)
-                    new = (at, ids[col], score[at, col])
-                    best = new if best is None else tuple(np.concatenate(x) for x in zip(best, new))
-                    order = np.lexsort((best[1], -best[2], best[0]))
-                    best = tuple(x[order] for x in best)
-                    first = np.searchsorted(best[0], np.arange(len(q_ids)))
-                    good = np.arange(len(best[0])) - first[best[0]] < k
-                    best = tuple(x[good] for x in best)
+    counts = base.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).first()
+    of = lambda n: max(1, -(-n // block))
+    across, down = of(counts["n"]), of(counts["q"])
+    tasks = min(4 * across * down, 16 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a task takes one pair of blocks after another
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    grid = asked.select(own(down).alias("i"), every(across).alias("j"), F.lit(0).alias("side"), "id", "v").unionByName(rows.select(every(down).alias("i"), own(across).alias("j"), F.lit(1).alias("side"), "id", "v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked_, waiting, best = None, [], [], None
+
+        def compared() -> None:
+            nonlocal asked_, waiting, best
+            if asked_ and waiting:
+                if best is None:
+                    ids = np.concatenate([i for i, _ in asked_])
+                    width = max(m.shape[1] for _, m in asked_)
+                    best = Best(ids, k), np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for _, m in asked_])
+                for ids, m in waiting:
+                    for lo in range(0, len(ids), ROWS):
+                        for q in range(0, len(best[1]), STRIP):
+                            best[0].add(q, scores(best[1][q : q + STRIP], m[lo : lo + ROWS]), ids[lo : lo + ROWS])
+            waiting = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal asked_, best
+            compared()
             if best is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "id", "score"])
-
-        parts.append(rows.mapInArrow(run, schema))
-    if not parts:
-        return spark.createDataFrame([], f"query_id BIGINT, rank INT, {id_col} BIGINT, score BIGINT")
-    merged = reduce(DataFrame.unionByName, parts)
+                q, ids, points = best[0].held
+                yield pa.RecordBatch.from_arrays([pa.array(best[0].ids[q]), pa.array(ids), pa.array(points)], names=["query_id", "id", "score"])
+            asked_, best = [], None
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(c).to_numpy() for c in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                i, j, side = key[lo].tolist()
+                if (i, j) != at:
+                    yield from done()
+                    at = i, j
+                part = b.slice(lo, hi - lo)
+                (waiting if side else asked_).append((part.column(3).to_numpy().astype(np.int64), _matrix(part.column(4), 0)))
+                compared() if side else None
+        yield from done()
+
+    found = grid.repartition(tasks, "i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(run, "query_id BIGINT, id BIGINT, score BIGINT")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

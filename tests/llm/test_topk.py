@@ -32,7 +32,7 @@ def test_against_brute_force(spark):
     rows += [(2000, None), (2005, [1.0, None] + [0.0] * 10), (2010, [float("nan")] * 12), (2015, [float("inf")] * 12), (2020, []), (2025, [0.25] * 3)]
     got, want = run(spark, rows)
     assert got == want
-    got, want = run(spark, rows, query_block=7)
+    got, want = run(spark, rows, block=7)
     assert got == want
 
 
@@ -47,3 +47,15 @@ def test_repeated_ids(spark):
     df = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [1.0]), (1, [1.0]), (None, [1.0])], "vec_id BIGINT, embedding ARRAY<FLOAT>")
     got = sorted(map(tuple, T.top_k(df, F.col("vec_id") % 5 == 0).collect()))
     assert got == [(0, 1, 1, 65536), (0, 2, 1, 65536)]
+
+
+def test_large_components(spark):
+    df = spark.createDataFrame([(0, [2.0**50, 1.0]), (1, [2.0**50, 3.0]), (2, [-(2.0**50), 0.0]), (3, [2.0**-7, 0.0]), (4, [1e300, 0.0])], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    got = sorted(map(tuple, T.top_k(df, F.col("vec_id") == 0).collect()))
+    assert got == [(0, 1, 1, 2**63 - 1), (0, 2, 4, 2**63 - 1), (0, 3, 3, 2**59), (0, 4, 2, -(2**63) + 1)]
+
+
+def test_the_plan_does_not_grow(spark):
+    df = spark.range(400).selectExpr("id AS vec_id", "array(cast(id AS float)) AS embedding")
+    plans = [T.top_k(df, F.col("vec_id") % 2 == 0, block=b)._jdf.queryExecution().optimizedPlan().toString().count("\n") for b in (1_000, 10)]
+    assert plans[0] == plans[1]
