@@ -5,14 +5,16 @@ row each, so exact copies, however many, are one node. The distinct fingerprints
 tile pairs that can hold a link are compared, in numpy blocks, by exclusive-or and bit count. Pairs of tiles are
 skipped by population counts, and by sizes where a least similarity is asked for:
 
-* For a small radius a tile has the fingerprints whose four 16-bit quarters have the same population counts.
-  Fingerprints within the radius lie in tiles whose counts differ by the radius at most in sum.
-* With a least similarity ``s`` of the shingle sets, a tile has a range of set sizes from ``x`` to ``x / s``: sets
-  that similar lie in the same tile or in neighbours.
+* For a small radius a tile has the fingerprints whose 16-bit quarters have the same population counts (bytes or half
+  bytes, if there are so many fingerprints that the fullest tile would not fit a chunk). Fingerprints within the radius lie
+  in tiles whose counts differ by the radius at most in sum, which are a fixed number of tiles.
+* With a least similarity ``s`` of the shingle sets, a tile has the rows whose sets agree in two of their least hashes. Sets
+  that similar agree in a pair of these with probability ``s * s`` at least, and rows are dealt by so many pairs that one
+  pair of sets in ten thousand at ``s`` is missed, and fewer above. So work grows with the rows, not with their square.
 
 A row goes to its own tile as a base row, and to the other tiles that it has to meet as a probe. Base rows and probes of
-a large tile are cut into chunks, and a task compares two of these, so it holds some ten thousand rows whatever the
-corpus. Inside a task, what population counts of the bytes exclude is skipped
+a large tile are cut into chunks, as many as its rows were counted to need, and a task compares two of these, so it holds
+some ten thousand rows whatever the corpus. Inside a task, what population counts of the bytes exclude is skipped
 too, and links are reduced to a spanning forest at once, so that a group of many near copies gives no more links
 than it has rows. Links are joined into components by large-star / small-star rounds over DataFrames with
 checkpoints; neither links nor components nor fingerprints pass through the driver.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import struct
 from collections.abc import Iterator
 from functools import reduce
 
@@ -76,8 +79,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def set_fingerprint(text: str | None, width: int, seed: int = 42, words64: int = 4) -> tuple[int, ...]:
-    """The SimHash of a text's different shingles in up to four 64-bit words, their number, and a hash of the set."""
+def _order(k: int) -> np.uint64:
+    """A number that makes the k-th order of hashes."""
+    return np.uint64((k + 1) * 0xD1B54A32D192ED03 % 2**64)
+
+
+def set_fingerprint(text: str | None, width: int, seed: int = 42, words64: int = 4, bands: int = 0) -> tuple[int, ...]:
+    """The SimHash of a text's different shingles in up to four 64-bit words, their number, a hash of the set, and a hash of each band.
+
+    A band is the least hashes of the set in two orders.
+    """
     import xxhash
 
     hashes = distinct_shingles(text, width, seed)
@@ -85,7 +96,9 @@ def set_fingerprint(text: str | None, width: int, seed: int = 42, words64: int =
     for lo in range(0, total, 65_536):
         part = hashes[lo : lo + 65_536]
         _counted(np.ascontiguousarray(np.hstack([part, _mixed(part)])[:, :words64]), counts)
-    return (*np.packbits(counts * 2 > total, bitorder="little").view("<u8").tolist(), total, xxhash.xxh3_64_intdigest(np.ascontiguousarray(hashes[:, 0]).tobytes()))
+    least = [int(_mixed(hashes[:, 0] ^ _order(k)).min()) if total else 0 for k in range(2 * bands)]
+    pairs = [xxhash.xxh3_64_intdigest(struct.pack("<QQQ", k, *least[2 * k : 2 * k + 2])) for k in range(bands)]
+    return (*np.packbits(counts * 2 > total, bitorder="little").view("<u8").tolist(), total, xxhash.xxh3_64_intdigest(np.ascontiguousarray(hashes[:, 0]).tobytes()), *pairs)
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42, words64: int = 1) -> tuple[int, ...]:
@@ -124,31 +137,42 @@ def _row_key(id_: Column, text: Column) -> Column:
     return F.xxhash64(id_, text_key(text))
 
 
-def set_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, words64: int) -> DataFrame:
-    """``(id, r, f0.., size, node)`` for each row: r names the row, node the set of its different shingles."""
+def set_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, words64: int, bands: int) -> DataFrame:
+    """``(id, r, f0.., size, node, bands)`` for each row: r names the row, node the set of its different shingles."""
     base = docs.select(F.col(id_col).alias("id"), _row_key(F.col(id_col), F.col(text_col)).alias("r"), F.col(text_col).alias("text"))
     names = [*[f"f{k}" for k in range(words64)], "size", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.array([set_fingerprint(t.as_py(), width, seed, words64) for t in b.column(2)], dtype=np.uint64).reshape(-1, words64 + 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(rows[:, k]) for k in range(words64 + 2))], names=["id", "r", *names])
+            rows = np.array([set_fingerprint(t.as_py(), width, seed, words64, bands) for t in b.column(2)], dtype=np.uint64).reshape(-1, words64 + 2 + bands).view(np.int64)
+            held = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(rows[:, words64 + 2 :]).reshape(-1)), bands).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(rows[:, k]) for k in range(words64 + 2)), held], names=["id", "r", *names, "bands"])
 
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, r BIGINT, {', '.join(f'{n} BIGINT' for n in names)}")
+    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, r BIGINT, {', '.join(f'{n} BIGINT' for n in names)}, bands ARRAY<BIGINT>")
 
 
-def _quarters(fp: Column) -> list[Column]:
-    return [F.bit_count(F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int") for k in range(4)]
+#: By the number of parts of a fingerprint: the bits of a count in a tile's name, and the share of evenly spread fingerprints in the fullest tile.
+PARTS = {4: (5, 0.197**4), 8: (4, 0.274**8), 16: (3, 0.375**16)}
 
 
-def _packed(counts) -> Column:
-    a, b, c, d = counts
-    return (a + b * 32 + c * 1024 + d * 32768).cast("int")
+def _tile(fp: Column, parts: int) -> Column:
+    """The population counts of a fingerprint's parts as one number."""
+    bits, _ = PARTS[parts]
+    width = 64 // parts
+    counts = [F.bit_count(F.shiftrightunsigned(fp, width * k).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for k in range(parts)]
+    return reduce(lambda x, y: x + y, [F.shiftleft(c, bits * k) for k, c in enumerate(counts)])
 
 
-def _later_offsets(radius: int) -> list[tuple[int, ...]]:
-    """Differences of four counts whose absolute values add up to 1..radius, one of each opposite pair."""
-    return [d for d in itertools.product(range(-radius, radius + 1), repeat=4) if 0 < sum(map(abs, d)) <= radius and d > (0, 0, 0, 0)]
+def _later_offsets(radius: int, parts: int = 4) -> list[tuple[int, ...]]:
+    """Differences of counts whose absolute values add up to 1..radius, one of each opposite pair."""
+    found = set()
+    for places in itertools.combinations_with_replacement(range(parts), radius):
+        for signs in itertools.product((-1, 0, 1), repeat=radius):
+            d = [0] * parts
+            for at, sign in zip(places, signs):
+                d[at] += sign
+            found.add(tuple(d))
+    return sorted(d for d in found if d > (0,) * parts)
 
 
 def _byte_counts(fps: np.ndarray) -> np.ndarray:
@@ -196,16 +220,23 @@ def tile_links(rows: np.ndarray, base: np.ndarray, radius: int) -> np.ndarray:
     blocks = [(j, counts[j : j + BLOCK].min(axis=0), counts[j : j + BLOCK].max(axis=0)) for j in range(0, len(rows), BLOCK)]
     for i in range(0, n_base, STRIP):
         x = rows[i : min(i + STRIP, n_base)]
+        linked = forest.root[i] if (forest.root[i : i + len(x)] == forest.root[i]).all() else -1
         lo, hi = counts[i : i + len(x)].min(axis=0), counts[i : i + len(x)].max(axis=0)
         for j, b_lo, b_hi in blocks:
             if j + BLOCK <= i or np.maximum(0, np.maximum(lo - b_hi, b_lo - hi)).sum() > radius:
                 continue
-            y = rows[j : j + BLOCK]
+            y, at = rows[j : j + BLOCK], None
+            if linked >= 0 and i:  # of rows linked to all of the strip there is nothing to learn
+                at = np.flatnonzero(forest.root[j : j + BLOCK] != linked)
+                if not len(at):
+                    continue
+                y = y[at]
             far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
             far = far.astype(np.uint16) if rows.shape[1] > 3 else far
             for k in range(1, rows.shape[1]):
                 far += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
             a, b = np.nonzero(far <= radius)
+            b = b if at is None else at[b]
             later = b + j > a + i
             if later.any():
                 forest.add(a[later] + i, b[later] + j)
@@ -267,15 +298,14 @@ def _tiled(rows: DataFrame, words64: int, radius: int) -> DataFrame:
     return _by_task(rows, ["node", *[f"f{k}" for k in range(words64)]], lambda base, node, *fps: tile_links(np.stack(fps, axis=1).view(np.uint64), base, radius))
 
 
-def _in_chunks(base: DataFrame, probe: DataFrame, chunks: Column, probe_chunks: Column, cols: list[str]) -> DataFrame:
-    """The rows of each task. chunks, probe_chunks: how many of either the column tile has.
+def _in_chunks(base: DataFrame, probe: DataFrame | None, cols: list[str]) -> DataFrame:
+    """The rows of each task. base and probe have the columns n and p: the chunks of base rows and probes in their tile.
 
     A tile with one of each is one task. Otherwise chunks i <= j of base rows meet (side 0), and each chunk of base rows
     meets each chunk of probes (side 1).
     """
-    sized = lambda df: df.withColumn("n", chunks).withColumn("p", probe_chunks)
-    base = sized(base).withColumn("k", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    probe = sized(probe).withColumn("k", F.pmod(F.xxhash64("node"), F.col("p")).cast("int"))
+    dealt = lambda df, n: df.withColumn("k", F.pmod(F.xxhash64("node"), F.col(n)).cast("int"))
+    base = dealt(base, "n")
     one = (F.col("n") == 1) & (F.col("p") == 1)
     upto = lambda last: F.sequence(F.lit(0), last.cast("int"))
     rows = lambda df, side, i, j, is_base: df.select("tile", F.lit(side).alias("side"), i.alias("i"), j.alias("j"), F.lit(is_base).alias("base"), *cols)
@@ -283,39 +313,56 @@ def _in_chunks(base: DataFrame, probe: DataFrame, chunks: Column, probe_chunks:
     parts = [
         rows(base, 0, k, F.explode(F.sequence(k, (F.col("n") - 1).cast("int"))), True),
         rows(base.where("k > 0"), 0, F.explode(upto(k - 1)), k, False),
-        rows(base.where(~one), 1, k, F.explode(upto(F.col("p") - 1)), True),
-        rows(probe.where(~one), 1, F.explode(upto(F.col("n") - 1)), k, False),
-        rows(probe.where(one), 0, k, k, False),
     ]
+    if probe is not None:
+        probe = dealt(probe, "p")
+        parts += [
+            rows(base.where(~one), 1, k, F.explode(upto(F.col("p") - 1)), True),
+            rows(probe.where(~one), 1, F.explode(upto(F.col("n") - 1)), k, False),
+            rows(probe.where(one), 0, k, k, False),
+        ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def links_by_counts(nodes: DataFrame, radius: int) -> DataFrame:
-    """``(a, b)`` links that span all pairs of nodes ``(node, f0)`` within ``radius`` bits, tiled by quarters' population counts."""
-    counts = _quarters(F.col("f0"))
-    # The fullest tile has the share 0.2 ** 4 of evenly spread fingerprints.
-    n = max(1, math.ceil(nodes.count() * 0.2**4 / CHUNK_ROWS))
-    offsets = _later_offsets(radius)
-    base = nodes.select("node", "f0", _packed(counts).alias("tile"))
-    within = lambda d: sum((F.when((c + o).between(0, 16), 0).otherwise(1) for c, o in zip(counts, d)), F.lit(0)) == 0
-    near = F.array(*[F.when(within(d), _packed([c + o for c, o in zip(counts, d)])) for d in offsets])
-    probe = nodes.select("node", "f0", F.explode(F.filter(near, lambda t: t.isNotNull())).alias("tile"))
-    probe = probe.join(base.select("tile").distinct(), "tile", "left_semi")
-    return _tiled(_in_chunks(base, probe, F.lit(n), F.lit(1 if n == 1 else n * len(offsets)), ["node", "f0"]), 1, radius)
+def links_by_counts(nodes: DataFrame, radius: int, parts: int | None = None) -> DataFrame:
+    """``(a, b)`` links that span all pairs of nodes ``(node, f0)`` within ``radius`` bits, tiled by their parts' population counts."""
+    if parts is None:
+        n = nodes.count()
+        parts = next((p for p, (_, share) in PARTS.items() if n * share <= CHUNK_ROWS), max(PARTS))
+    bits, _ = PARTS[parts]
+    # Names are sums, so tiles whose counts differ have names that differ by a number; what is no tile's name falls out.
+    offsets = [sum(x << bits * k if x >= 0 else -(-x << bits * k) for k, x in enumerate(d)) for d in _later_offsets(radius, parts)]
+    base = nodes.select("node", "f0", _tile(F.col("f0"), parts).alias("tile"))
+    probe = base.select("node", "f0", F.explode(F.transform(F.array(*map(F.lit, offsets)), lambda d: F.col("tile") + d.cast("long"))).alias("tile"))
+    sizes = base.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("n"))
+    probe = checkpointed(probe.join(sizes, "tile"))  # where there is a tile to meet
+    met = probe.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("p"))
+    sizes = checkpointed(sizes.join(met, "tile", "left").select("tile", "n", F.coalesce("p", F.lit(1)).alias("p")))
+    return _tiled(_in_chunks(base.join(sizes, "tile"), probe.drop("n").join(sizes, "tile"), ["node", "f0"]), 1, radius)
+
+
+def band_count(similarity: float, missed: float = 1e-4) -> int:
+    """How many bands of two least hashes leave the share ``missed`` of pairs with this similarity without a common one."""
+    return 1 if similarity >= 1 else max(1, math.ceil(math.log(missed) / math.log(1 - similarity**2)))
+
+
+def links_by_bands(nodes: DataFrame, words64: int, radius: int) -> DataFrame:
+    """``(a, b)`` links that span the pairs of nodes ``(node, f0.., bands)`` within ``radius`` bits that have a band in common."""
+    cols = ["node", *[f"f{k}" for k in range(words64)]]
+    dealt = nodes.select(*cols, F.explode("bands").alias("tile"))
+    sizes = checkpointed(dealt.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tile", F.ceil(F.col("n") / CHUNK_ROWS).cast("int").alias("n")))
+    return _tiled(_in_chunks(dealt.join(sizes, "tile"), None, cols), words64, radius)
 
 
 def links_by_size(nodes: DataFrame, words64: int, radius: int, similarity: float) -> DataFrame:
     """``(a, b)`` links that span all pairs of nodes ``(node, f0.., size)`` within ``radius`` bits whose sizes allow the similarity."""
     cols = ["node", *[f"f{k}" for k in range(words64)]]
     base = nodes.select(*cols, F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / -math.log(similarity)).cast("int").alias("tile"))
-    full = {r["tile"]: r["count"] for r in base.groupBy("tile").count().collect()}  # a few dozen tiles, by the logarithm of sizes
-    chunks = probes = F.lit(1)
-    for tile, n in full.items():
-        if n > CHUNK_ROWS:
-            chunks = F.when(F.col("tile") == tile, F.lit(math.ceil(n / CHUNK_ROWS))).otherwise(chunks)
-            probes = F.when(F.col("tile") == tile + 1, F.lit(math.ceil(n / CHUNK_ROWS))).otherwise(probes)
-    probe = base.select(*cols, (F.col("tile") + 1).alias("tile")).where(F.col("tile").isin(list(full)))
-    return _tiled(_in_chunks(base, probe, chunks, probes, cols), words64, radius)
+    sizes = checkpointed(base.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("n")))
+    before = sizes.select((F.col("tile") + 1).alias("tile"), F.col("n").alias("p"))
+    sizes = sizes.join(before, "tile", "left").select("tile", "n", F.coalesce("p", F.lit(1)).alias("p"))
+    probe = base.withColumn("tile", F.col("tile") + 1)
+    return _tiled(_in_chunks(base.join(sizes, "tile"), probe.join(sizes, "tile"), cols), words64, radius)
 
 
 def similar_pairs(sets: list[np.ndarray], base: np.ndarray, similarity: float) -> np.ndarray:
@@ -365,18 +412,18 @@ def similar_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, simila
     held = near.groupBy("root").agg(*[F.greatest(F.ceil(F.count_if(c) / CLUSTER_ROWS), F.ceil(F.sum(F.when(c, F.size("hs")).otherwise(0)) / CLUSTER_SHINGLES), F.lit(1)).alias(n)
                                       for n, c in (("n", ~F.col("near")), ("p", F.col("near")))], F.count_if(~F.col("near")).alias("left")).where("left > 0").drop("left")
     open_ = near.join(held, "root").withColumnRenamed("root", "tile")
-    tasks = _in_chunks(open_.where("NOT near"), open_.where("near"), F.col("n"), F.col("p"), ["node", "hs"])
+    tasks = _in_chunks(open_.where("NOT near"), open_.where("near"), ["node", "hs"])
     more = _by_task(tasks, ["node", "hs"], lambda base, node, hs: similar_pairs(hs, base, similarity))
     return near.where("near AND node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, root)``: each node of the edges ``(a, b)`` with the least node of its component, which has no row itself.
 
     Alternates large-star and small-star until the edges are stars around their least nodes.
     """
     current = checkpointed(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct())
-    for _ in range(max_rounds):
+    while True:  # each round but the last lowers a label
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -388,8 +435,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         current = then
         if not changed:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -405,10 +450,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     names = [f"f{k}" for k in range(words64)]
     if similarity is not None:
-        fps = checkpointed(set_fingerprints(docs, id_col, text_col, width, seed, words64))
-        nodes = checkpointed(fps.groupBy("node", *names, "size").agg(F.min("id").alias("least"), F.min("r").alias("r")))
+        fps = checkpointed(set_fingerprints(docs, id_col, text_col, width, seed, words64, band_count(similarity)))
+        nodes = checkpointed(fps.groupBy("node", *names, "size").agg(F.min("id").alias("least"), F.min("r").alias("r"), F.first("bands").alias("bands")))
         # The similarity of fewer shingles than these to another set is lower, or one.
-        clusters = components(links_by_size(nodes.where(F.col("size") >= math.ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else F.lit(False)), words64, radius, similarity))
+        clusters = components(links_by_bands(nodes.where(F.col("size") >= math.ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else F.lit(False)), words64, radius))
         found = similar_links(docs, nodes, clusters, similarity, id_col, text_col, width, seed)
     else:
         fps = checkpointed(fingerprints(docs, id_col, text_col, width, seed, words64))

@@ -161,3 +161,39 @@ def test_chains_of_similar_sets_in_chunks(spark, monkeypatch):
         monkeypatch.setattr(S, "CLUSTER_ROWS", rows)
         got = {r.doc_id: r.component_id for r in S.near_duplicates(df, width=5, radius=76, words64=4, similarity=0.8).collect()}
         assert got == want
+
+
+def test_tiles_of_any_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK_ROWS", 30)
+    rng = random.Random(12)
+    fps = {rng.getrandbits(64) for _ in range(40)} | {0, 1, 3, 2**64 - 1, 2**63}
+    for f in list(fps)[:30]:
+        for _ in range(8):
+            fps.add(f ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(1, 4))}))
+    fps = sorted(fps)
+    df = spark.createDataFrame([(i, f - 2**64 if f >= 2**63 else f) for i, f in enumerate(fps)], "node BIGINT, f0 BIGINT")
+    want = roots(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
+    for parts in S.PARTS:
+        assert roots(range(len(fps)), [(r.a, r.b) for r in S.links_by_counts(df, 2, parts).collect()]) == want
+
+
+def test_recall_of_similar_texts(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randrange(60, 300))]
+        texts.append(base)
+        for _ in range(6):  # similarities of about 0.7 to 0.95
+            copy = list(base)
+            for _ in range(max(1, int(len(base) * rng.uniform(0.005, 0.035)))):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(copy)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(df, width=5, words64=4, radius=76, similarity=0.8).collect()}
+    caught = sum(got[i] == got[j] for i, j in pairs) / len(pairs)
+    close = roots(range(len(texts)), pairs)
+    assert len(pairs) > 300 and caught >= 0.99, caught
+    assert all(close[i] == close[j] for i in got for j in [got[i]])  # nothing links below the similarity
