@@ -5,8 +5,9 @@ each margin in turn, until all three hold. A cell's weight is its raked tokens o
 by probabilities ``min(1, l * weight)``, with ``l`` calibrated so that the expected tokens meet the budget.
 
 Topics come from spherical k-means over hashed words, fitted on all rows: a text's words become a vector of bytes once;
-document frequencies, the first centres (drawn in proportion to the distance from those before, by an exponential race
-over all rows) and each round's sums are distributed aggregates, of which the driver gets topics by dims numbers. Sums are
+document frequencies, the candidates for first centres (rounds of rows drawn in proportion to their distance from those
+before, by an exponential race over all rows; the rows nearest to each weigh it) and each round's sums are distributed
+aggregates, of which the driver gets some topics by dims numbers. Sums are
 of integers, so the same rows give the same topics however they are dealt. All classes of all margins are raked: by the
 driver where there are few cells, else as DataFrames, with the same results.
 """
@@ -29,8 +30,8 @@ from .common import checkpointed, fresh_path, small_enough, text_key
 NONE = None
 #: Steps of a vector's byte for one of log1p(count); of a component in the sums of a centre.
 STEPS, UNITS = 24, 1 << 24
-#: Rows drawn for a first centre, of which the one that leaves the least distance becomes it.
-CANDIDATES = 4
+#: Rounds in which as many candidates for first centres as topics are drawn.
+DRAWS = 3
 
 
 def hashed_words(text: str | None, dims: int) -> tuple[bytes | None, int]:
@@ -57,7 +58,7 @@ class TopicModel:
 
     def nearness(self, x: np.ndarray) -> np.ndarray:
         """Products with all centres, one by one: those of a matrix product can depend on the other rows."""
-        return np.stack([(x * c).sum(axis=1) for c in self.centres], axis=1)
+        return np.stack([np.einsum("ij,j->i", x, c) for c in self.centres], axis=1)
 
     def topics(self, vectors: list[bytes]) -> np.ndarray:
         """The nearest centres' numbers (of equals the least)."""
@@ -92,38 +93,37 @@ def fit_topics(rows: DataFrame, topics: int, dims: int, rounds: int) -> TopicMod
     weights = np.log((1 + total) / (1 + np.array([held.get(d, 0) for d in range(dims)])))
     model = TopicModel(weights, np.zeros((0, dims)))
 
-    def gaps(x: np.ndarray, centres: TopicModel) -> np.ndarray:
-        gap = np.clip(1 - centres.nearness(x).max(axis=1), 0, None) if len(centres.centres) else np.ones(len(x))
-        return np.where((gap > 1e-9) & x.any(axis=1), gap, 0.0)
-
-    def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple] = []
-        for b, vs in _vectors(batches):
-            gap = gaps(model.units(vs), model)
-            place = b.column(1).to_numpy().view(np.uint64)
-            score = np.where(gap > 0, -np.log((place.astype(np.float64) + 1) / 2**64) / np.where(gap > 0, gap, 1), np.inf)
-            bar = np.partition(score, min(len(score), CANDIDATES) - 1)[min(len(score), CANDIDATES) - 1]
-            best = sorted({*best, *((score[i], vs[i]) for i in np.flatnonzero((score <= bar) & np.isfinite(score)).tolist())})[:CANDIDATES]
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in best], pa.float64()), pa.array([v for _, v in best], pa.binary())], names=["score", "v"])
-
-    while len(model.centres) < topics:
-        drawn = [bytes(r["v"]) for r in rows.select("v", "place").mapInArrow(race, "score DOUBLE, v BINARY").distinct().orderBy("score", "v").limit(CANDIDATES).collect()]
-        if not drawn:  # all rows lie on a centre
-            break
-
-        def left(batches: Iterator[pa.RecordBatch], drawn=drawn) -> Iterator[pa.RecordBatch]:
-            sums, more = np.zeros(len(drawn), np.int64), TopicModel(weights, model.units(drawn))
-            for _, vs in _vectors(batches):
+    def race(n: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[tuple] = []
+            for b, vs in _vectors(batches):
                 x = model.units(vs)
-                gap = gaps(x, model)
-                sums += np.rint(np.minimum(gap[:, None], np.clip(1 - more.nearness(x), 0, None)) * UNITS).astype(np.int64).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(drawn)), pa.int32()), pa.array(sums)], names=["k", "n"])
-
-        sums = dict(rows.select("v").mapInArrow(left, "k INT, n BIGINT").groupBy("k").agg(F.sum("n")).collect())
-        model.centres = np.concatenate([model.centres, model.units([drawn[min(sums, key=lambda k: (sums[k], k))]])])
+                gap = np.clip(1 - model.nearness(x).max(axis=1), 0, None) if len(model.centres) else np.ones(len(x))
+                gap = np.where((gap > 1e-9) & x.any(axis=1), gap, 0.0)
+                place = b.column(1).to_numpy().view(np.uint64)
+                score = np.where(gap > 0, -np.log((place.astype(np.float64) + 1) / 2**64) / np.where(gap > 0, gap, 1), np.inf)
+                bar = np.partition(score, min(len(score), n) - 1)[min(len(score), n) - 1]
+                best = sorted({*best, *((score[i], vs[i]) for i in np.flatnonzero((score <= bar) & np.isfinite(score)).tolist())})[:n]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in best], pa.float64()), pa.array([v for _, v in best], pa.binary())], names=["score", "v"])
+
+        return run
+
+    for n in (1, *[topics] * DRAWS):
+        drawn = {bytes(r["v"]): None for r in rows.select("v", "place").mapInArrow(race(n), "score DOUBLE, v BINARY").distinct().orderBy("score", "v").limit(n).collect()}
+        if drawn:  # else all rows lie on a centre
+            model.centres = np.concatenate([model.centres, model.units(list(drawn))])
     if not len(model.centres):
         return TopicModel(weights, np.zeros((1, dims)))
 
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(model.centres), np.int64)
+        for _, vs in _vectors(batches):
+            held += np.bincount(model.topics(vs), minlength=len(held))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(held)), pa.int32()), pa.array(held)], names=["k", "n"])
+
+    held = dict(rows.select("v").mapInArrow(weigh, "k INT, n BIGINT").groupBy("k").agg(F.sum("n")).collect())
+    model = TopicModel(weights, chosen_centres(model.centres, np.array([held[k] for k in range(len(model.centres))]), topics))
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = np.zeros(model.centres.shape, np.int64)
         for _, vs in _vectors(batches):
@@ -146,6 +146,18 @@ def fit_topics(rows: DataFrame, topics: int, dims: int, rounds: int) -> TopicMod
     return model
 
 
+def chosen_centres(candidates: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """n of the candidates, each the one that leaves the least weighted distance."""
+    gap = np.stack([np.clip(1 - (candidates * c).sum(axis=1), 0, None) for c in candidates], axis=1)
+    left, chosen = np.ones(len(candidates)), []
+    while len(chosen) < min(n, len(candidates)):
+        sums = np.rint((np.minimum(left[:, None], gap) * weights[:, None]).sum(axis=0) * 2**20)
+        sums[chosen] = np.inf
+        chosen.append(int(sums.argmin()))
+        left = np.minimum(left, gap[:, chosen[-1]])
+    return candidates[chosen]
+
+
 def word_column(text: Column, dims: int) -> Column:
     """hashed_words() of a text as a struct ``v, n_tokens``."""
     from pyspark.sql.functions import arrow_udf
@@ -297,7 +309,7 @@ def plan_frame(rows: DataFrame, margins: tuple[str, ...], targets: dict[str, dic
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict] | None = None,
-          keep: float = 0.5, power: float = 0.5, topics: int = 8, dims: int = 512, rounds: int = 15, seed: int = 1, driver_cells: int = 100_000) -> DataFrame:
+          keep: float = 0.5, power: float = 0.5, topics: int = 8, dims: int = 512, rounds: int = 10, seed: int = 1, driver_cells: int = 100_000) -> DataFrame:
     """``docs`` with ``topic``, ``n_tokens``, ``weight``, ``prob`` and ``kept``; columns of these names are replaced.
 
     targets: shares by class for the margins source, lang and topic, with the key None for null; a class that given

@@ -81,7 +81,7 @@ def piece_starts(data: bytes) -> np.ndarray:
 class Encoder:
     """Encodes texts with a tokenizers file; pieces' ids are kept until ``limit`` of them are held."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 250_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

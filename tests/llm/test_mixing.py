@@ -89,15 +89,16 @@ def brute(rows, topics, keep, power):
     x = x * np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0)))
     x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
     centres = []
-    for _ in range(topics):
+    for n in (1, topics, topics, topics):
         gap = 1 - np.max([x @ c for c in centres], axis=0) if centres else np.ones(len(x))
         gap[(gap < 1e-9) | ~x.any(axis=1)] = 0
-        if gap.max() > 0:
-            u = np.array([(rows[i][4] % 2**64 + 1) / 2**64 for i in there])
-            score = np.array([-np.log(a) / g if g else np.inf for a, g in zip(u, gap)])
-            tried = sorted({tuple(x[i]): (score[i], i) for i in np.argsort(-score, kind="stable") if np.isfinite(score[i])}.values())[:4]
-            centres.append(x[min(tried, key=lambda t: np.rint(np.minimum(gap, 1 - x @ x[t[1]]).clip(0) * M.UNITS).sum())[1]])
-    for _ in range(15):
+        u = np.array([(rows[i][4] % 2**64 + 1) / 2**64 for i in there])
+        score = np.array([-np.log(a) / g if g else np.inf for a, g in zip(u, gap)])
+        drawn = {tuple(x[i]): (score[i], i) for i in np.argsort(-score, kind="stable") if np.isfinite(score[i])}
+        centres += [x[i] for _, i in sorted(drawn.values())[:n]]
+    weights = np.bincount(np.argmax([x @ c for c in centres], axis=0), minlength=len(centres))
+    centres = list(M.chosen_centres(np.array(centres), weights, topics))
+    for _ in range(10):
         near = np.argmax([x @ c for c in centres], axis=0)
         sums = [np.rint(x[near == k] * M.UNITS).sum(axis=0) for k in range(len(centres))]
         centres = [s / np.linalg.norm(s) if s.any() else c for s, c in zip(sums, centres)]
