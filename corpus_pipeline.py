@@ -46,7 +46,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token shards and gives each document's place, size and checksum read from them."""
-    return tokens.token_rows(docs, tokens.default_tokenizer(), end_id=2)
+    return tokens.token_rows(docs, tokens.default_tokenizer(), end_id=2, pieces=200_000)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("token_files", token_files)]

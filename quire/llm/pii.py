@@ -34,6 +34,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 #: Letters of a term at least.
 LETTERS = 3
+#: What a broadcast of terms takes at most, and how many hash values stand for more of them.
+BROADCAST_BYTES, BUCKETS = 64 << 20, 1 << 22
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -131,9 +133,20 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
 
 
 def _counted(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """``(term, name)``: the number of documents that hold each term of the pairs. Spark joins by the terms' size."""
+    """``(term, name)``: the number of documents that hold each term of the pairs.
+
+    The terms are broadcast if they take ``BROADCAST_BYTES`` at most; else a set of ``BUCKETS`` hash values at most is, so
+    that words of no term are not shuffled.
+    """
     words = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("t"), F.explode(F.array_distinct(F.split(F.col(text_col), r"[^\p{L}]+"))).alias("w"))
-    found = words.where(F.char_length("w") >= LETTERS).select("id", "t", F.lower("w").alias("term")).join(pairs.select("term").distinct(), "term", "left_semi")
+    found = words.where(F.char_length("w") >= LETTERS).select("id", "t", F.lower("w").alias("term"))
+    terms = checkpointed(pairs.select("term").distinct())
+    if (terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        terms = F.broadcast(terms)
+    else:
+        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+        found = found.withColumn("b", bucket).join(F.broadcast(terms.select(bucket.alias("b")).distinct()), "b", "left_semi").drop("b")
+    found = found.join(terms, "term", "left_semi")
     return found.distinct().groupBy("term").agg(F.count(F.lit(1)).alias(name))
 
 

@@ -81,7 +81,7 @@ def piece_starts(data: bytes) -> np.ndarray:
 class Encoder:
     """Encodes texts with a tokenizers file; pieces' ids are kept until ``limit`` of them are held."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -154,13 +154,13 @@ class Encoder:
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, pieces: int) -> Encoder:
+    if (path, pieces) not in _encoders:
+        _encoders[path, pieces] = Encoder(path, pieces)
+    return _encoders[path, pieces]
 
 
 def _planes(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -344,17 +344,18 @@ class Shard:
 _SHARDS = "part INT, seq INT, before BIGINT, n_docs BIGINT, n_tokens BIGINT, file BINARY"
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 20) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 20, pieces: int = 600_000) -> None:
     """Encodes each text, appends ``end_id``, and writes shards of about ``shard_tokens`` ids under ``path``.
 
     The shards are rows of a Parquet table, so that any store Spark writes to can hold them: part and seq order them,
     before counts the ids of the part's earlier shards, file is the shard's file. Documents are in ascending order of
-    their ids (nulls first; of equal ids by text), never split over shards. A null text is empty.
+    their ids (nulls first; of equal ids by text), never split over shards. A null text is empty. pieces: how many pieces'
+    ids a Python worker keeps; they are the same from the tokenizer again, so it tells memory from time only.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer_path).encode, TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer_path, pieces).encode, TaskContext.get().partitionId()
         end = struct.pack("<I", end_id)
         held: list[bytes] = []
         names: list[int | None] = []
