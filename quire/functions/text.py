@@ -17,6 +17,8 @@ def hexed(chars: str) -> str:
     return "".join(rf"\x{{{ord(c):X}}}" for c in chars)
 
 
+# Unicode white space.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACE = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 # Characters that are tokens of their own.
@@ -57,14 +59,18 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(TOKEN), F.lit(1))
 
 
-def trailing_spaces(text: Column | str) -> Column:
-    """The white space after each token."""
-    return F.regexp_extract_all(_c(text), F.lit(TOKEN), F.lit(2))
+def spaced_tokens(text: Column | str) -> Column:
+    """The tokens of a text, each with the white space after it; one pass over the text."""
+    return F.regexp_extract_all(_c(text), F.lit(TOKEN), F.lit(0))
 
 
-def tokenized(text: Column | str) -> Column:
-    """An array of ``struct<text, whitespace>``."""
-    return F.arrays_zip(tokens(text).alias("text"), trailing_spaces(text).alias("whitespace"))
+def without_trailing_space(spaced: Column) -> Column:
+    return F.rtrim(spaced, F.lit(SPACES))
+
+
+def tokenized(spaced: Column) -> Column:
+    """An array of ``struct<text, whitespace>`` of spaced_tokens()."""
+    return F.transform(spaced, lambda s: F.struct(without_trailing_space(s).alias("text"), F.substring(s, F.char_length(without_trailing_space(s)) + 1, F.char_length(s)).alias("whitespace")))
 
 
 def plain_characters(text: Column | str) -> Column:

@@ -107,15 +107,12 @@ def alignment(df: DataFrame) -> DataFrame:
 
 def positions(df: DataFrame) -> DataFrame:
     """Binned positions in line and document, and the line's punctuation."""
-    line = Window.partitionBy("doc_id", "line_no")
-    whole_line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_no", "text")).over(line)), lambda x: x["text"]), "")
-    out = df.withColumn("_line", whole_line).withColumn("_length", F.char_length("_line"))
-    profile = T.punctuation_profile("_line")
-    return out.withColumns({
+    profile = F.col("line_marks")
+    return df.withColumns({
         "document_index": (F.row_number().over(doc_order()) - 1).cast("long"), "document_count": F.count(F.lit(1)).over(whole_document()),
-        "line_position": T.scaled(F.col("line_offset"), F.col("_length"), 10), "line_length": T.scaled(F.col("_length"), F.max("_length").over(whole_document()), 10),
+        "line_position": T.scaled(F.col("line_offset"), F.col("line_chars"), 10), "line_length": T.scaled(F.col("line_chars"), F.max("line_chars").over(whole_document()), 10),
         "line_profile": F.when(profile == "", "no").otherwise(profile), "line_profile_length": F.least(F.char_length(profile), F.lit(10)),
-    }).withColumn("sentence_position", T.scaled(F.col("document_index"), F.col("document_count"), 12)).drop("_line", "_length")
+    }).withColumn("sentence_position", T.scaled(F.col("document_index"), F.col("document_count"), 12))
 
 
 def lookups(df: DataFrame, lexicon: DataFrame | None, token: str = "text") -> DataFrame:

@@ -45,24 +45,46 @@ def with_model_labels(features: DataFrame, predict: Callable[[list[str]], list[s
     return features.groupBy("doc_id").applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", label string")
 
 
-def with_process_labels(features: DataFrame, command: list[str]) -> DataFrame:
+def with_process_labels(features: DataFrame, command: list[str], timeout: float = 20.0, attempts: int = 10, lines_at_once: int = 100_000) -> DataFrame:
     """Labels of an external tagger that reads feature lines and a blank line per document, and writes lines that end in the label.
 
-    The process lives as long as its task; a failed task is tried again by Spark.
+    A call gets whole documents, however the rows come in batches: as many as have ``lines_at_once`` lines together, or one
+    longer one. A call that fails, or takes more than ``timeout`` seconds for each 10,000 lines begun, is tried again.
     """
     import subprocess
 
     schema = features.select(*KEY).schema.add("label", "string")
 
+    def tagged(rows: pd.DataFrame) -> pd.DataFrame:
+        starts = rows["doc_id"].ne(rows["doc_id"].shift()).to_numpy(copy=True)
+        starts[0] = False
+        text = "".join(("\n" if s else "") + line + "\n" for s, line in zip(starts, rows["data"])) + "\n"
+        for attempt in range(attempts):
+            try:
+                done = subprocess.run(command, input=text, capture_output=True, text=True, check=True, timeout=timeout * (1 + len(rows) // 10_000))
+                break
+            except (subprocess.TimeoutExpired, subprocess.CalledProcessError):
+                if attempt + 1 == attempts:
+                    raise
+        labels = [line.split()[-1] for line in done.stdout.splitlines() if line.strip()]
+        if len(labels) != len(rows):
+            raise ValueError(f"{len(labels)} labels for {len(rows)} lines")
+        return rows[KEY].assign(label=labels)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for rows in batches:
-            for _, doc in rows.groupby("doc_id", sort=False):
-                doc = doc.sort_values(ORDER)
-                done = subprocess.run(command, input="\n".join([*doc["data"], "", ""]), capture_output=True, text=True, check=True)
-                labels = [line.split()[-1] for line in done.stdout.splitlines() if line.strip()]
-                if len(labels) != len(doc):
-                    raise ValueError("the tagger gave another number of lines")
-                yield doc[KEY].assign(label=labels)
+            if not len(rows):
+                continue
+            held.append(rows)
+            if sum(map(len, held)) >= lines_at_once:
+                whole = pd.concat(held, ignore_index=True)
+                last = whole["doc_id"].ne(whole["doc_id"].shift()).to_numpy().nonzero()[0][-1]  # the last document may go on
+                if last:
+                    yield tagged(whole[:last])
+                held = [whole[last:].reset_index(drop=True)]
+        if held:
+            yield tagged(pd.concat(held, ignore_index=True))
 
     return features.repartition("doc_id").sortWithinPartitions(*KEY).mapInPandas(run, schema)
 

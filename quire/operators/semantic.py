@@ -231,6 +231,21 @@ def split_names(parts: list[tuple[str, str]]) -> list[list[tuple]]:
     return out
 
 
+def name_starts(parts: list[tuple[str, str]]) -> list[int]:
+    """The places of ``(tag, text)`` parts at which a name begins, as split_names() tells names apart."""
+    names, before, out = _Names(), "", []
+    for i, (tag, text) in enumerate(parts):
+        done = len(names.done)
+        if tag == "<marker>":
+            names.mark(text, before.strip().endswith(","))
+        else:
+            names.add(tag, text)
+        if i == 0 or len(names.done) > done:
+            out.append(i)
+        before = text
+    return out
+
+
 def split_affiliations(parts: list[tuple[str, str]]) -> list[list[tuple]]:
     """Affiliations of ``(tag, text)`` parts. A marker opens one, and so does an institution where one is there already.
 

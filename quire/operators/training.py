@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import semantic
 
 OUTSIDE = ("", "O", "<other>")
 
@@ -244,6 +245,19 @@ def decode(spec: TrainingSpec, tei: str) -> list[list[tuple[int, str, str]]]:
     return out
 
 
+def _name_rows(rows: list[tuple[object, str, str, str]]) -> set[int]:
+    """The rows, but for the first, at which another name begins: each name is an element of its own."""
+    spans: list[list] = []
+    for i, (_, text, space, label) in enumerate(rows):
+        prefix, tag = _split(label)
+        if spans and prefix != "B" and spans[-1][1] == tag:
+            spans[-1][2] += spans[-1][3] + text
+            spans[-1][3] = space
+        else:
+            spans.append([i, tag, text, space])
+    return {spans[k][0] for k in semantic.name_starts([(tag, text) for _, tag, text, _ in spans]) if k}
+
+
 def encoded(labelled: DataFrame, model: str) -> DataFrame:
     """``(doc_id, tei)``: training documents of labelled tokens (segmentation: the label of a line's first token counts)."""
     spec = SPECS[model]
@@ -258,7 +272,8 @@ def encoded(labelled: DataFrame, model: str) -> DataFrame:
                 lines.append((text, part["label"].iloc[0]))
             tei = encode_lines(spec, lines)
         else:
-            tei = encode(spec, list(zip(rows["line_no"], rows["text"], rows["whitespace"], rows["label"])))
+            each = list(zip(rows["line_no"], rows["text"], rows["whitespace"], rows["label"]))
+            tei = encode(spec, each, _name_rows(each) if model == "name" else frozenset())
         return pd.DataFrame({"doc_id": [key[0]], "tei": [tei]})
 
     return labelled.select("doc_id", "line_no", "token_no", "text", "whitespace", "label").groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, tei STRING")

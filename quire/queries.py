@@ -128,7 +128,9 @@ def sql_escape(t: str) -> str:
 
 @query(f"with {LINES} select doc_id, sum(len(ts))::bigint as n_tokens from lines1 group by doc_id having sum(len(ts)) > 0")
 def token_count(spark, sf_dir):
-    return docs_tokens(spark, sf_dir, False).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+    docs = layout.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = docs.select("doc_id", F.aggregate(F.split("text", "\n"), F.lit(0).cast("long"), lambda n, line: n + F.size(T.spaced_tokens(line))).alias("n"))
+    return lines.groupBy("doc_id").agg(F.sum("n").alias("n_tokens")).where("n_tokens > 0")
 
 
 @query(f"""with {TOKENS}, d as (select text, count(*) as n from tokens group by text)

@@ -1,13 +1,14 @@
 """Layout sources: text, HTML and ALTO XML as one table of tokens.
 
-``tokens(doc_id, page_no, block_no, line_no, token_no, token_count, text, whitespace, font, coord)``: a row for each
-token. ``(line_no, token_no)`` is the order within a document. With ``colocate`` the documents are dealt out by id before
+``tokens(doc_id, page_no, block_no, line_no, token_no, token_count, line_chars, line_marks, text, whitespace, line_offset,
+font, coord)``: a row for each token. ``(line_no, token_no)`` is the order within a document. line_chars and line_marks are
+the length and the punctuation of the token's line without white space, found once for each line. With ``colocate`` the documents are dealt out by id before
 they are unnested, so every later window or group by document (or document and anything) needs no shuffle of tokens.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,20 +17,34 @@ FONT = "STRUCT<font_id: STRING, family: STRING, size: DOUBLE, bold: BOOLEAN, ita
 COORD = "STRUCT<x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE, page: INT>"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table that comes in fewer partitions than there are cores, dealt out to all of them; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def line_offset() -> Column:
+    """The characters of a line before a token, without white space; a running sum in the order that other windows need too."""
+    before = Window.partitionBy("doc_id", "line_no").orderBy("token_no").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(F.char_length("text")).over(before), F.lit(0)).cast("long")
+
+
 def _unnested(lines: DataFrame, keep: list[str], font: Column, tail: str) -> DataFrame:
     """A row for each token of each line; lines has the columns of keep, and text."""
-    zipped = lines.withColumn("tokens", T.tokenized("text")).drop("text").where(F.size("tokens") > 0)
-    out = zipped.select(*keep, F.size("tokens").alias("token_count"), font.alias("font"), F.col("tokens.text").alias("all_texts"), F.posexplode("tokens").alias("token_no", "token"))
+    found = lines.withColumn("spaced", T.spaced_tokens("text")).drop("text")
+    joined = F.array_join(F.transform("spaced", T.without_trailing_space), "")
+    # What belongs to a line is found before its tokens are unnested.
+    found = found.select(*keep, font.alias("font"), "spaced", F.size("spaced").alias("token_count"), F.char_length(joined).alias("line_chars"), T.punctuation_profile(joined).alias("line_marks"))
+    out = found.select(*keep, "token_count", "line_chars", "line_marks", "font", F.posexplode(T.tokenized(F.col("spaced"))).alias("token_no", "token"))
     last = F.col("token_no") == F.col("token_count") - 1
-    before = F.aggregate(F.slice("all_texts", F.lit(1), F.col("token_no")), F.lit(0), lambda n, t: n + F.char_length(t))
-    return out.select("*", F.col("token.text").alias("text"), F.when(last, F.concat(F.col("token.whitespace"), F.lit(tail))).otherwise(F.col("token.whitespace")).alias("whitespace"),
-                      before.cast("long").alias("line_offset")).drop("token", "all_texts")
+    out = out.select("*", F.col("token.text").alias("text"), F.when(last, F.concat(F.col("token.whitespace"), F.lit(tail))).otherwise(F.col("token.whitespace")).alias("whitespace")).drop("token")
+    return out.withColumn("line_offset", line_offset())
 
 
 def text_layout(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_per_block: int = 5, lines_per_page: int = 40, colocate: bool = False) -> DataFrame:
     """Lines of plain text; blocks and pages hold a fixed number of lines. x is the character offset in the line, y the line of the page."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    base = base.repartition("doc_id") if colocate else base
+    base = base.repartition("doc_id") if colocate else spread(base)
     lines = base.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     lines = lines.withColumn("page_no", (F.floor(F.col("line_no") / lines_per_page) + 1).cast("int")).withColumn("block_no", F.floor(F.col("line_no") / lines_per_block).cast("int"))
     out = _unnested(lines, ["doc_id", "page_no", "block_no", "line_no"], F.lit(None).cast(FONT), "\n")
@@ -91,15 +106,17 @@ def alto_layout(files: DataFrame, id_col: str = "doc_id", xml_col: str = "xml")
     block = page.select("doc_id", "styles", F.col("page._PHYSICAL_IMG_NR").alias("page_no"), F.posexplode("page.PrintSpace.TextBlock").alias("b", "block"))
     line = block.select("doc_id", "styles", "page_no", "b", F.posexplode("block.TextLine").alias("l", "line"))
     line = line.withColumn("block_no", F.col("page_no") * 10_000 + F.col("b")).withColumn("line_no", (F.col("block_no") * 10_000 + F.col("l")).cast("long"))
-    token = line.select("doc_id", "styles", "page_no", "block_no", "line_no", F.col("line.String").alias("strings"), F.posexplode("line.String").alias("token_no", "s"))
+    joined = F.array_join("line.String._CONTENT", "")
+    line = line.select("*", F.char_length(joined).alias("line_chars"), T.punctuation_profile(joined).alias("line_marks"))
+    token = line.select("doc_id", "styles", "page_no", "block_no", "line_no", "line_chars", "line_marks", F.col("line.String").alias("strings"), F.posexplode("line.String").alias("token_no", "s"))
     following = F.get("strings", F.col("token_no") + 1)
     style = F.get(F.filter("styles", lambda x: x["_ID"] == F.col("s._STYLEREFS")), F.lit(0))
     has = lambda word: F.coalesce(F.lower(style["_FONTSTYLE"]).contains(word), F.lit(False))
     font = F.struct(style["_ID"].alias("font_id"), style["_FONTFAMILY"].alias("family"), style["_FONTSIZE"].alias("size"), has("bold").alias("bold"), has("italic").alias("italic"), has("subscript").alias("subscript"), has("superscript").alias("superscript")).cast(FONT)
     coord = F.struct(F.col("s._HPOS").alias("x"), F.col("s._VPOS").alias("y"), F.col("s._WIDTH").alias("w"), F.col("s._HEIGHT").alias("h"), F.col("page_no").alias("page")).cast(COORD)
     space = F.when(following.isNull(), "\n").when(following["_HPOS"] > F.col("s._HPOS") + F.col("s._WIDTH"), " ").otherwise("")
-    offset = F.aggregate(F.slice(F.col("strings._CONTENT"), F.lit(1), F.col("token_no")), F.lit(0), lambda n, t: n + F.char_length(t)).cast("long")
-    return token.select("doc_id", "page_no", "block_no", "line_no", F.size("strings").alias("token_count"), font.alias("font"), "token_no", F.col("s._CONTENT").alias("text"), space.alias("whitespace"), offset.alias("line_offset"), coord.alias("coord"))
+    out = token.select("doc_id", "page_no", "block_no", "line_no", F.size("strings").alias("token_count"), "line_chars", "line_marks", font.alias("font"), "token_no", F.col("s._CONTENT").alias("text"), space.alias("whitespace"), coord.alias("coord"))
+    return out.withColumn("line_offset", line_offset())
 
 
 def alto_graphics(files: DataFrame, id_col: str = "doc_id", xml_col: str = "xml") -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 
 def write_xml(documents: DataFrame, path: str, column: str = "tei", compressed: bool = False) -> None:
-    """One text file row for each document, without added white space."""
-    documents.select(F.regexp_replace(F.col(column), "[\r\n]+", " ").alias("value")).write.option("compression", "gzip" if compressed else "none").text(path)
+    """A file for each document, in a folder of its id, with the text as it is and a newline at its end."""
+    one_each = documents.select("doc_id", F.col(column).alias("value")).repartition("doc_id")
+    one_each.write.partitionBy("doc_id").option("compression", "gzip" if compressed else "none").text(path)
 
 
 def write_training(files: DataFrame, path: str, compressed: bool = True) -> None:
