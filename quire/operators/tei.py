@@ -118,13 +118,14 @@ def in_order(xml: str | Column, order: list[str], separator: str = "") -> Column
 def reference_elements(nodes: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """``(by, xml)``: a ``biblStruct`` for each reference; nodes have type, text, value, note_type and the fields of citations.
 
-    Fields stand in analytic, monogr, monogr/imprint or the meeting's address; the first date is the published one.
+    A node with a column ``xml`` that is not null is that element. Fields stand in analytic, monogr, monogr/imprint or the meeting's address; the first date is the published one.
     """
     w = Window.partitionBy(*by, "type").orderBy(*order)
     dated = nodes.withColumn("published", (F.col("type") == "Date") & (F.row_number().over(w) == 1))
     extra = {c: F.col(c) for c in ("id_type", "from_page", "to_page", "year", "published") if c in dated.columns}
     xml = node_element(F.col("type"), F.col("text"), F.col("value"), F.col("note_type"), extra)
     xml = F.when(F.col("type") == "Label", note("label", T.escaped("text"))).otherwise(xml)
+    xml = F.coalesce(F.col("xml"), xml) if "xml" in dated.columns else xml
     parent = F.coalesce(F.element_at(T.literal_map(PARENTS), F.col("type")), F.lit(""))
     placed = dated.select(*by, *order, parent.alias("_parent"), xml.alias("_xml"))
     part = lambda p: F.array_join(F.transform(F.filter(F.col("parts"), lambda x: x["_parent"] == p), lambda x: x["_xml"]), "")

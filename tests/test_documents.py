@@ -123,6 +123,54 @@ def test_tei_and_jats(spark):
     assert "".join(title) == "A Title Here"
 
 
+def test_references_figures_and_graphics(spark):
+    lines = ["A Title Here", "Jane Doe 1", "1 University of X France", "Abstract text", "more"] + [f"Figure {i} words go on 12 and on" for i in range(60)]
+    t = tokens(spark, "\n".join(lines))
+    box = {"x": 0.0, "y": 17.0, "w": 5.0, "h": 1.0, "page": 1}
+    graphics_ = spark.createDataFrame([(1, 0, "bitmap", "a.png", [box], None), (1, 1, "bitmap", "b.png", [], "Figure 28"), (1, 2, "svg", "c.svg", [], "none")],
+                                      f"doc_id INT, graphic_id BIGINT, graphic_type STRING, relative_path STRING, boxes ARRAY<{layout.COORD}>, text STRING")
+    out = document.convert(t, graphics=graphics_)
+    root, ns = ET.fromstring(out.first().tei), {"t": tei.NAMESPACE}
+    figures = root.findall(".//t:body/t:figure", ns)
+    assert [f.get("{http://www.w3.org/XML/1998/namespace}id") for f in figures] == ["fig_0", "fig_1", "tab_0", "tab_1", "tab_2"]
+    assert figures[0].findtext("t:head", None, ns) == "Figure 11" and figures[0].find("t:figDesc", ns) is not None and figures[2].get("type") == "table"
+    assert [g.get("url") for g in root.findall(".//t:graphic", ns)] == ["a.png", "b.png"]
+    bibl = root.findall(".//t:listBibl/t:biblStruct", ns)
+    assert bibl and bibl[0].find("t:analytic/t:title", ns) is not None and bibl[0].find("t:monogr/t:imprint/t:date", ns) is not None and bibl[0].find("t:note[@type='raw_reference']", ns) is not None
+    assert all(f.is_cached for f in out._held)
+    frames = list(out._held)
+    document.release(out)
+    assert frames and not any(f.is_cached for f in frames)
+
+
+def test_a_tagger_gets_whole_documents(spark):
+    import sys
+
+    script = "import sys\nfor d in sys.stdin.read().rstrip('\\n').split('\\n\\n'):\n n = len(d.split('\\n'))\n print('\\n'.join(f'{x} L{n}' for x in d.split('\\n')) + '\\n')"
+    rows = [(d, i // 10, i % 10, f"w{i}") for d, n in ((1, 25_000), (2, 3), (3, 12_000), (4, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id INT, line_no INT, token_no INT, data STRING").repartition(1)
+    for at_once in (100_000, 5_000):
+        got = labels.with_process_labels(df, [sys.executable, "-c", script], lines_at_once=at_once).groupBy("doc_id", "label").count().collect()
+        assert sorted(map(tuple, got)) == [(1, "L25000", 25_000), (2, "L3", 3), (3, "L12000", 12_000), (4, "L1", 1)]
+
+
+def test_a_long_line(spark):
+    t = tokens(spark, "ab, " * 500_000)
+    found = features.positions(t).agg(F.count("*").alias("n"), F.max("line_position").alias("p"), F.max("line_chars").alias("c")).first()
+    assert tuple(found) == (1_000_000, 9, 1_500_000)
+
+
+def test_written_files_keep_their_newlines(spark, tmp_path):
+    sinks.write_xml(spark.createDataFrame([(1, "<a>x\ny</a>"), (2, "<b/>")], "doc_id INT, tei STRING"), str(tmp_path / "out"))
+    assert [p.read_text() for p in sorted((tmp_path / "out").glob("doc_id=*/part*"))] == ["<a>x\ny</a>\n", "<b/>\n"]
+
+
+def test_each_name_is_an_element():
+    rows = [(0, "Jane", " ", "B-<forename>"), (0, "Doe", "", "B-<surname>"), (0, ",", " ", "O"), (0, "John", " ", "B-<forename>"), (0, "Roe", "", "B-<surname>")]
+    xml = training.encode(training.SPECS["name"], rows, training._name_rows(rows))
+    assert xml.count("<persName>") == 2 and xml.count("<author>") == 1
+
+
 TEI = f"""<TEI xmlns="{tei.NAMESPACE}"><teiHeader><fileDesc><titleStmt><title>T <hi rend="italic">i</hi></title></titleStmt><sourceDesc><biblStruct><analytic><author><persName><forename>A</forename><forename>B</forename><surname>C</surname></persName>
 <affiliation key="aff0"><orgName type="institution">U</orgName><address><country>F</country></address></affiliation></author></analytic><monogr><title>J</title></monogr></biblStruct></sourceDesc></fileDesc></teiHeader><text><body><div><head n="1">H</head><p>see <ref type="bibr" target="#b0">1</ref> and <ref type="figure">2</ref></p><formula>x</formula></div>
 <figure xml:id="fig_0"><head>Fig 1</head><figDesc>cap</figDesc></figure></body><back><div type="acknowledgement"><head>Thanks</head><p>all</p></div><div type="annex"><div><p>annexed</p></div></div><div type="references"><listBibl><biblStruct xml:id="b0"><analytic><title type="main">R</title><idno type="DOI">10.1/x</idno></analytic>
