@@ -174,6 +174,7 @@ def as_one_word(text: Column | str) -> Column:
 
 # --- parsers ------------------------------------------------------------------------------------------------------
 
+# Forms of identifiers, headings and the word before an abstract.
 DOI = r"\b(10\.[0-9]{4,}(?:\.[0-9]+)*/.+)"
 PMCID = r"PMC([0-9]+)"
 ARXIV_NEW = r"arXiv(?:\.org)?:([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)"

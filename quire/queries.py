@@ -494,21 +494,38 @@ def jats_date_parts(spark, sf_dir):
     return values(spark, "('2001-02-03'), ('2001-02'), ('2001'), ('2001-02-03-04') as t(x)").select("x", d["year"].alias("year"), d["month"].alias("month"), d["day"].alias("day"))
 
 
+# --- spans of a table ---------------------------------------------------------------------------------------------
+
+
+def table_spans(spark: SparkSession, sf_dir: str, cases: str, tags: list[str]) -> DataFrame:
+    """Spans of all documents, each line one whose label goes by its number; the cases stand under negative ids."""
+    lines = layout.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("span_no", "text"))
+    tag = F.element_at(F.array(*map(F.lit, tags)), F.col("span_no") % len(tags) + 1)
+    named = values(spark, f"{cases} as {_SPAN_COLUMNS}").select((-F.col("doc_id")).cast("long").alias("doc_id"), "span_no", "tag", "text", "n_tokens")
+    return named.unionByName(lines.select("doc_id", "span_no", tag.alias("tag"), "text", (F.col("span_no") % 5 + 1).alias("n_tokens")))
+
+
+def spans_sql(cases: str, tags: list[str]) -> str:
+    return f"""src as (select -doc_id as doc_id, span_no, tag, text, n_tokens from (values {cases}) v(doc_id, span_no, tag, text, n_tokens)
+union all select doc_id, i::int, [{', '.join(f"'{t}'" for t in tags)}][i % {len(tags)} + 1], line, (i % 5 + 1)::int from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents where text is not null))"""
+
+
 # --- assembly -----------------------------------------------------------------------------------------------------
 
 _SPANS = """(1, 0, 'O', 'before', 1), (1, 1, '<paragraph>', 'early text', 2), (1, 2, '<section>', '1. Methods', 3), (1, 3, '<paragraph>', 'p one', 2), (1, 4, '<paragraph>', 'p two', 2), (1, 5, '<citation_marker>', '[1]', 3), (1, 6, '<paragraph>', 'more', 1),
 (1, 7, '<equation>', 'a=b', 3), (1, 8, '<equation_label>', '(1)', 3), (1, 9, '<equation>', 'c=d', 3), (1, 10, 'O', 'x', 1), (1, 11, '<equation_label>', '(2)', 3), (1, 12, '<figure>', 'Figure 1', 2), (1, 13, '<paragraph>', 'after', 1), (1, 14, '<section>', 'Results', 1), (1, 15, '<equation_label>', '(3)', 3), (1, 16, '<equation>', 'e', 1), (1, 17, '<item>', 'i', 1),
 (2, 0, '<section>', 'Only', 1), (2, 1, 'O', 'x', 1), (3, 0, 'O', 'x', 1)"""
 _SPAN_COLUMNS = "s(doc_id, span_no, tag, text, n_tokens)"
+_SECTION_TAGS = ["<paragraph>", "<citation_marker>", "<paragraph>", "<section>", "<paragraph>", "<paragraph>", "<equation>", "<equation_label>", "<equation>", "O", "<figure>"]
 
 
-@query(f"""with s as (select *, tag = '<section>' as heading, tag not in ('O', '<section>', '<figure>', '<table>') as content, tag in ('<equation>', '<equation_label>') as eq, lag(tag) over w as before from (values {_SPANS}) v(doc_id, span_no, tag, text, n_tokens) window w as (partition by doc_id order by span_no)),
+@query(f"""with {spans_sql(_SPANS, _SECTION_TAGS)}, s as (select *, tag = '<section>' as heading, tag not in ('O', '<section>', '<figure>', '<table>') as content, tag in ('<equation>', '<equation_label>') as eq, lag(tag) over w as before from src window w as (partition by doc_id order by span_no)),
 a as (select *, max(case when tag <> 'O' then 1 else 0 end) over (partition by doc_id order by span_no) as seen, sum(case when heading then 1 else 0 end) over (partition by doc_id order by span_no) as headings, sum(case when heading or (content and not eq) then 1 else 0 end) over (partition by doc_id order by span_no) as run from s),
 b as (select *, max(case when tag <> 'O' and headings = 0 then 1 else 0 end) over (partition by doc_id) as early, coalesce(max(case when content then 1 else 0 end) over (partition by doc_id, headings order by span_no rows between unbounded preceding and 1 preceding), 0) as had from a),
 c as (select *, content and (had = 0 or (tag = '<paragraph>' and before = '<paragraph>')) as opens, sum(case when tag = '<equation>' then 1 else 0 end) over (partition by doc_id, run order by span_no) as eqs from b)
 select doc_id, span_no, (case when seen = 1 then case when early = 1 then headings else headings - 1 end end)::int as section_no, (case when content then sum(case when opens then 1 else 0 end) over (partition by doc_id, headings order by span_no) - 1 end)::int as paragraph_no, (case when eq then greatest(1, eqs) - 1 end)::int as equation_no, text from c""")
 def section_assembly(spark, sf_dir):
-    nodes = semantic.fulltext_nodes(values(spark, f"{_SPANS} as {_SPAN_COLUMNS}"))
+    nodes = semantic.fulltext_nodes(table_spans(spark, sf_dir, _SPANS, _SECTION_TAGS))
     whole = F.when(F.col("label").isNotNull(), F.concat_ws(" ", "label", "text")).otherwise(F.col("text"))
     return nodes.select("doc_id", "span_no", "section_no", "paragraph_no", "equation_no", whole.alias("text"))
 
@@ -516,29 +533,52 @@ def section_assembly(spark, sf_dir):
 _REFERENCES = "(1, 0, '<reference>', 'References', 1), (1, 1, '<label>', '[1]', 3), (1, 2, '<reference>', 'a b c d', 4), (1, 3, 'O', 'x', 1), (1, 4, '<reference>', 'e', 1), (1, 5, '<label>', '[3]', 3), (2, 0, '<label>', '1', 1), (2, 1, '<reference>', 'q', 1), (3, 0, '<reference>', 'w x y z', 4), (3, 1, '<reference>', 'v', 1)"
 
 
-@query(f"""with s as (select *, tag = '<reference>' as r, tag = '<label>' as l from (values {_REFERENCES}) v(doc_id, span_no, tag, text, n_tokens)),
+_REFERENCE_TAGS = ["<reference>", "<label>", "<reference>", "O", "<reference>", "<label>", "<label>"]
+
+
+@query(f"""with {spans_sql(_REFERENCES, _REFERENCE_TAGS)}, s as (select *, tag = '<reference>' as r, tag = '<label>' as l from src),
 a as (select *, coalesce(sum(r::int) over w, 0) as rb, coalesce(sum(l::int) over w, 0) as lb from s window w as (partition by doc_id order by span_no rows between unbounded preceding and 1 preceding)),
 b as (select *, r and rb = 0 and lb = 0 and n_tokens <= 3 as heading from a)
 select doc_id, span_no, case when (r and not heading) or l then 'b' || coalesce(sum((r and not heading)::int) over (partition by doc_id order by span_no rows between unbounded preceding and 1 preceding), 0) end as content_id, case when heading then 'Heading' when l then 'Label' when r then 'RawReferenceText' else 'Note' end as type, text from b""")
 def reference_assembly(spark, sf_dir):
-    return semantic.reference_nodes(values(spark, f"{_REFERENCES} as {_SPAN_COLUMNS}")).select("doc_id", "span_no", "content_id", "type", "text")
+    return semantic.reference_nodes(table_spans(spark, sf_dir, _REFERENCES, _REFERENCE_TAGS)).select("doc_id", "span_no", "content_id", "type", "text")
 
 
 _HEADERS = "(1, 0, '<title>', 'T', 1), (1, 1, '<affiliation>', 'A', 1), (1, 2, '<address>', 'B', 1), (1, 3, '<affiliation>', 'C', 1), (1, 4, '<abstract>', 'Abstract We', 2), (1, 5, '<address>', 'D', 1), (1, 6, '<author>', 'E', 1), (1, 7, '<address>', 'F', 1), (1, 8, '<title>', 'G', 1), (2, 0, '<affiliation>', 'x', 1), (2, 1, 'O', 'y', 1)"
 
 
-@query("""select * from (values (1, 0, 'Title', 'T'), (1, 1, 'RawAffiliation', 'A'), (1, 2, 'RawAddress', 'B'), (1, 3, 'Abstract', 'We'), (1, 4, 'RawAffiliation', 'C'), (1, 5, 'RawAddress', 'D'), (1, 6, 'RawAuthors', 'E'), (1, 7, 'RawAddress', 'F'), (1, 8, 'Note', 'G'), (2, 0, 'RawAffiliation', 'x'), (2, 1, 'Note', 'y')) v(doc_id, ordinal, type, text)""")
+_HEADER_TAGS = ["<title>", "<author>", "<affiliation>", "<address>", "<affiliation>", "<abstract>", "<address>", "<note>", "<title>", "<address>", "<address>", "<abstract>", "O"]
+
+
+@query(f"""with {spans_sql(_HEADERS, _HEADER_TAGS)}, a as (select *, tag = '<title>' and nth = 1 as ft, tag = '<abstract>' and nth = 1 as fa, tag in ('<affiliation>', '<address>') as aff from (select *, row_number() over (partition by doc_id, tag order by span_no) as nth from src)),
+b as (select *, not aff and not ft and not fa as reset, coalesce(lag(aff) over (partition by doc_id order by span_no), false) as after_aff from a),
+c as (select *, coalesce(max(case when reset then span_no end) over w, -1) as lr, coalesce(max(case when aff then span_no end) over w, -1) as la from b window w as (partition by doc_id order by span_no rows between unbounded preceding and 1 preceding)),
+d as (select *, aff and (la <= lr or (tag = '<affiliation>' and after_aff)) as opens from c),
+e as (select *, case when aff then sum(opens::int) over (partition by doc_id order by span_no) end as grp, coalesce(min(case when reset or opens then span_no end) over (partition by doc_id order by span_no rows between 1 following and unbounded following), 1073741824) as closes from d),
+f as (select *, case when grp is null then span_no::double else least(max(closes) over (partition by doc_id, grp), arg_min(closes, span_no) over (partition by doc_id, grp)) - 0.5 end as place from e)
+select doc_id, (row_number() over (partition by doc_id order by place, span_no) - 1)::int as ordinal, case when ft then 'Title' when fa then 'Abstract' when tag = '<author>' then 'RawAuthors' when tag = '<affiliation>' then 'RawAffiliation' when tag = '<address>' then 'RawAddress' else 'Note' end as type,
+case when fa then regexp_extract(text, '(?i){q(T.ABSTRACT)}', 1) else text end as text from f""")
 def header_assembly(spark, sf_dir):
-    return semantic.header_nodes(values(spark, f"{_HEADERS} as {_SPAN_COLUMNS}")).select("doc_id", "ordinal", "type", "text")
+    return semantic.header_nodes(table_spans(spark, sf_dir, _HEADERS, _HEADER_TAGS)).select("doc_id", "ordinal", "type", "text")
 
 
 _FIELDS = "(1, 0, '<author>', 'Smith, J', 3), (1, 1, '<title>', 'A title', 2), (1, 2, '<journal>', 'Nature', 1), (1, 3, '<date>', '(1999)', 3), (1, 4, '<pages>', '123-30', 3), (1, 5, '<pubnum>', 'doi: 10.1234/ab c', 6), (1, 6, '<web>', 'http://x.org', 5), (1, 7, '<volume>', '7', 1), (1, 8, '<tech>', 'report', 1), (1, 9, '<date>', '2001', 1), (2, 0, '<volume>', '9', 1), (2, 1, '<date>', '2000', 1)"
 
 
-@query("""select * from (values (1, 0, 'RawAuthors', null, null, null, null, null, true), (1, 1, 'Title', null, null, null, null, null, true), (1, 2, 'Journal', null, null, null, null, null, true), (1, 3, 'Date', null, null, null, null, 1999, true), (1, 4, 'PageRange', null, null, '123', '130', null, true), (1, 5, 'ExternalIdentifier', '10.1234/abc', 'DOI', null, null, null, true),
-(1, 6, 'ExternalUrl', 'http://x.org', null, null, null, null, true), (1, 7, 'Volume', null, null, null, null, null, true), (1, 8, 'Note', null, null, null, null, null, true), (1, 9, 'Date', null, null, null, null, 2001, true), (2, 0, 'Volume', null, null, null, null, null, false), (2, 1, 'Date', null, null, null, null, 2000, false)) v(doc_id, span_no, type, value, id_type, from_page, to_page, year, valid)""")
+_FIELD_TAGS = ["<author>", "<title>", "<journal>", "<date>", "<pages>", "<pubnum>", "<web>", "<volume>", "<tech>", "<note>", "<editor>", "<issue>", "<location>"]
+_FIELD_TYPES = " ".join(f"when tag = '{k}' then '{v}'" for k, v in semantic.CITATION_TYPES.items())
+
+
+@query(f"""with {spans_sql(_FIELDS, _FIELD_TAGS)}, v as (select *, {sql_bare('text')} as b, string_split(text, '-') as p from src),
+f as (select *, {sql_found('b', T.DOI)} as doi, {sql_found('b', T.PMCID)} as pmc, coalesce({sql_found('b', T.ARXIV_NEW)}, {sql_found('b', T.ARXIV_OLD)}) as arxiv, {sql_found('b', T.PMID)} as pmid, {sql_found('b', T.PII)} as pii,
+case when tag = '<pages>' and len(p) = 2 then {sql_strip('p[1]')} end as a1, case when tag = '<pages>' and len(p) = 2 then {sql_strip('p[2]')} end as a2 from v),
+t as (select *, case when tag = '<pages>' then 'PageRange' when tag = '<pubnum>' or (tag = '<web>' and doi is not null) then 'ExternalIdentifier' when tag = '<web>' then 'ExternalUrl' when tag = '<date>' then 'Date' {_FIELD_TYPES} else 'Note' end as type from f)
+select doc_id, span_no, type, case when tag = '<pubnum>' then coalesce(doi, 'PMC' || pmc, arxiv, pmid, pii, b) when tag = '<web>' then coalesce(doi, b) end as value,
+case when tag = '<pubnum>' then case when doi is not null then 'DOI' when pmc is not null then 'PMCID' when arxiv is not null then 'ARXIV' when pmid is not null then 'PMID' when pii is not null then 'PII' end when tag = '<web>' and doi is not null then 'DOI' end as id_type,
+a1 as from_page, case when len(a2) > 0 and len(a2) < len(a1) then left(a1, len(a1) - len(a2)) || a2 else a2 end as to_page, case when tag = '<date>' then try_cast({sql_found('b', '([0-9]{4})')} as int) end as year,
+bool_or(type in ({', '.join(f"'{x}'" for x in semantic.VALID_REFERENCE)})) over (partition by doc_id) as valid from t""")
 def citation_fields(spark, sf_dir):
-    return semantic.citation_nodes(values(spark, f"{_FIELDS} as {_SPAN_COLUMNS}")).select("doc_id", "span_no", "type", "value", "id_type", "from_page", "to_page", "year", "valid")
+    return semantic.citation_nodes(table_spans(spark, sf_dir, _FIELDS, _FIELD_TAGS)).select("doc_id", "span_no", "type", "value", "id_type", "from_page", "to_page", "year", "valid")
 
 
 @query("""select * from (values (1, '<biblStruct><note type="report">x</note></biblStruct>')) v(doc_id, xml) where false union all select 1, '<biblStruct>' || '<note type="&lt;author&gt;">Smith, J</note>' || '' where false
@@ -654,11 +694,17 @@ def boxes_without_overlaps(spark, sf_dir):
     return kept.select("doc_id", "page_no", F.posexplode("boxes").alias("n", "b")).select("doc_id", "page_no", "n", "b.x", "b.y", "b.w", "b.h")
 
 
-@query("select * from (values (1, 0, 0), (1, 1, 1), (1, 3, 0)) v(doc_id, graphic_id, candidate_id)")
+_PANELS = "(1, 0, 'some panel|Fig 1'), (1, 1, 'Figure 2'), (1, 2, 'F 1'), (1, 3, 'FIGURE 1|Figure 2'), (1, 4, '')"
+_CAPTIONS = "(1, 0, 'Figure 1'), (1, 1, 'Figure 2')"
+
+
+@query(f"""with t as (select doc_id, candidate_id as target_id, candidate_id as ord, label as text from (values {_CAPTIONS}) v(doc_id, candidate_id, label)),
+g as (select doc_id, graphic_id, unnest(string_split(text, '|')) as text, unnest(range(len(string_split(text, '|')))) as line from (values {_PANELS}) v(doc_id, graphic_id, text)),
+c as (select doc_id, {{'graphic_id': graphic_id, 'line': line}} as citation_id, text from g where text <> ''), {_key_sql(3)}
+select doc_id, citation_id.graphic_id as graphic_id, arg_min(target_id, citation_id.line) as candidate_id from mk where target_id is not null group by all""")
 def graphic_text_match(spark, sf_dir):
-    g = values(spark, "(1, 0, 'some panel\nFig 1'), (1, 1, 'Figure 2'), (1, 2, 'F 1'), (1, 3, 'FIGURE 1\nFigure 2'), (1, 4, '') as g(doc_id, graphic_id, text)")
-    c = values(spark, "(1, 0, 'Figure 1'), (1, 1, 'Figure 2') as c(doc_id, candidate_id, label)")
-    return graphics.text_matches(g, c)
+    g = values(spark, f"{_PANELS} as g(doc_id, graphic_id, text)").withColumn("text", F.replace("text", F.lit("|"), F.lit("\n")))
+    return graphics.text_matches(g, values(spark, f"{_CAPTIONS} as c(doc_id, candidate_id, label)"))
 
 
 # --- documents ----------------------------------------------------------------------------------------------------
