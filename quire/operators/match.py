@@ -6,8 +6,11 @@ so the joins are equi-joins that Spark can broadcast or shuffle as sizes ask.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import text as T
 
@@ -60,7 +63,22 @@ def orphan_affiliations(authors: DataFrame, affiliations: DataFrame) -> DataFram
     return affiliations.join(used, ["doc_id", "marker"], "left_anti")
 
 
-def with_ids(df: DataFrame, prefix: str, partition: list[str], order: list[str], name: str = "content_id") -> DataFrame:
-    """Sequential ids prefix0, prefix1, ... in order."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn(name, F.concat(F.lit(prefix), (F.row_number().over(w) - 1).cast("string")))
+def with_ids(df: DataFrame, prefix: str, partition: list[str], order: list[str], name: str = "content_id", buckets: int = 256) -> DataFrame:
+    """Sequential ids prefix0, prefix1, ... in order.
+
+    Where the first column of the order is a number its range is cut into buckets, so that a partition's rows are numbered
+    bucket by bucket, and those of a hot one not in one task; what comes before a bucket is a sum of counts.
+    """
+    first = F.col(order[0])
+    if not isinstance(df.schema[order[0]].dataType, NumericType):
+        number = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
+        return df.withColumn(name, F.concat(F.lit(prefix), (number - 1).cast("string")))
+    cuts = df.agg(F.percentile_approx(first, [k / buckets for k in range(1, buckets)], 10_000).alias("cuts")).first()["cuts"] or []
+    below = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < first)) if cuts else F.lit(0)
+    dealt = df.withColumn("_bucket", F.when(first.isNull(), -1).otherwise(below))
+    counts = dealt.groupBy(*partition, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"_p_{c}") for c in partition], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in partition], F.col("_bucket") == F.col("_b"))
+    number = F.row_number().over(Window.partitionBy(*partition, "_bucket").orderBy(*order)) - 1
+    return dealt.join(starts, same).withColumn(name, F.concat(F.lit(prefix), (number + F.col("_before")).cast("string"))).select(*df.columns, name)

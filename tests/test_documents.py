@@ -82,6 +82,18 @@ def test_partial_match_takes_the_first_seen(spark):
     assert got == {1: "b0", 2: None, 3: None}
 
 
+def test_ids_of_hot_partitions(spark):
+    rows = [(i * 7 % 501 if i else None, "hot" if i % 3 else None if i % 2 else "a") for i in range(501)]
+    want, seen = {}, {}
+    for i, p in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        want[i] = f"b{seen.setdefault(p, 0)}"
+        seen[p] += 1
+    df = spark.createDataFrame(rows, "i BIGINT, p STRING")
+    for buckets in (1, 2, 16):
+        assert {r.i: r.content_id for r in match.with_ids(df, "b", ["p"], ["i"], buckets=buckets).collect()} == want
+    assert match.with_ids(df.limit(0), "b", ["p"], ["i"]).count() == 0
+
+
 def test_names():
     split = lambda *parts: [[(k, v or t) for k, _, t, v in name] for name in semantic.split_names(list(parts))]
     assert split(("<forename>", "JOHN"), ("<surname>", "SMITH"), ("<forename>", "A"), ("<surname>", "B")) == [[("GivenName", "John"), ("Surname", "Smith")], [("GivenName", "A"), ("Surname", "B")]]
