@@ -7,8 +7,8 @@ that contains at least the share ``t`` of an item's ``n`` shingles misses ``floo
 ``s`` sketch values it has ``s - floor((1 - t) * n)`` at least: looking for that many loses no document. What is
 found is verified by exact containment of the shingles themselves, as text.
 
-All of it is DataFrame code. The sketches (and the items' shingles) are broadcast only while they have at most
-``broadcast_rows`` rows; beyond that Spark shuffles.
+All of it is DataFrame code. The sketches (and the items' shingles) are broadcast only while they take at
+most ``broadcast_bytes`` bytes; beyond that Spark shuffles.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def sketches(shingles: DataFrame, threshold: float) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-                 item_text: str = "text", width: int = 5, threshold: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
+                 item_text: str = "text", width: int = 5, threshold: float = 0.8, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """``(id, item_id, n_item, n_shared, containment)`` for each document that contains a test item.
 
     A document contains an item if it has at least the share ``threshold`` of the item's distinct shingles of
@@ -76,7 +76,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """
     shingles = checkpointed(item_shingles(items, item_id, item_text, width))
     sketch = sketches(shingles, threshold)
-    few = small_enough(shingles, broadcast_rows)
+    few = (shingles.agg(F.sum(F.octet_length("s") + 64)).first()[0] or 0) <= broadcast_bytes
     held = F.broadcast if few else (lambda df: df)
     widths = sorted(r["width"] for r in shingles.select("width").distinct().collect())  # width values at most
 
@@ -92,7 +92,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                           .where(F.col("hits") >= F.col("need")).select("id", "t", "item_id"))
 
     rows = wanted.select("id", "t").distinct()
-    if small_enough(rows, broadcast_rows):
+    if small_enough(rows, broadcast_bytes // 128):
         rows = F.broadcast(rows)
     chosen = keyed.alias("d").join(rows.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.t") == F.col("c.t")), "left_semi")
     shared = None

@@ -33,7 +33,7 @@ def test_against_brute_force(spark):
     items = spark.createDataFrame([(*r, 1) for r in ITEMS], "item_id BIGINT, text STRING, n INT")
     want = brute(DOCS, ITEMS)
     for rows in (1_000_000, 0):  # with and without broadcasts
-        got = D.contaminated(docs, items, broadcast_rows=rows)
+        got = D.contaminated(docs, items, broadcast_bytes=rows)
         assert sorted((tuple(r)[:4] for r in got.collect()), key=repr) == want
     assert len(want) > 8
     kept = D.without_contaminated(docs, items)
