@@ -68,8 +68,13 @@ def without_trailing_space(spaced: Column) -> Column:
     return F.rtrim(spaced, F.lit(SPACES))
 
 
-def tokenized(spaced: Column) -> Column:
-    """An array of ``struct<text, whitespace>`` of spaced_tokens()."""
+def tokenized(text: Column | str) -> Column:
+    """An array of ``struct<text, whitespace>``."""
+    return split_spaced(spaced_tokens(text))
+
+
+def split_spaced(spaced: Column) -> Column:
+    """The same from spaced_tokens()."""
     return F.transform(spaced, lambda s: F.struct(without_trailing_space(s).alias("text"), F.substring(s, F.char_length(without_trailing_space(s)) + 1, F.char_length(s)).alias("whitespace")))
 
 

@@ -35,7 +35,7 @@ def _unnested(lines: DataFrame, keep: list[str], font: Column, tail: str) -> Dat
     joined = F.array_join(F.transform("spaced", T.without_trailing_space), "")
     # What belongs to a line is found before its tokens are unnested.
     found = found.select(*keep, font.alias("font"), "spaced", F.size("spaced").alias("token_count"), F.char_length(joined).alias("line_chars"), T.punctuation_profile(joined).alias("line_marks"))
-    out = found.select(*keep, "token_count", "line_chars", "line_marks", "font", F.posexplode(T.tokenized(F.col("spaced"))).alias("token_no", "token"))
+    out = found.select(*keep, "token_count", "line_chars", "line_marks", "font", F.posexplode(T.split_spaced(F.col("spaced"))).alias("token_no", "token"))
     last = F.col("token_no") == F.col("token_count") - 1
     out = out.select("*", F.col("token.text").alias("text"), F.when(last, F.concat(F.col("token.whitespace"), F.lit(tail))).otherwise(F.col("token.whitespace")).alias("whitespace")).drop("token")
     return out.withColumn("line_offset", line_offset())
