@@ -19,7 +19,7 @@ def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and texts in no known language."""
+    """Rejects null texts, texts without letters and texts in no known language. Repeated rows share their fate; an empty table stays empty."""
     rows, columns = _aside(docs, ("lang_pred", "score"))
     judged = langid.predict(rows, langid.fit(rows))
     return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*columns)
@@ -34,18 +34,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain an item of the benchmark."""
+    """Drops documents that contain an item of the benchmark; null and empty texts contain none, rows that share an id go together."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws half of the tokens, with sources, languages and topics evened out."""
+    """Draws half of the tokens, with sources, languages and topics evened out. Null sources and languages are classes of their own, repeated rows share their fate."""
     rows, columns = _aside(docs, ("topic", "n_tokens", "weight", "prob", "kept"))
     return mixing.mixed(rows, keep=0.5, power=0.5).where("kept").select(*columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token shards and gives each document's place, size and checksum read from them."""
+    """Writes the token shards and gives each document's place, size and checksum read from them; a null text is empty, every row is a document."""
     return tokens.token_rows(docs, tokens.default_tokenizer(), end_id=2, pieces=200_000)
 
 

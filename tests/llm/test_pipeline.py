@@ -60,3 +60,18 @@ def test_the_pipeline_is_registered():
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "mixture", "token_files"]
+
+
+def test_empty_and_odd_tables(spark, tables):
+    schema = "doc_id BIGINT, text STRING, lang STRING, source STRING"
+    item = ([(1, "one two three four five six seven")], "item_id BIGINT, text STRING")
+    assert corpus_pipeline.run(spark, tables(documents=([], schema), benchmark=item)).count() == 0
+
+
+def test_odd_rows(spark, tables):
+    long = " ".join(f"word{i % 977} and more" for i in range(60_000))
+    rows = [(i, f"this is a plain text about thing{i} and other things of the kind number {i * 7}", "en", "a") for i in range(60)]
+    rows += [(100, None, None, None), (101, "", "en", None), (102, long, None, "b"), (103, rows[3][1], "en", "a"), (3, rows[3][1], "en", "a"), (None, "another text of words that stands alone here", "en", "a")]
+    path = tables(documents=(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING"), benchmark=([(1, None), (2, "")], "item_id BIGINT, text STRING"))
+    got = [r.doc_id for r in corpus_pipeline.run(spark, path).collect()]
+    assert 100 not in got and 101 not in got and 103 not in got and len(got) > 10
