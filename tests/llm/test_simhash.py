@@ -197,3 +197,31 @@ def test_recall_of_similar_texts(spark):
     close = roots(range(len(texts)), pairs)
     assert len(pairs) > 300 and caught >= 0.99, caught
     assert all(close[i] == close[j] for i in got for j in [got[i]])  # nothing links below the similarity
+
+
+def test_the_query_against_brute_force(spark, tables):
+    import re
+
+    import xxhash
+
+    from quire.llm.queries import op8_simhash
+
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))) for _ in range(120)]
+    for t in texts[:40]:
+        w = t.split()
+        texts += [t.upper(), " ".join([*w, "tail"]), "\t".join(w) + "\x0b"]
+    texts += [None, "", " \n", "É é İ", "one", "one two"]
+
+    def fingerprint(t):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        shingles = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    fps = [fingerprint(t) for t in texts]
+    want = roots(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
+    path = tables(documents=([(i, t, "x") for i, t in enumerate(texts)], "doc_id BIGINT, text STRING, fingerprint STRING"))
+    got = sorted(tuple(r)[:3] for r in op8_simhash(spark, path).select("doc_id", "fingerprint", "component_id").collect())
+    assert got == [(i, f"{fps[i]:016x}", want[i]) for i in range(len(fps))]

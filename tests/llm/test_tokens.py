@@ -62,3 +62,20 @@ def test_rows_against_the_library(spark):
         at += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert T.token_rows(df.limit(0), T.default_tokenizer()).count() == 0
+
+
+def test_the_query_against_the_library(spark, tables):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from quire.llm.queries import op7_tokens
+
+    rows = [(7, "Hello, wörld! it's 3 o'clock\n\n  x"), (3, None), (5, ""), (9, "again and again " * 3_000), (1, "Ünïcode ½ 漢字 🙂 end")]
+    path = tables(documents=([(i, t, 1) for i, t in rows], "doc_id BIGINT, text STRING, start INT"))
+    library, start, want = Tokenizer.from_file(T.default_tokenizer()), 0, []
+    for i, t in sorted(rows):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, op7_tokens(spark, path).collect())) == want
