@@ -190,7 +190,12 @@ HEADING = r"^([0-9]+\.?(?:[0-9]+\.?)*)[ \t\n\r\f]*([^0-9].*)"
 ABSTRACT = r"^(?:(?:abstract|summary|résumé|abrégé|a b s t r a c t)[.:]?)?[ \t\n\r\f]*(.*)"
 
 
+# A word boundary as RE2 sees it; Java's own takes letters of all scripts for parts of words.
+BOUNDARY = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
+    pattern = pattern.replace(r"\b", BOUNDARY)
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 

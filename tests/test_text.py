@@ -73,3 +73,10 @@ def test_labels_and_xml(spark):
     assert run(spark, T.escaped_attribute, ['a<"&>']) == ["a&lt;&quot;&amp;&gt;"]
     assert run(spark, T.xml_text, ["<a>x<b>y</b>z</a>"]) == ["xyz"]
     assert run(spark, lambda x: T.changed_extension(x, ".docx", ".pdf"), ["a/b.docx.gz", "c.docx"]) == ["a/b.pdf", "c.pdf"]
+
+
+def test_identifiers_after_letters_of_other_scripts(spark):
+    """A word boundary is between ASCII word characters and others, as in the SQL."""
+    ids = run(spark, T.external_id, ["é10.1234/ab", "x10.1234/ab", "中S0140673605676037", "é,4111111111111111", "a,4111111111111111"])
+    assert [tuple(r) for r in ids] == [("DOI", "10.1234/ab"), (None, "x10.1234/ab"), ("PII", "S0140673605676037"), (None, "é,4111111111111111"), ("PII", ",4111111111111111")]
+    assert [tuple(r) for r in run(spark, T.web_link, ["ß10.1234/ab", "_10.1234/ab"])] == [("DOI", "10.1234/ab"), ("URL", "_10.1234/ab")]
